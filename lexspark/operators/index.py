@@ -23,10 +23,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.analyze import explode_rows, term_counts, token_array
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from .stemming import apply_stems, stem_vocabulary
 
 
@@ -36,6 +36,8 @@ class Index:
     postings: DataFrame
     doc_freq: DataFrame
     stemmed: bool = True
+    buckets: int | None = None          # set for a stored index partitioned by term bucket
+    postings_unmerged: DataFrame | None = field(default=None, repr=False)
     _n_docs: int | None = field(default=None, repr=False)
     _cached: list = field(default_factory=list, repr=False)
 
@@ -83,19 +85,39 @@ def doc_freq_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def stem_postings(postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Map raw words to stems and merge terms of one document that share a stem."""
+def term_bucket(term: Column | str, buckets: int) -> Column:
+    """Stable hash bucket of a term (partition column of a stored index)."""
+    t = F.col(term) if isinstance(term, str) else term
+    return F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
+
+
+def stem_terms(postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Postings with each raw word replaced by its stem; one document may now hold
+    a term twice (``merge_postings`` sums them)."""
     if vocabulary is None:
-        spark = postings.sparkSession
-        checkpoint_dir(spark)
-        # Materialize the dictionary once (reliable checkpoint): its size is then
-        # known before deciding how to join it.
-        vocabulary = stem_vocabulary(postings, "term").checkpoint(eager=True)
-    stemmed = apply_stems(postings, vocabulary, "term")
-    return (stemmed.groupBy("doc_key", "term")
+        vocabulary = materialized_vocabulary(postings)
+    return apply_stems(postings, vocabulary, "term")
+
+
+def materialized_vocabulary(postings: DataFrame) -> DataFrame:
+    """The stem dictionary written once as Parquet in the shared checkpoint folder
+    (computed once, survives executor loss, and its size is known before the join)."""
+    spark = postings.sparkSession
+    path = scratch_path(spark, "stem-vocabulary")
+    stem_vocabulary(postings, "term").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def merge_postings(postings: DataFrame) -> DataFrame:
+    return (postings.groupBy("doc_key", "term")
             .agg(F.sum("freq").alias("freq"), F.max("term_count").alias("term_count")))
 
 
+def stem_postings(postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Map raw words to stems and merge terms of one document that share a stem."""
+    return merge_postings(stem_terms(postings, vocabulary))
+
+
 def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index:
     """Index ``docs(doc_key, text)``.  ``stem=False`` keeps raw (case-folded) terms."""
     analyzed = analyze_documents(docs)
@@ -105,13 +127,15 @@ def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index
         cached.append(analyzed)
     documents = analyzed.select("doc_key", "term_count")
     postings = explode_postings(analyzed)
+    unmerged = None
     if stem:
-        postings = stem_postings(postings)
+        unmerged = stem_terms(postings)
+        postings = merge_postings(unmerged)
         if cache:
             postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(postings)
     return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings),
-                 stemmed=stem, _cached=cached)
+                 stemmed=stem, postings_unmerged=unmerged, _cached=cached)
 
 
 def term_freq(index: Index) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.analyze import explode_rows, term_counts, token_array
-from .index import Index
+from .index import Index, term_bucket
 from .sizing import broadcast_if_small
 from .stemming import apply_stems, stem_vocabulary
 
@@ -31,14 +31,15 @@ RANK_DECIMALS = 6
 TOP_K = 20
 
 
-def analyze_queries(queries: DataFrame, key: str = "query_id", text: str = "text",
+def analyze_queries(queries: DataFrame, key: str | Column = "query_id", text: str = "text",
                     stem: bool = True) -> DataFrame:
     """``(query_id, term, w)``: each distinct query term with its repeat count.
 
     The same analyzer as for documents; for a stemmed index the query words are
     stemmed by the same vocabulary job (distinct query words only).
     """
-    q = queries.select(F.col(key).alias("query_id"), token_array(text).alias("__tokens"))
+    k = F.col(key) if isinstance(key, str) else key
+    q = queries.select(k.alias("query_id"), token_array(text).alias("__tokens"))
     q = term_counts(q, "__tokens").drop("__tokens")
     qt = (explode_rows(q, "term_counts")
           .select("query_id", F.col("p.term").alias("term"), F.col("p.freq").alias("w")))
@@ -81,16 +82,21 @@ def weighted_query_terms(index: Index, qterms: DataFrame) -> DataFrame:
     """(query_id, term, qw = w * idf) for terms with 0 < idf; size-checked broadcast
     of the query side into the doc_freq scan."""
     n = index.n_docs
+    keys = ["term"]
+    if index.buckets:
+        qterms = qterms.withColumn("bucket", term_bucket("term", index.buckets))
+        keys = ["bucket", "term"]
     q = broadcast_if_small(qterms)
-    joined = index.doc_freq.join(q, "term")
+    joined = index.doc_freq.join(q, keys)
     return (joined.where(F.col("df") < F.lit(n))
-            .select("query_id", "term", (F.col("w").cast("double") * idf_column(n)).alias("qw")))
+            .select("query_id", *keys, (F.col("w").cast("double") * idf_column(n)).alias("qw")))
 
 
 def score(index: Index, qterms: DataFrame) -> DataFrame:
     """(query_id, doc_key, rank) for documents with at least one scoring term (Q3, Q4)."""
     wq = broadcast_if_small(weighted_query_terms(index, qterms))
-    hits = index.postings.join(wq, "term")
+    keys = ["bucket", "term"] if index.buckets else ["term"]
+    hits = index.postings.join(wq, keys)
     contrib = F.col("qw") * tf_column()
     return (hits.groupBy("query_id", "doc_key")
             .agg(F.round(F.sum(contrib), RANK_DECIMALS).alias("rank")))
@@ -136,8 +142,8 @@ def zero_fill(top: DataFrame, query_ids: DataFrame, fill_keys: list, k: int = TO
                       F.col("e.rank").alias("rank"))
 
 
-def search_many(index: Index, queries: DataFrame, key: str = "query_id", text: str = "text",
-                k: int = TOP_K, fill: bool = True) -> DataFrame:
+def search_many(index: Index, queries: DataFrame, key: str | Column = "query_id", text: str = "text",
+                k: int = TOP_K, fill: bool = True, fill_keys: list | None = None) -> DataFrame:
     """Top k documents per query for a table of queries (Q8):
     (query_id, rn, doc_key, rank)."""
     qterms = analyze_queries(queries, key, text, stem=index.stemmed)
@@ -145,8 +151,8 @@ def search_many(index: Index, queries: DataFrame, key: str = "query_id", text: s
     top = top_k(scores, k)
     if not fill:
         return top
-    qids = queries.select(F.col(key).alias("query_id"))
-    return zero_fill(top, qids, first_keys(index, k), k)
+    qids = queries.select((F.col(key) if isinstance(key, str) else key).alias("query_id"))
+    return zero_fill(top, qids, fill_keys if fill_keys is not None else first_keys(index, k), k)
 
 
 def search(index: Index, query: str, k: int = TOP_K) -> DataFrame:
@@ -165,3 +171,16 @@ def rank_all(index: Index, query: str) -> DataFrame:
     scores = score(index, qterms).select("doc_key", "rank")
     return (index.documents.select("doc_key").join(scores, "doc_key", "left")
             .select("doc_key", F.coalesce(F.col("rank"), F.lit(0.0)).alias("rank")))
+
+
+# Fixed value: the message for a query body that is not UTF-8.
+REJECT_MESSAGE = "Body must be a valid UTF-8 string"
+
+
+def split_query_bodies(bodies: DataFrame, key: str = "query_id", body: str = "body"):
+    """(queries, rejects) from raw query bodies (Q10): valid UTF-8 is decoded to
+    ``text``; the rest becomes ``(query_id, message)`` and is not searched."""
+    valid = F.is_valid_utf8(F.col(body))
+    good = bodies.where(valid).select(F.col(key).alias("query_id"), F.decode(F.col(body), "UTF-8").alias("text"))
+    rejects = bodies.where(~valid).select(F.col(key).alias("query_id"), F.lit(REJECT_MESSAGE).alias("message"))
+    return good, rejects

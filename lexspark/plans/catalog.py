@@ -9,12 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.analyze import explode_rows, token_array, token_kind
+from ..operators import incremental as inc
 from ..operators import index as ix
 from ..operators import ranking as rk
-from ..sinks import results
-from ..sources.markup import pages_as_documents
-from ..sources.tables import from_table, read_table, scope
+from ..session import scratch_path
+from ..sinks import index_json, results
+from ..sinks import index_store as store
+from ..sources.files import indexable, read_folder
+from ..sources.files import skip_accounting as files_skip_accounting
+from ..sources.index_json import legacy_index, read_json_index
+from ..sources.markup import pages_as_documents, xml_documents
+from ..sources.tables import from_table, read_table, scope, spread
+from ..streaming import index_stream, search_stream
 from . import params as P
+from . import standins
 
 
 # --- helpers ----------------------------------------------------------------
@@ -161,6 +169,187 @@ def pages_search(spark, sf_dir):
     return _bigint_rn(out.withColumnRenamed("doc_key", "page_id"))
 
 
+# --- stemming (rows-only in the oracle check; tests compare with brute force) ---
+
+def stem_vocabulary(spark, sf_dir):
+    """(raw, stem): every distinct word of the corpus whose stem differs."""
+    idx = documents_index(spark, sf_dir, stem=False)
+    return ix.materialized_vocabulary(idx.postings)
+
+
+def search_stemmed(spark, sf_dir):
+    return _single(documents_index(spark, sf_dir, stem=True), P.QUERY_STEMMED)
+
+
+def search_many_stemmed(spark, sf_dir):
+    out = rk.search_many(documents_index(spark, sf_dir, stem=True), _benchmark(spark, sf_dir))
+    return _bigint_rn(_as_doc_id(out))
+
+
+# --- storage ------------------------------------------------------------------
+
+def index_roundtrip_parquet(spark, sf_dir):
+    """Write the index as partitioned Parquet, load it, return its postings."""
+    path = scratch_path(spark, "index-parquet")
+    store.save_index(documents_index(spark, sf_dir), path, buckets=P.BUCKETS)
+    loaded = store.load_index(spark, path)
+    return _as_doc_id(loaded.postings.select("doc_key", "term", "freq", "term_count"))
+
+
+def index_roundtrip_json(spark, sf_dir):
+    path = scratch_path(spark, "index-json")
+    index_json.write_json_index(documents_index(spark, sf_dir), path)
+    loaded = read_json_index(spark, path, stemmed=False)
+    return loaded.postings.select(F.col("doc_key").cast("bigint").alias("doc_id"), "term", "freq", "term_count")
+
+
+def legacy_import(spark, sf_dir):
+    """Postings written in the legacy ``{path: {term: freq}}`` layout, imported back."""
+    path = scratch_path(spark, "index-legacy")
+    index_json.write_legacy_index(documents_index(spark, sf_dir).postings, path)
+    imported = legacy_index(spark, path)
+    return imported.postings.select(F.col("doc_key").cast("bigint").alias("doc_id"), "term", "freq", "term_count")
+
+
+def published_index(spark, sf_dir):
+    """Publish two versions; the reader sees the newest complete one."""
+    root = scratch_path(spark, "published")
+    docs = read_table(spark, sf_dir, "documents")
+    old = ix.build_index(from_table(scope(docs, "source", P.SCOPED_SOURCES), "doc_id", "text"), stem=False)
+    store.publish_index(old, root, buckets=P.BUCKETS)
+    store.publish_index(documents_index(spark, sf_dir), root, buckets=P.BUCKETS)
+    return store.load_published(spark, root).doc_freq.select("term", "df")
+
+
+def surrogate_ids(spark, sf_dir):
+    """(n_keys, n_ids, collisions) of xxhash64 surrogate ids over document keys."""
+    docs = from_table(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    ids = inc.surrogate_ids(docs)
+    coll = inc.surrogate_collisions(ids)
+    return ids.agg(F.countDistinct("doc_key").alias("n_keys"), F.countDistinct("doc_id").alias("n_ids")) \
+        .withColumn("collisions", F.lit(coll.count()).cast("bigint"))
+
+
+# --- incremental ------------------------------------------------------------------
+
+def merge_doc_freq(spark, sf_dir):
+    """Index the documents in two batches and merge: equals a full build."""
+    docs = read_table(spark, sf_dir, "documents")
+    base = ix.build_index(from_table(docs.where(F.col("source") < P.DELTA_FROM_SOURCE), "doc_id", "text"), stem=False)
+    delta = ix.build_index(from_table(docs.where(F.col("source") >= P.DELTA_FROM_SOURCE), "doc_id", "text"), stem=False)
+    return inc.merge_indexes(base, delta).doc_freq
+
+
+def replace_document(spark, sf_dir):
+    """Benchmark texts replace the documents with the same key (policy replace)."""
+    base = documents_index(spark, sf_dir)
+    new = from_table(read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return inc.add_documents(base, new, policy="replace").doc_freq
+
+
+def duplicate_keys(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    batch = docs.unionByName(docs.where(F.col("source") == P.DUPLICATED_SOURCE))
+    return inc.duplicate_keys(batch.select("doc_id"), "doc_id")
+
+
+def orphan_postings(spark, sf_dir):
+    """Postings whose document row is missing: (doc_id, postings, tokens)."""
+    docs = read_table(spark, sf_dir, "documents")
+    index = documents_index(spark, sf_dir)
+    kept = from_table(docs.where(F.col("source") != P.ORPHANED_SOURCE), "doc_id", "text", spread_input=False)
+    orphans = inc.orphan_postings(index.postings, kept.select("doc_key"))
+    return (orphans.groupBy(F.col("doc_key").alias("doc_id"))
+            .agg(F.count(F.lit(1)).alias("postings"), F.sum("freq").alias("tokens")))
+
+
+# --- streams ------------------------------------------------------------------
+
+def _doc_stream(spark, src):
+    schema = "doc_id bigint, text string"
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+            .select(F.col("doc_id").alias("doc_key"), "text"))
+
+
+def stream_doc_freq(spark, sf_dir):
+    """Documents arrive as a file stream (several micro-batches)."""
+    src = scratch_path(spark, "stream-docs")
+    standins.write_stream_source(read_table(spark, sf_dir, "documents").select("doc_id", "text"), src,
+                                 P.STREAM_FILES, "doc_id")
+    out = scratch_path(spark, "stream-index")
+    q = index_stream.index_stream(_doc_stream(spark, src), out, scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return index_stream.read_stream_index(spark, out).doc_freq
+
+
+def stream_unique_keys(spark, sf_dir):
+    """The documents of one source arrive twice, in a later file: keys stay unique."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    src = scratch_path(spark, "stream-dups")
+    standins.write_stream_source(docs.select("doc_id", "text"), f"{src}/a", P.STREAM_FILES, "doc_id")
+    docs.where(F.col("source") == P.DUPLICATED_SOURCE).select("doc_id", "text") \
+        .coalesce(1).write.parquet(f"{src}/b")
+    out = scratch_path(spark, "stream-index")
+    stream = (spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src)
+              .select(F.col("doc_id").alias("doc_key"), "text"))
+    q = index_stream.index_stream(stream, out, scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return index_stream.read_stream_index(spark, out).documents.select(F.col("doc_key").alias("doc_id"))
+
+
+def stream_search(spark, sf_dir):
+    """Benchmark queries arrive as a stream against a static index."""
+    src = scratch_path(spark, "stream-queries")
+    standins.write_stream_source(_benchmark(spark, sf_dir), src, P.STREAM_FILES, "query_id")
+    queries = (spark.readStream.schema("query_id bigint, text string").option("maxFilesPerTrigger", 1)
+               .parquet(src))
+    out = scratch_path(spark, "stream-results")
+    q = search_stream.search_stream(documents_index(spark, sf_dir), queries, out, scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return _bigint_rn(_as_doc_id(search_stream.read_results(spark, out)))
+
+
+# --- files and XML ------------------------------------------------------------------
+
+def xml_text(spark, sf_dir):
+    """Each document wrapped as one XML element, then parsed back to text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", standins.as_xml(F.col("text")).alias("xml"))
+    parsed = xml_documents(spread(docs), "doc_id", "xml")
+    return parsed.select(F.col("doc_key").alias("doc_id"), "text", "status")
+
+
+def _folder(spark, sf_dir):
+    root = scratch_path(spark, "folder")
+    files = standins.document_files(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
+    standins.write_files(spread(files), root)
+    return read_folder(spark, root)
+
+
+def folder_index(spark, sf_dir):
+    """Index a folder of .txt/.md/.xml/.TXT/.xhtml files: term frequencies by file id."""
+    extracted = _folder(spark, sf_dir)
+    index = ix.build_index(from_table(indexable(extracted), "doc_key", "text"), stem=False)
+    return index.postings.select(standins.id_from_path(F.col("doc_key")).alias("doc_id"), "term", "freq")
+
+
+def skip_accounting(spark, sf_dir):
+    return files_skip_accounting(_folder(spark, sf_dir))
+
+
+def query_rejects(spark, sf_dir):
+    """User turns arrive as bytes in ISO-8859-1: bodies that are not valid UTF-8 are
+    rejected with a message, the others are searched.  (status, queries)."""
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    bodies = conv.select(F.struct("conv_id", "turn").alias("query_id"),
+                         F.encode(F.col("text"), "ISO-8859-1").alias("body"))
+    good, rejects = rk.split_query_bodies(bodies)
+    top = rk.search_many(documents_index(spark, sf_dir), good, fill=False)
+    answered = top.select("query_id").distinct().withColumn("status", F.lit("answered"))
+    return (answered.unionByName(rejects.select("query_id", F.lit("rejected").alias("status")))
+            .groupBy("status").agg(F.count(F.lit(1)).alias("queries")))
+
+
 CORE_QUERIES = {
     "tokenize_documents": tokenize_documents,
     "token_kinds": token_kinds,
@@ -185,4 +374,26 @@ CORE_QUERIES = {
     "pages_search": pages_search,
 }
 
-ALL_QUERIES = dict(CORE_QUERIES)
+MORE_QUERIES = {
+    "index_roundtrip_parquet": index_roundtrip_parquet,
+    "index_roundtrip_json": index_roundtrip_json,
+    "legacy_import": legacy_import,
+    "published_index": published_index,
+    "surrogate_ids": surrogate_ids,
+    "merge_doc_freq": merge_doc_freq,
+    "replace_document": replace_document,
+    "duplicate_keys": duplicate_keys,
+    "orphan_postings": orphan_postings,
+    "stream_doc_freq": stream_doc_freq,
+    "stream_unique_keys": stream_unique_keys,
+    "stream_search": stream_search,
+    "xml_text": xml_text,
+    "folder_index": folder_index,
+    "skip_accounting": skip_accounting,
+    "query_rejects": query_rejects,
+    "stem_vocabulary": stem_vocabulary,
+    "search_stemmed": search_stemmed,
+    "search_many_stemmed": search_many_stemmed,
+}
+
+ALL_QUERIES = {**CORE_QUERIES, **MORE_QUERIES}

@@ -84,8 +84,9 @@ HTML_TEXT = f"""
 BASE_DOCS = f"(SELECT * FROM documents WHERE source < {_q(P.DELTA_FROM_SOURCE)})"
 DELTA_DOCS = f"(SELECT * FROM documents WHERE source >= {_q(P.DELTA_FROM_SOURCE)})"
 REPLACED_DOCS = """(
-    SELECT d.doc_id, coalesce(b.text, d.text) AS text
-    FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id)"""
+    SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
+    UNION ALL SELECT item_id AS doc_id, text FROM benchmark)"""
+FOLDER_DOCS = "(SELECT * FROM documents WHERE lang IN ('en', 'fr', 'de'))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -163,6 +164,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS postings, sum(freq)::BIGINT AS tokens FROM tf
             WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = {_q(P.ORPHANED_SOURCE)})
             GROUP BY doc_id""",
+        "legacy_import": f"WITH {c} SELECT doc_id, term, freq, term_count FROM tf JOIN dl USING (doc_id)",
+        "published_index": f"WITH {c} SELECT term, df FROM dfreq",
+        "surrogate_ids": """SELECT count(DISTINCT doc_id) AS n_keys, count(DISTINCT doc_id) AS n_ids,
+                                   0::BIGINT AS collisions FROM documents""",
+        "xml_text": """
+            SELECT doc_id,
+                   CASE WHEN trim(t, ' ' || chr(9) || chr(10)) = '' THEN '' ELSE t || ' ' END AS text,
+                   'ok' AS status
+            FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t
+                  FROM documents)""",
+        "folder_index": f"WITH {corpus_ctes(FOLDER_DOCS)} SELECT doc_id, term, freq FROM tf",
         "stream_doc_freq": f"WITH {c} SELECT term, df FROM dfreq",
         "stream_unique_keys": "SELECT DISTINCT doc_id FROM documents",
         "stream_search": search_sql("benchmark", "item_id", "text"),

@@ -10,6 +10,12 @@ QUERY_TOP20 = "disgusting Einheit lement, the tioned"
 QUERY_REPEATS = "the the tioned , lement lement . disgusting"
 QUERY_NO_MATCH = "zzzqqq qqqzzz"
 QUERY_PAGES = "the weather, der Zeit et le monde"
+QUERY_STEMMED = "running shaders, the generated textures"
+
+# Buckets of a stored index in the registered queries (small corpora).
+BUCKETS = 8
+# Files a table is split into when it is replayed as a stream.
+STREAM_FILES = 4
 
 # Scoped search (S2): only these sources are indexed.
 SCOPED_SOURCES = ["src1", "src2", "src3", "src11"]
