@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.analyze import explode_rows, term_counts, token_array
 from ..session import scratch_path
-from .stemming import apply_stems, stem_vocabulary
+from .stemming import apply_stems, changed_only, stem_vocabulary
 
 
 @dataclass
@@ -105,7 +105,7 @@ def materialized_vocabulary(postings: DataFrame) -> DataFrame:
     spark = postings.sparkSession
     path = scratch_path(spark, "stem-vocabulary")
     stem_vocabulary(postings, "term").write.parquet(path)
-    return spark.read.parquet(path)
+    return changed_only(spark.read.parquet(path))
 
 
 def merge_postings(postings: DataFrame) -> DataFrame:

@@ -26,14 +26,20 @@ def stem_vocabulary(terms: DataFrame, column: str = "term") -> DataFrame:
     """Dictionary ``(raw, stem)`` for the distinct words of ``terms[column]``.
 
     Numbers and symbols are never stemmed and words shorter than three characters
-    keep their form, so neither enters the dictionary.  Only rows where the stem
-    differs are kept: a left join with ``coalesce`` maps everything else to itself.
+    keep their form, so neither enters the dictionary.  A left join with
+    ``coalesce`` maps every word missing from it to itself.  (No filter on the
+    UDF result here: the optimizer would push it below the ``distinct`` and run
+    the UDF once per row; ``changed_only`` filters a materialized dictionary.)
     """
     words = (terms.select(F.col(column).alias("raw"))
              .where(is_word("raw") & (F.length("raw") >= 3))
              .distinct())
-    return (words.select("raw", stem_words("raw").alias("stem"))
-            .where(F.col("stem") != F.col("raw")))
+    return words.select("raw", stem_words("raw").alias("stem"))
+
+
+def changed_only(vocabulary: DataFrame) -> DataFrame:
+    """Entries whose stem differs from the word (apply to a stored dictionary)."""
+    return vocabulary.where(F.col("stem") != F.col("raw"))
 
 
 def apply_stems(df: DataFrame, vocabulary: DataFrame, column: str = "term") -> DataFrame:
