@@ -37,6 +37,7 @@ class Index:
     doc_freq: DataFrame
     stemmed: bool = True
     buckets: int | None = None          # set for a stored index partitioned by term bucket
+    doc_terms: DataFrame | None = field(default=None, repr=False)   # forward index, one row per document
     postings_unmerged: DataFrame | None = field(default=None, repr=False)
     _n_docs: int | None = field(default=None, repr=False)
     _cached: list = field(default_factory=list, repr=False)
@@ -127,6 +128,7 @@ def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index
         cached.append(analyzed)
     documents = analyzed.select("doc_key", "term_count")
     postings = explode_postings(analyzed)
+    doc_terms = analyzed.select("doc_key", "term_count", F.col("term_counts").alias("terms"))
     unmerged = None
     if stem:
         unmerged = stem_terms(postings)
@@ -134,8 +136,19 @@ def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index
         if cache:
             postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(postings)
+        doc_terms = forward_index(documents, postings)
     return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings),
-                 stemmed=stem, postings_unmerged=unmerged, _cached=cached)
+                 stemmed=stem, doc_terms=doc_terms, postings_unmerged=unmerged, _cached=cached)
+
+
+def forward_index(documents: DataFrame, postings: DataFrame) -> DataFrame:
+    """``doc_terms(doc_key, term_count, terms ARRAY<STRUCT<term, freq>>)`` from postings:
+    one shuffle on the key; each group is one document's distinct terms."""
+    grouped = postings.groupBy("doc_key").agg(
+        F.array_sort(F.collect_list(F.struct("term", "freq"))).alias("terms"))
+    return (documents.join(grouped, "doc_key", "left")
+            .select("doc_key", "term_count",
+                    F.coalesce("terms", F.array().cast("array<struct<term:string,freq:bigint>>")).alias("terms")))
 
 
 def term_freq(index: Index) -> DataFrame:

@@ -20,9 +20,10 @@ the k smallest document keys, so no query x document product is ever built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.analyze import explode_rows, term_counts, token_array
+from . import scoring
 from .index import Index, term_bucket
 from .sizing import broadcast_if_small
 from .stemming import apply_stems, stem_vocabulary
@@ -79,8 +80,8 @@ def tfidf_weights(index: Index) -> DataFrame:
 
 
 def weighted_query_terms(index: Index, qterms: DataFrame) -> DataFrame:
-    """(query_id, term, qw = w * idf) for terms with 0 < idf; size-checked broadcast
-    of the query side into the doc_freq scan."""
+    """(query_id, [bucket,] term, df, qw = w * idf) for terms with 0 < idf; size-checked
+    broadcast of the query side into the doc_freq scan (bucket-pruned when stored)."""
     n = index.n_docs
     keys = ["term"]
     if index.buckets:
@@ -89,12 +90,16 @@ def weighted_query_terms(index: Index, qterms: DataFrame) -> DataFrame:
     q = broadcast_if_small(qterms)
     joined = index.doc_freq.join(q, keys)
     return (joined.where(F.col("df") < F.lit(n))
-            .select("query_id", *keys, (F.col("w").cast("double") * idf_column(n)).alias("qw")))
+            .select("query_id", *keys, "df", (F.col("w").cast("double") * idf_column(n)).alias("qw")))
 
 
-def score(index: Index, qterms: DataFrame) -> DataFrame:
-    """(query_id, doc_key, rank) for documents with at least one scoring term (Q3, Q4)."""
-    wq = broadcast_if_small(weighted_query_terms(index, qterms))
+def score(index: Index, qterms: DataFrame | None = None, wq: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_key, rank) for documents with at least one scoring term (Q3, Q4):
+    the postings of the query terms joined with the (broadcast) query weights and
+    summed per (query, document)."""
+    if wq is None:
+        wq = weighted_query_terms(index, qterms)
+    wq = broadcast_if_small(wq.drop("df"))
     keys = ["bucket", "term"] if index.buckets else ["term"]
     hits = index.postings.join(wq, keys)
     contrib = F.col("qw") * tf_column()
@@ -102,6 +107,37 @@ def score(index: Index, qterms: DataFrame) -> DataFrame:
             .agg(F.round(F.sum(contrib), RANK_DECIMALS).alias("rank")))
 
 
+# Above this many (query, document, term) contributions a batch is scored by
+# documents with a local top-k (``operators.scoring``) instead of by terms.
+TERM_PATH_MAX_CONTRIBUTIONS = 2_000_000
+
+
+def top_k_hits(index: Index, qterms: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, rn, doc_key, rank) with rank > 0, the k best per query.
+
+    Two exact plans, chosen from the query side's measured size: few
+    contributions (one or a few queries) -> postings of the query terms only
+    (bucket-pruned scan, join, sum, window); many -> forward index scored per
+    task with a local top-k, then the window on the survivors."""
+    wq = weighted_query_terms(index, qterms)
+    stats = wq.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("contrib")).first()
+    doc_path = (index.doc_terms is not None and stats["contrib"] > TERM_PATH_MAX_CONTRIBUTIONS
+                and stats["rows"] <= scoring.MAX_WEIGHTS)
+    if not doc_path:
+        return top_k(score(index, wq=wq).where(F.col("rank") > 0), k)
+    rows = [(r[0], r[1], r[2]) for r in wq.select("query_id", "term", "qw").collect()]
+    local, query_ids = scoring.score_top_candidates(index.doc_terms, rows, k)
+    spark = index.documents.sparkSession
+    id_type = wq.schema["query_id"].dataType
+    ids = spark.createDataFrame(list(enumerate(query_ids)),
+                                T.StructType([T.StructField("query_idx", T.IntegerType()),
+                                              T.StructField("query_id", id_type)]))
+    cand = (local.join(F.broadcast(ids), "query_idx")
+            .select("query_id", "doc_key", F.round("score", RANK_DECIMALS).alias("rank"))
+            .where(F.col("rank") > 0))
+    return top_k(cand, k)
+
+
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
     """(query_id, rn, doc_key, rank): the k best per query by rank desc, key asc (Q6-Q8)."""
     w = Window.partitionBy("query_id").orderBy(F.col("rank").desc(), F.col("doc_key").asc())
@@ -147,8 +183,7 @@ def search_many(index: Index, queries: DataFrame, key: str | Column = "query_id"
     """Top k documents per query for a table of queries (Q8):
     (query_id, rn, doc_key, rank)."""
     qterms = analyze_queries(queries, key, text, stem=index.stemmed)
-    scores = score(index, qterms).where(F.col("rank") > 0)
-    top = top_k(scores, k)
+    top = top_k_hits(index, qterms, k)
     if not fill:
         return top
     qids = queries.select((F.col(key) if isinstance(key, str) else key).alias("query_id"))

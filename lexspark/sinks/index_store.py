@@ -3,6 +3,7 @@
 Layout below ``path``::
 
     documents/      (doc_key, term_count)
+    doc_terms/      (doc_key, term_count, terms)   forward index for batch scoring
     postings/       bucket=<b>/  (term, doc_key, freq, term_count), sorted by term, doc_key
     doc_freq/       bucket=<b>/  (term, df)
     corpus_stats/   (stat, value)
@@ -53,6 +54,8 @@ def write_index(index: Index, path: str, buckets: int = DEFAULT_BUCKETS, mode: s
      .withColumn("bucket", term_bucket("term", buckets))
      .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
      .write.mode(mode).partitionBy("bucket").parquet(f"{path}/doc_freq"))
+    if index.doc_terms is not None:
+        index.doc_terms.write.mode(mode).parquet(f"{path}/doc_terms")
     stored = load_index(spark, path, n_docs_from_stats=False)
     stored.corpus_stats().coalesce(1).write.mode(mode).parquet(f"{path}/corpus_stats")
 
@@ -62,6 +65,7 @@ def load_index(spark: SparkSession, path: str, stemmed: bool = True, n_docs_from
     documents = spark.read.parquet(f"{path}/documents")
     postings = spark.read.parquet(f"{path}/postings")
     doc_freq = spark.read.parquet(f"{path}/doc_freq")
+    doc_terms = spark.read.parquet(f"{path}/doc_terms") if _exists(spark, f"{path}/doc_terms") else None
     buckets = None
     n_docs = None
     if n_docs_from_stats:
@@ -73,7 +77,7 @@ def load_index(spark: SparkSession, path: str, stemmed: bool = True, n_docs_from
         buckets = int(meta.get("buckets", 0)) or None
         stemmed = meta.get("stemmed", "true") == "true"
     return Index(documents=documents, postings=postings, doc_freq=doc_freq, stemmed=stemmed,
-                 buckets=buckets, _n_docs=n_docs)
+                 buckets=buckets, doc_terms=doc_terms, _n_docs=n_docs)
 
 
 def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:

@@ -120,3 +120,18 @@ def test_search_many_matches_brute_force(spark, stem_words):
                 mismatches += 1
         assert len(mine) == len(rows)
     assert mismatches == 0
+
+
+@pytest.mark.parametrize("stem_words", [False, True])
+def test_document_path_equals_term_path(spark, monkeypatch, stem_words):
+    """Both exact plans of the batch search give the same rows."""
+    documents = spark.read.parquet(f"{SF001}/documents.parquet").select(F.col("doc_id").alias("doc_key"), "text")
+    bench = spark.read.parquet(f"{SF001}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    idx = ix.build_index(documents, stem=stem_words)
+    monkeypatch.setattr(rk, "TERM_PATH_MAX_CONTRIBUTIONS", 10**12)
+    by_terms = {tuple(r) for r in rk.search_many(idx, bench).collect()}
+    monkeypatch.setattr(rk, "TERM_PATH_MAX_CONTRIBUTIONS", 0)
+    monkeypatch.setattr(__import__("lexspark.operators.scoring", fromlist=["x"]), "DENSE_CELLS", 500)
+    by_docs = {tuple(r) for r in rk.search_many(idx, bench).collect()}
+    assert len(by_terms) == 20 * bench.count()
+    assert by_docs == by_terms
