@@ -38,7 +38,6 @@ class Index:
     stemmed: bool = True
     buckets: int | None = None          # set for a stored index partitioned by term bucket
     doc_terms: DataFrame | None = field(default=None, repr=False)   # forward index, one row per document
-    postings_unmerged: DataFrame | None = field(default=None, repr=False)
     _n_docs: int | None = field(default=None, repr=False)
     _cached: list = field(default_factory=list, repr=False)
 
@@ -129,16 +128,14 @@ def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index
     documents = analyzed.select("doc_key", "term_count")
     postings = explode_postings(analyzed)
     doc_terms = analyzed.select("doc_key", "term_count", F.col("term_counts").alias("terms"))
-    unmerged = None
     if stem:
-        unmerged = stem_terms(postings)
-        postings = merge_postings(unmerged)
+        postings = merge_postings(stem_terms(postings))
         if cache:
             postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(postings)
         doc_terms = forward_index(documents, postings)
     return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings),
-                 stemmed=stem, doc_terms=doc_terms, postings_unmerged=unmerged, _cached=cached)
+                 stemmed=stem, doc_terms=doc_terms, _cached=cached)
 
 
 def forward_index(documents: DataFrame, postings: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.analyze import explode_rows, term_counts, token_array
+from ..session import materialize
 from . import scoring
 from .index import Index, term_bucket
 from .sizing import broadcast_if_small
@@ -87,7 +88,9 @@ def weighted_query_terms(index: Index, qterms: DataFrame) -> DataFrame:
     if index.buckets:
         qterms = qterms.withColumn("bucket", term_bucket("term", index.buckets))
         keys = ["bucket", "term"]
-    q = broadcast_if_small(qterms)
+    # w > 0 always holds; stated as a filter it lets dynamic partition pruning
+    # use this side to skip doc_freq buckets (it needs a selective predicate)
+    q = broadcast_if_small(qterms.where(F.col("w") > 0))
     joined = index.doc_freq.join(q, keys)
     return (joined.where(F.col("df") < F.lit(n))
             .select("query_id", *keys, "df", (F.col("w").cast("double") * idf_column(n)).alias("qw")))
@@ -99,7 +102,8 @@ def score(index: Index, qterms: DataFrame | None = None, wq: DataFrame | None =
     summed per (query, document)."""
     if wq is None:
         wq = weighted_query_terms(index, qterms)
-    wq = broadcast_if_small(wq.drop("df"))
+    # qw > 0 always holds after the idf = 0 pruning; see weighted_query_terms
+    wq = broadcast_if_small(wq.drop("df").where(F.col("qw") > 0))
     keys = ["bucket", "term"] if index.buckets else ["term"]
     hits = index.postings.join(wq, keys)
     contrib = F.col("qw") * tf_column()
@@ -119,7 +123,8 @@ def top_k_hits(index: Index, qterms: DataFrame, k: int = TOP_K) -> DataFrame:
     contributions (one or a few queries) -> postings of the query terms only
     (bucket-pruned scan, join, sum, window); many -> forward index scored per
     task with a local top-k, then the window on the survivors."""
-    wq = weighted_query_terms(index, qterms)
+    # the query side is small and read several times: computed once
+    wq = materialize(weighted_query_terms(index, materialize(qterms, "query-terms")), "query-weights")
     stats = wq.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("contrib")).first()
     doc_path = (index.doc_terms is not None and stats["contrib"] > TERM_PATH_MAX_CONTRIBUTIONS
                 and stats["rows"] <= scoring.MAX_WEIGHTS)

@@ -11,9 +11,9 @@ Layout below ``path``::
 ``bucket = pmod(xxhash64(term), buckets)``.  Searching joins on (bucket, term),
 so dynamic partition pruning reads only the buckets of the query terms, and
 inside a bucket the sort on ``term`` lets Parquet min/max statistics skip row
-groups.  Postings are range-partitioned on (bucket, term, doc_key) before the
-write: a term found in a third of all documents still spreads over many tasks
-and files, and each task writes to few buckets.
+groups.  Postings are rebalanced on the bucket before the write (AQE splits
+oversized partitions, so a term found in a third of all documents still spreads
+over many tasks and files) and each task writes to few buckets.
 """
 
 from __future__ import annotations
@@ -30,16 +30,14 @@ PUBLISHED_MARKER = "_published"
 
 
 def clustered_postings(index: Index, buckets: int) -> DataFrame:
-    """Postings with ``bucket``, range-partitioned and sorted by (bucket, term, doc_key).
-
-    For a stemmed index the merge of terms sharing a stem rides on the same
-    range partitioning (no second shuffle)."""
-    src = index.postings_unmerged if index.postings_unmerged is not None else index.postings
-    p = src.withColumn("bucket", term_bucket("term", buckets))
-    p = p.repartitionByRange("bucket", "term", "doc_key")
-    if index.postings_unmerged is not None:
-        p = (p.groupBy("bucket", "term", "doc_key")
-             .agg(F.sum("freq").alias("freq"), F.max("term_count").alias("term_count")))
+    """Postings with ``bucket``, clustered by bucket and sorted by (term, doc_key).
+
+    One exchange, a ``REBALANCE`` on the bucket: no sampling pass over the input,
+    AQE splits a partition that grows past the advisory size (a bucket holding a
+    term found in a third of all documents becomes many tasks and files) and
+    merges small ones.  Each task then writes few bucket folders."""
+    p = index.postings.withColumn("bucket", term_bucket("term", buckets))
+    p = p.hint("rebalance", "bucket")
     return p.sortWithinPartitions("bucket", "term", "doc_key").select("bucket", "term", "doc_key", "freq", "term_count")
 
 
@@ -52,7 +50,7 @@ def write_index(index: Index, path: str, buckets: int = DEFAULT_BUCKETS, mode: s
     postings = spark.read.parquet(f"{path}/postings")
     (doc_freq_of(postings.select("term", "doc_key"))
      .withColumn("bucket", term_bucket("term", buckets))
-     .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+     .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
      .write.mode(mode).partitionBy("bucket").parquet(f"{path}/doc_freq"))
     if index.doc_terms is not None:
         index.doc_terms.write.mode(mode).parquet(f"{path}/doc_terms")
