@@ -71,10 +71,10 @@ def idf_table(index: Index) -> DataFrame:
 def tfidf_weights(index: Index) -> DataFrame:
     """(doc_key, term, freq, tf, idf, tfidf) for every posting (Q1-Q3).
 
-    ``doc_freq`` is aggregated per term on the postings' own partitioning; the
-    join is on ``term`` (both sides shuffled by term)."""
+    The vocabulary side is broadcast when its measured size allows; otherwise a
+    shuffle join on ``term``, where AQE splits the partitions of hot terms."""
     n = index.n_docs
-    idf = index.doc_freq.select("term", idf_column(n).alias("idf"))
+    idf = broadcast_if_small(index.doc_freq.select("term", idf_column(n).alias("idf")))
     p = index.postings.join(idf, "term")
     return p.select("doc_key", "term", "freq", tf_column().alias("tf"), "idf",
                     (tf_column() * F.col("idf")).alias("tfidf"))

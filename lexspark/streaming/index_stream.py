@@ -14,22 +14,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Index, build_index, doc_freq_of
+from ..operators.sizing import broadcast_if_small
+from ..session import materialize
 from ..sinks.index_store import _exists
 
 
-def _earlier_keys(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+def _earlier_keys(spark: SparkSession, out: str, batch_id: int, batch_keys: DataFrame) -> DataFrame | None:
+    """Keys of this batch already written by an earlier batch.
+
+    The stored keys grow with the stream, the batch's keys do not: the stored
+    side is semi-joined against the batch's keys (broadcast when their measured
+    size allows), so the big side is scanned where it lies instead of shuffled."""
     path = f"{out}/documents"
     if not _exists(spark, path):
         return None
-    docs = spark.read.parquet(path)
-    return docs.where(F.col("batch_id") < batch_id).select("doc_key")
+    stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id).select("doc_key")
+    return stored.join(broadcast_if_small(batch_keys), "doc_key", "left_semi")
 
 
 def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = False) -> None:
     """Index one micro-batch ``(doc_key, text)`` into ``out`` (idempotent)."""
     spark = batch.sparkSession
-    docs = batch.select("doc_key", "text").dropDuplicates(["doc_key"])
-    known = _earlier_keys(spark, out, batch_id)
+    # a key repeated inside the batch keeps one copy, chosen deterministically
+    # (smallest text) so that a retried batch writes the same rows
+    docs = batch.groupBy("doc_key").agg(F.min("text").alias("text"))
+    docs = materialize(docs, f"stream-batch-{batch_id}")
+    known = _earlier_keys(spark, out, batch_id, docs.select("doc_key"))
     if known is not None:
         docs = docs.join(known, "doc_key", "left_anti")
     delta = build_index(docs, stem=stem)

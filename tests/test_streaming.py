@@ -45,3 +45,17 @@ def test_stream_search_equals_batch(spark, docs):
     got = {tuple(r) for r in search_stream.read_results(spark, out).collect()}
     want = {tuple(r) for r in rk.search_many(index, bench).collect()}
     assert got == want
+
+
+def test_batch_retry_is_idempotent(spark):
+    """A micro-batch run twice (retry after a failure) leaves the same output."""
+    from conftest import docs_df
+    out = scratch_path(spark, "t-retry")
+    first = docs_df(spark, [("a", "x y"), ("b", "y z")])
+    index_stream.index_batch(first, 0, out)
+    second = docs_df(spark, [("b", "y z"), ("c", "z z")])
+    index_stream.index_batch(second, 1, out)
+    index_stream.index_batch(second, 1, out)  # replayed
+    idx = index_stream.read_stream_index(spark, out)
+    assert sorted(r.doc_key for r in idx.documents.collect()) == ["a", "b", "c"]
+    assert {tuple(r) for r in idx.doc_freq.collect()} == {("x", 1), ("y", 2), ("z", 2)}
