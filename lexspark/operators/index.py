@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.analyze import explode_rows, term_counts, token_array
+from ..functions.analyze import explode_rows, merge_term_runs, term_counts, token_array
 from ..session import scratch_path
 from .stemming import apply_stems, changed_only, stem_vocabulary
 
@@ -129,15 +129,30 @@ def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index
     postings = explode_postings(analyzed)
     doc_terms = analyzed.select("doc_key", "term_count", F.col("term_counts").alias("terms"))
     if stem:
-        postings = merge_postings(stem_terms(postings))
+        doc_terms = stemmed_forward_index(documents, stem_terms(postings))
         if cache:
-            postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(postings)
-        doc_terms = forward_index(documents, postings)
+            doc_terms = doc_terms.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(doc_terms)
+        postings = explode_postings(doc_terms.withColumnRenamed("terms", "term_counts"))
     return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings),
                  stemmed=stem, doc_terms=doc_terms, _cached=cached)
 
 
+def stemmed_forward_index(documents: DataFrame, stemmed: DataFrame) -> DataFrame:
+    """``doc_terms`` from postings whose terms were replaced by stems (a term may
+    now occur twice in a document).  One shuffle: the pairs of a document are
+    collected per key (map-side first, so one row per document moves), then equal
+    terms are merged inside the row.  Documents without tokens have no postings;
+    they come back by a union, not a join."""
+    grouped = stemmed.groupBy("doc_key").agg(
+        F.max("term_count").alias("term_count"),
+        F.collect_list(F.struct("term", "freq")).alias("pairs"))
+    merged = merge_term_runs(grouped, "pairs", "terms").select("doc_key", "term_count", "terms")
+    empty = (documents.where(F.col("term_count") == 0)
+             .select("doc_key", "term_count", F.array().cast("array<struct<term:string,freq:bigint>>").alias("terms")))
+    return merged.unionByName(empty)
+
+
 def forward_index(documents: DataFrame, postings: DataFrame) -> DataFrame:
     """``doc_terms(doc_key, term_count, terms ARRAY<STRUCT<term, freq>>)`` from postings:
     one shuffle on the key; each group is one document's distinct terms."""

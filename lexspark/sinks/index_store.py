@@ -23,7 +23,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.index import Index, doc_freq_of, term_bucket
+from ..operators.index import Index, term_bucket
 
 DEFAULT_BUCKETS = 64
 PUBLISHED_MARKER = "_published"
@@ -42,20 +42,18 @@ def clustered_postings(index: Index, buckets: int) -> DataFrame:
 
 
 def write_index(index: Index, path: str, buckets: int = DEFAULT_BUCKETS, mode: str = "errorifexists") -> None:
-    """Write the four tables.  ``doc_freq`` is recomputed from the written postings."""
+    """Write the tables.  Every table comes from the in-memory (persisted) index;
+    nothing is read back from the files just written."""
     path = path.rstrip("/")
-    spark = index.documents.sparkSession
     index.documents.write.mode(mode).parquet(f"{path}/documents")
     clustered_postings(index, buckets).write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    (doc_freq_of(postings.select("term", "doc_key"))
+    (index.doc_freq.select("term", "df")
      .withColumn("bucket", term_bucket("term", buckets))
      .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
      .write.mode(mode).partitionBy("bucket").parquet(f"{path}/doc_freq"))
     if index.doc_terms is not None:
         index.doc_terms.write.mode(mode).parquet(f"{path}/doc_terms")
-    stored = load_index(spark, path, n_docs_from_stats=False)
-    stored.corpus_stats().coalesce(1).write.mode(mode).parquet(f"{path}/corpus_stats")
+    index.corpus_stats().coalesce(1).write.mode(mode).parquet(f"{path}/corpus_stats")
 
 
 def load_index(spark: SparkSession, path: str, stemmed: bool = True, n_docs_from_stats: bool = True) -> Index:
