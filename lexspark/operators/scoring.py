@@ -11,10 +11,11 @@ so the shuffle is at most about ``k x queries x tasks`` rows, whatever the
 corpus size.
 
 Exactness: ranks are compared after rounding to ``RANK_DECIMALS`` with the
-document key as tie-break.  Rounding is monotonic, so every document of a
-chunk's rounded top-k has an unrounded score of at least the chunk's k-th
-best score minus one rounding step; the task keeps all of those (a superset)
-and Spark rounds and ranks them.
+document key as tie-break.  Rounding is monotonic, so every document of the
+task's rounded top-k has an unrounded score of at least the k-th best score of
+any subset of the task's documents minus one rounding step.  Each pruning
+(per chunk, then of the running candidates) keeps everything above that bound,
+a superset; Spark rounds and ranks the survivors.
 
 The query weights reach the tasks as a broadcast of a measured size
 (``MAX_WEIGHTS`` rows); beyond it callers use the join-based path.
@@ -74,8 +75,23 @@ def _chunk_top_k(doc_rows, codes, tf, w, k, nd):
     return qi, di, scores[qi, di]
 
 
+def prune_top_k(q: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the rows to keep: per query, every score within ``MARGIN`` of
+    the query's k-th best (vectorized: one sort by query, then score)."""
+    if len(q) == 0:
+        return np.arange(0)
+    order = np.lexsort((-s, q))
+    qs, ss = q[order], s[order]
+    starts = np.flatnonzero(np.r_[True, qs[1:] != qs[:-1]])
+    sizes = np.diff(np.r_[starts, len(qs)])
+    kth = np.where(sizes >= k, ss[starts + np.minimum(sizes, k) - 1], -np.inf)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    return order[ss >= kth[group] - MARGIN]
+
+
 def local_top_k(weights_bc, k: int):
-    """The ``mapInArrow`` function over ``doc_terms`` batches."""
+    """The ``mapInArrow`` function over ``doc_terms`` batches: one running top-k
+    per query for the whole task, emitted once at its end."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -85,6 +101,9 @@ def local_top_k(weights_bc, k: int):
         vocab = pa.array(w["terms"], type=pa.string())
         nq = max(w["nq"], 1)
         chunk_docs = max(1, DENSE_CELLS // nq)
+        keep_q = np.arange(0, dtype=np.int64)
+        keep_s = np.arange(0, dtype=np.float64)
+        keep_keys = None
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -102,7 +121,6 @@ def local_top_k(weights_bc, k: int):
             freq = np.asarray(flat.field("freq").filter(pa.array(valid))).astype(np.float64)
             rows = parents[valid]
             tf = freq / term_count[rows]
-            out_q, out_d, out_s = [], [], []
             # rows arrive in document order, so chunks are contiguous slices
             bounds = np.searchsorted(rows, np.arange(0, n + chunk_docs, chunk_docs))
             for c in range(len(bounds) - 1):
@@ -115,15 +133,15 @@ def local_top_k(weights_bc, k: int):
                 if res is None:
                     continue
                 qi, di, sc = res
-                out_q.append(qi)
-                out_d.append(di + first)
-                out_s.append(sc)
-            if not out_q:
-                continue
-            qi = np.concatenate(out_q)
-            di = np.concatenate(out_d)
+                q_all = np.concatenate([keep_q, qi.astype(np.int64)])
+                s_all = np.concatenate([keep_s, sc])
+                new_keys = keys.take(pa.array(di + first))
+                k_all = new_keys if keep_keys is None else pa.concat_arrays([keep_keys, new_keys])
+                idx = prune_top_k(q_all, s_all, k)
+                keep_q, keep_s, keep_keys = q_all[idx], s_all[idx], k_all.take(pa.array(idx))
+        if keep_keys is not None and len(keep_q):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qi.astype(np.int32)), keys.take(pa.array(di)), pa.array(np.concatenate(out_s))],
+                [pa.array(keep_q.astype(np.int32)), keep_keys, pa.array(keep_s)],
                 names=["query_idx", "doc_key", "score"])
 
     return run
