@@ -39,6 +39,7 @@ class Index:
     buckets: int | None = None          # set for a stored index partitioned by term bucket
     doc_terms: DataFrame | None = field(default=None, repr=False)   # forward index, one row per document
     _n_docs: int | None = field(default=None, repr=False)
+    _first_keys: list | None = field(default=None, repr=False)   # smallest keys, stored with the index
     _cached: list = field(default_factory=list, repr=False)
 
     @property

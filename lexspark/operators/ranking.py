@@ -152,10 +152,18 @@ def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def first_keys(index: Index, k: int = TOP_K) -> list:
-    """The k smallest document keys: k rows to the driver (TakeOrderedAndProject)."""
+    """The k smallest document keys: k rows to the driver.  A stored index keeps
+    them (``FIRST_KEYS`` of them), so a search does not scan every key; otherwise
+    a top-k over the keys (TakeOrderedAndProject)."""
+    if index._first_keys is not None and (k <= len(index._first_keys) or index.n_docs <= len(index._first_keys)):
+        return index._first_keys[:k]
     return [r[0] for r in index.documents.select("doc_key").orderBy("doc_key").limit(k).collect()]
 
 
+# Smallest document keys stored with an index for zero-fill (top-k up to this k).
+FIRST_KEYS = 1000
+
+
 def zero_fill(top: DataFrame, query_ids: DataFrame, fill_keys: list, k: int = TOP_K) -> DataFrame:
     """Complete every query's list to k with rank-0 documents, smallest keys first (Q5).
 

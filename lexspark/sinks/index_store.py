@@ -7,6 +7,7 @@ Layout below ``path``::
     postings/       bucket=<b>/  (term, doc_key, freq, term_count), sorted by term, doc_key
     doc_freq/       bucket=<b>/  (term, df)
     corpus_stats/   (stat, value)
+    first_keys/     the FIRST_KEYS smallest document keys (zero-fill of short result lists)
 
 ``bucket = pmod(xxhash64(term), buckets)``.  Searching joins on (bucket, term),
 so dynamic partition pruning reads only the buckets of the query terms, and
@@ -24,6 +25,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.index import Index, term_bucket
+from ..operators.ranking import FIRST_KEYS
 
 DEFAULT_BUCKETS = 64
 PUBLISHED_MARKER = "_published"
@@ -54,6 +56,9 @@ def write_index(index: Index, path: str, buckets: int = DEFAULT_BUCKETS, mode: s
     if index.doc_terms is not None:
         index.doc_terms.write.mode(mode).parquet(f"{path}/doc_terms")
     index.corpus_stats().coalesce(1).write.mode(mode).parquet(f"{path}/corpus_stats")
+    # the smallest keys, for zero-filled top-k lists without scanning every key
+    (index.documents.select("doc_key").orderBy("doc_key").limit(FIRST_KEYS)
+     .coalesce(1).write.mode(mode).parquet(f"{path}/first_keys"))
 
 
 def load_index(spark: SparkSession, path: str, stemmed: bool = True, n_docs_from_stats: bool = True) -> Index:
@@ -72,8 +77,11 @@ def load_index(spark: SparkSession, path: str, stemmed: bool = True, n_docs_from
     if meta:
         buckets = int(meta.get("buckets", 0)) or None
         stemmed = meta.get("stemmed", "true") == "true"
+    first = None
+    if _exists(spark, f"{path}/first_keys"):
+        first = sorted(r[0] for r in spark.read.parquet(f"{path}/first_keys").collect())  # <= FIRST_KEYS rows
     return Index(documents=documents, postings=postings, doc_freq=doc_freq, stemmed=stemmed,
-                 buckets=buckets, doc_terms=doc_terms, _n_docs=n_docs)
+                 buckets=buckets, doc_terms=doc_terms, _n_docs=n_docs, _first_keys=first)
 
 
 def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:

@@ -11,6 +11,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     (no shuffle); only a source with fewer splits than cores is spread
     round-robin.  ``getNumPartitions`` plans the scan but reads no data.
     """
+    if df.isStreaming:
+        return df  # a stream's micro-batches are planned per batch
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
