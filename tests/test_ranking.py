@@ -135,3 +135,18 @@ def test_document_path_equals_term_path(spark, monkeypatch, stem_words):
     by_docs = {tuple(r) for r in rk.search_many(idx, bench).collect()}
     assert len(by_terms) == 20 * bench.count()
     assert by_docs == by_terms
+
+
+def test_result_formats_escape_keys(spark):
+    import json
+
+    from lexspark.sinks import results
+    docs = docs_df(spark, [('a "quoted" path', "x y"), ("back\\slash", "y"), ("plain", "z")])
+    idx = ix.build_index(docs, stem=False)
+    q = spark.createDataFrame([(1, "x")], "query_id int, text string")
+    top = rk.search_many(idx, q)
+    got = json.loads(results.result_json(top).first()["result"])
+    assert got[0] == ['a "quoted" path', 0.238561]
+    assert [k for k, _ in got] == ['a "quoted" path', "back\\slash", "plain"]
+    lines = [r.line for r in results.result_lines(top).orderBy("rn").collect()]
+    assert lines[0] == 'a "quoted" path 0.238561'
