@@ -344,7 +344,7 @@ def query_rejects(spark, sf_dir):
     bodies = conv.select(F.struct("conv_id", "turn").alias("query_id"),
                          F.encode(F.col("text"), "ISO-8859-1").alias("body"))
     good, rejects = rk.split_query_bodies(bodies)
-    top = rk.search_many(documents_index(spark, sf_dir), good, fill=False)
+    top = rk.search_many(documents_index(spark, sf_dir), good)  # every valid query gets its ranked list
     answered = top.select("query_id").distinct().withColumn("status", F.lit("answered"))
     return (answered.unionByName(rejects.select("query_id", F.lit("rejected").alias("status")))
             .groupBy("status").agg(F.count(F.lit(1)).alias("queries")))
