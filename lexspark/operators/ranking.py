@@ -26,7 +26,7 @@ from ..functions.analyze import explode_rows, term_counts, token_array
 from ..session import materialize
 from . import scoring
 from .index import Index, term_bucket
-from .sizing import broadcast_if_small
+from .sizing import BROADCAST_MAX_ROWS, broadcast_if_small
 from .stemming import apply_stems, stem_vocabulary
 
 RANK_DECIMALS = 6
@@ -46,7 +46,9 @@ def analyze_queries(queries: DataFrame, key: str | Column = "query_id", text: st
     qt = (explode_rows(q, "term_counts")
           .select("query_id", F.col("p.term").alias("term"), F.col("p.freq").alias("w")))
     if stem:
-        vocab = stem_vocabulary(qt, "term")
+        # the dictionary of the query words is written once: the size check and
+        # the join then read it instead of running the stemmer again
+        vocab = materialize(stem_vocabulary(qt, "term"), "query-stems")
         qt = (apply_stems(qt, vocab, "term")
               .groupBy("query_id", "term").agg(F.sum("w").alias("w")))
     return qt
@@ -80,7 +82,7 @@ def tfidf_weights(index: Index) -> DataFrame:
                     (tf_column() * F.col("idf")).alias("tfidf"))
 
 
-def weighted_query_terms(index: Index, qterms: DataFrame) -> DataFrame:
+def weighted_query_terms(index: Index, qterms: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """(query_id, [bucket,] term, df, qw = w * idf) for terms with 0 < idf; size-checked
     broadcast of the query side into the doc_freq scan (bucket-pruned when stored)."""
     n = index.n_docs
@@ -90,20 +92,23 @@ def weighted_query_terms(index: Index, qterms: DataFrame) -> DataFrame:
         keys = ["bucket", "term"]
     # w > 0 always holds; stated as a filter it lets dynamic partition pruning
     # use this side to skip doc_freq buckets (it needs a selective predicate)
-    q = broadcast_if_small(qterms.where(F.col("w") > 0))
+    q = qterms.where(F.col("w") > 0)
+    q = broadcast_if_small(q) if broadcast is None else (F.broadcast(q) if broadcast else q)
     joined = index.doc_freq.join(q, keys)
     return (joined.where(F.col("df") < F.lit(n))
             .select("query_id", *keys, "df", (F.col("w").cast("double") * idf_column(n)).alias("qw")))
 
 
-def score(index: Index, qterms: DataFrame | None = None, wq: DataFrame | None = None) -> DataFrame:
+def score(index: Index, qterms: DataFrame | None = None, wq: DataFrame | None = None,
+          broadcast: bool | None = None) -> DataFrame:
     """(query_id, doc_key, rank) for documents with at least one scoring term (Q3, Q4):
     the postings of the query terms joined with the (broadcast) query weights and
     summed per (query, document)."""
     if wq is None:
         wq = weighted_query_terms(index, qterms)
     # qw > 0 always holds after the idf = 0 pruning; see weighted_query_terms
-    wq = broadcast_if_small(wq.drop("df").where(F.col("qw") > 0))
+    wq = wq.drop("df").where(F.col("qw") > 0)
+    wq = broadcast_if_small(wq) if broadcast is None else (F.broadcast(wq) if broadcast else wq)
     keys = ["bucket", "term"] if index.buckets else ["term"]
     hits = index.postings.join(wq, keys)
     contrib = F.col("qw") * tf_column()
@@ -124,12 +129,15 @@ def top_k_hits(index: Index, qterms: DataFrame, k: int = TOP_K) -> DataFrame:
     (bucket-pruned scan, join, sum, window); many -> forward index scored per
     task with a local top-k, then the window on the survivors."""
     # the query side is small and read several times: computed once
-    wq = materialize(weighted_query_terms(index, materialize(qterms, "query-terms")), "query-weights")
+    qt = materialize(qterms, "query-terms")
+    qt_small = qt.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+    wq = materialize(weighted_query_terms(index, qt, broadcast=qt_small), "query-weights")
     stats = wq.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("contrib")).first()
     doc_path = (index.doc_terms is not None and stats["contrib"] > TERM_PATH_MAX_CONTRIBUTIONS
                 and stats["rows"] <= scoring.MAX_WEIGHTS)
     if not doc_path:
-        return top_k(score(index, wq=wq).where(F.col("rank") > 0), k)
+        wq_small = stats["rows"] <= BROADCAST_MAX_ROWS
+        return top_k(score(index, wq=wq, broadcast=wq_small).where(F.col("rank") > 0), k)
     rows = [(r[0], r[1], r[2]) for r in wq.select("query_id", "term", "qw").collect()]
     local, query_ids = scoring.score_top_candidates(index.doc_terms, rows, k)
     spark = index.documents.sparkSession
