@@ -22,7 +22,13 @@ def _index_from_docs(docs: DataFrame, doc_freq: DataFrame | None, stemmed: bool)
                 .select("doc_key", "term", "freq", "term_count"))
     if doc_freq is None:
         doc_freq = doc_freq_of(postings)
-    return Index(documents=documents, postings=postings, doc_freq=doc_freq, stemmed=stemmed)
+    # each JSON document already holds its term map: the forward index is a
+    # projection of the same rows (no shuffle)
+    doc_terms = docs.select(
+        F.col("path").alias("doc_key"), F.col("count").alias("term_count"),
+        F.array_sort(F.transform(F.map_entries(F.coalesce("tf", F.create_map().cast("map<string,bigint>"))),
+                                 lambda e: F.struct(e["key"].alias("term"), e["value"].alias("freq")))).alias("terms"))
+    return Index(documents=documents, postings=postings, doc_freq=doc_freq, stemmed=stemmed, doc_terms=doc_terms)
 
 
 def read_json_index(spark: SparkSession, path: str, stemmed: bool = True) -> Index:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import Index, build_index, doc_freq_of
+from ..operators.index import Index, build_index, doc_freq_of, forward_index
 from ..operators.sizing import broadcast_if_small
 from ..session import materialize
 from ..sinks.index_store import _exists
@@ -67,4 +67,5 @@ def read_stream_index(spark: SparkSession, out: str, stemmed: bool = False) -> I
     out = out.rstrip("/")
     documents = spark.read.parquet(f"{out}/documents").drop("batch_id")
     postings = spark.read.parquet(f"{out}/postings").drop("batch_id")
-    return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings), stemmed=stemmed)
+    return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings), stemmed=stemmed,
+                 doc_terms=forward_index(documents, postings))
