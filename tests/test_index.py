@@ -158,3 +158,14 @@ def test_json_and_stream_indexes_search_by_documents(spark, monkeypatch, docs):
         monkeypatch.setattr(rk, "TERM_PATH_MAX_CONTRIBUTIONS", 0)
         by_docs = {tuple(r) for r in rk.search_many(idx, bench).collect()}
         assert by_docs == by_terms and len(by_docs) == 20 * bench.count()
+
+
+def test_stored_first_keys(spark, index):
+    """A stored index keeps its smallest keys; zero-fill reads them instead of
+    a top-k over every key, with the same result."""
+    path = scratch_path(spark, "t-first-keys")
+    index_store.save_index(index, path, buckets=2)
+    loaded = index_store.load_index(spark, path)
+    assert loaded._first_keys is not None
+    assert rk.first_keys(loaded, 20) == rk.first_keys(index, 20)
+    assert rk.first_keys(loaded, 5) == sorted(r.doc_key for r in index.documents.collect())[:5]
