@@ -103,3 +103,36 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_W
             else:
                 out.append(np.zeros(0, _U))
     return out
+
+
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each position that has so many (Horner, by doubling)."""
+    if len(data) < width:
+        return np.zeros(0, _U)
+    with np.errstate(over="ignore"):
+        out, done = None, 0
+        run, length, factor = BYTE_VALUES[data], 1, _BASE  # run[i]: the length bytes from i; factor: base**length
+        done_factor, left = _U(1), width
+        while left:
+            if left & 1:
+                if out is None:
+                    out, done, done_factor = run, length, factor
+                else:
+                    m = min(len(out), len(run) - done)
+                    out = out[:m] + run[done:done + m] * done_factor
+                    done, done_factor = done + length, done_factor * factor
+            left >>= 1
+            if left:
+                m = len(run) - length
+                run = run[:m] + run[length:length + m] * factor
+                length, factor = 2 * length, factor * factor
+        return mix(out[:len(data) - width + 1])
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` consecutive values."""
+    done = 1
+    while 2 * done <= width:
+        values = np.minimum(values[:-done], values[done:])
+        done *= 2
+    return np.minimum(values[:done - width], values[width - done:]) if done < width else values
