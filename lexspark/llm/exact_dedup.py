@@ -21,7 +21,7 @@ one decision; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .common import ascii_lower
@@ -31,13 +31,13 @@ BLOCK_ROWS = 1 << 14
 FAN_IN = 64
 
 
-def _cut(counts: Column) -> Column:
-    """Misra-Gries cut of an array of (n, key): keep at most COUNTERS counters."""
-    ordered = F.sort_array(counts, asc=False)
-    over = F.coalesce(F.get(ordered, F.lit(COUNTERS)).getField("n"), F.lit(0))
-    kept = F.transform(F.slice(ordered, 1, COUNTERS),
-                       lambda c: F.struct((c["n"] - over).alias("n"), c["key"].alias("key")))
-    return F.filter(kept, lambda c: c["n"] > 0)
+def _cut(counts: DataFrame) -> DataFrame:
+    """Misra-Gries cut of each block of ``counts(block, key, n)``: at most COUNTERS counters stay."""
+    ordered = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False).alias("c"))
+    over = F.coalesce(F.get("c", F.lit(COUNTERS)).getField("n"), F.lit(0))
+    return (ordered.select("block", F.slice("c", 1, COUNTERS).alias("c"), over.alias("over"))
+            .select("block", "over", F.inline("c")).select("block", "key", (F.col("n") - F.col("over")).alias("n"))
+            .where("n > 0"))
 
 
 def frequent_keys(keys: DataFrame, n_rows: int) -> DataFrame:
@@ -49,8 +49,7 @@ def frequent_keys(keys: DataFrame, n_rows: int) -> DataFrame:
     # Rows never fill all blocks of every partition, so the tree is sized by rows and its top is one group.
     groups = max(1, n_rows // BLOCK_ROWS)
     while True:
-        summary = (counts.groupBy("block").agg(_cut(F.collect_list(F.struct("n", "key"))).alias("kept"))
-                   .select("block", F.inline("kept")))
+        summary = _cut(counts)
         if groups == 0:
             return summary.select("key")
         groups = 0 if groups == 1 else -(-groups // FAN_IN)
