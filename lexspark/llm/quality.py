@@ -2,7 +2,7 @@
 metadata (the text's length).
 
 Features of a text: its words (A-Z lower-cased), hashed to ``WORDS`` buckets, weighted by the
-logarithm of their count and scaled to length 1; and ``STATISTICS``, each a share or
+logarithm of their count and scaled to length 1/2; and ``STATISTICS``, each a share or
 a logarithm cut into ``BINS`` bins, one of which is on.  The score is the logistic of
 
     w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
@@ -71,7 +71,7 @@ def text_features(raw: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nd
     bins = WORDS + np.arange(len(STATISTICS)) * (BINS + 1) + [_bin(v) for v in values]
     buckets = (distinct >> np.uint64(64 - 14)).astype(np.int64)
     weight = np.log1p(counts)
-    weight = weight / np.sqrt((weight * weight).sum()) if m else weight
+    weight = 0.5 * weight / np.sqrt((weight * weight).sum()) if m else weight
     return np.concatenate([buckets, bins]).astype(np.int32), \
         np.concatenate([weight, np.full(len(bins), 1 / np.sqrt(len(bins)))]).astype(np.float32)
 
