@@ -44,10 +44,11 @@ from . import hashing
 
 LENGTH = 50
 LEAD = 16
-BLOCK_BYTES = 4 << 20     # text of a block
+BLOCK_BYTES = 2 << 20     # text of a block
 SCAN_BYTES = 1 << 20      # text hashed at once
 SHARD_BYTES = 16 << 20    # text whose leading bytes one shard of step 1 holds
-BUCKET_BYTES = 6 << 20    # text whose repeated suffixes one bucket of step 3 holds
+BUCKET_BYTES = 4 << 20    # text whose repeated suffixes one bucket of step 3 holds
+SLICE_WINDOWS = 1 << 18   # windows of a bucket compared at once
 SAMPLE_BYTES = 16 << 20   # text of the sample that the splitters come from
 NO_ID = np.iinfo(np.int64).max
 
@@ -201,8 +202,7 @@ def _send_contexts(n_shards: int, splitters: list[int]):
         for k, a, b in zip(used, starts, np.append(starts[1:], len(order))):
             p = order[a:b]
             lengths = last[p] - first[p] + LENGTH
-            text = data[np.repeat(first[p] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-                        + np.arange(lengths.sum())]
+            text = _gather(data, first[p], lengths)
             out.append({"part": int(k), "block": block, "contexts": _pack(
                 np.diff(owner[p], prepend=0), np.diff(first[p], prepend=0).astype(np.int32),
                 (at[p] - first[p]).astype(np.uint8), (last[p] - first[p] + 1).astype(np.uint8), text)})
@@ -252,31 +252,49 @@ def _bucket(group: pa.Table) -> pa.Table:
     several = np.minimum.reduceat(owner[order], begin) != np.maximum.reduceat(owner[order], begin)
     live = several[runs]
     pick, run = order[live], runs[live]
+    # whole runs at a time, about SLICE_WINDOWS windows
     n = n_windows[pick]
-    total = int(n.sum())
-    if total:
-        record = np.repeat(np.arange(len(pick)), n)
-        j = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        with np.errstate(over="ignore"):
-            key = hashing.rolling(data, LENGTH)[start[pick][record] + j] + hashing.mix(run.astype(np.uint64))[record]
-        by = np.argsort(key, kind="stable")
-        heads = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
-        who = owner[pick][record]
-        smallest = np.repeat(np.minimum.reduceat(who[by], heads), np.diff(np.append(heads, total)))
-        held = np.zeros(total, bool)
-        held[by] = who[by] > smallest
-        # consecutive windows of a record join to one span
-        same = np.append(False, record[1:] == record[:-1])
-        opens = np.flatnonzero(held & ~(same & np.append(False, held[:-1])))
-        closes = np.flatnonzero(held & ~(np.append(same[1:], False) & np.append(held[1:], False)))
-        place = first[pick][record] + j
-        a, b, src = place[opens], place[closes] + LENGTH, source[pick][record[opens]]
+    windows_before = np.cumsum(n) - n
+    run_begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))[:len(run)]
+    piece = np.repeat(windows_before[run_begin], np.diff(np.append(run_begin, len(run)))) // SLICE_WINDOWS
+    for part in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(piece)) + 1):
+        p = pick[part]
+        a, b, src = _held_spans(_gather(data, start[p], lengths[p]), n_windows[p], run[part], owner[p], first[p], source[p])
         for k in np.unique(src):
             out.append({"part": 0, "block": sent[k]["block"],
                         "spans": _pack(a[src == k].astype(np.uint32), b[src == k].astype(np.uint32))})
     return _table(out)
 
 
+def _gather(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The given stretches of ``data``, joined."""
+    return data[np.repeat(start - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
+
+
+def _held_spans(data: np.ndarray, n: np.ndarray, run: np.ndarray, owner: np.ndarray, first: np.ndarray,
+                source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and block number of the spans whose windows a smaller document holds: record r
+    has ``n[r]`` windows, from ``first[r]`` on, in its joined context in ``data``."""
+    total = int(n.sum())
+    record = np.repeat(np.arange(len(n)), n)
+    j = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+    with np.errstate(over="ignore"):
+        key = hashing.rolling(data, LENGTH)[begin[record] + j] + hashing.mix(run.astype(np.uint64))[record]
+    by = np.argsort(key, kind="stable")
+    heads = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))[:total]
+    who = owner[record]
+    smallest = np.repeat(np.minimum.reduceat(who[by], heads), np.diff(np.append(heads, total))) if total else who
+    held = np.zeros(total, bool)
+    held[by] = who[by] > smallest
+    # consecutive windows of a record join to one span
+    same = record[1:] == record[:-1]
+    opens = np.flatnonzero(held & ~np.append(False, same & held[:-1])[:total])
+    closes = np.flatnonzero(held & ~np.append(same & held[1:], False)[:total])
+    place = first[record] + j
+    return place[opens], place[closes] + LENGTH, source[record[opens]]
+
+
 _RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _RESULT_SCHEMA = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                             ("n_spans", pa.int64()), ("kept", pa.binary())])
