@@ -72,9 +72,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    place = np.arange(n, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, n))) if starts[0] == 0 else \
-        np.concatenate([np.zeros(starts[0], np.int64),
-                        np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))])
+    begin = np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, n)))])
+    place = np.arange(n, dtype=np.int64) - begin  # of a byte in its word
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, _U))
         values = BYTE_VALUES[_LOWER[data]] * powers[place]

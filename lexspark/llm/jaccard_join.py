@@ -42,10 +42,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import hashing
+from .common import unused
 from .components import components
 
 THRESHOLD_PERCENT = 75
-BLOCK_BYTES = 4 << 20   # text of a block of documents in step 1
+BLOCK_BYTES = 1 << 20   # text of a block of documents in step 1
 SHARD_BYTES = 8 << 20   # text whose shingles one shard holds
 BLOCK_DOCS = 384        # documents of a block in step 4
 
@@ -303,6 +304,7 @@ def _count_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays (the smallest id), with all its columns; rows with a
     null id stay."""
+    key = unused(docs, "dropped")
     dropped = jaccard_components(docs, id_col, text_col).where("id <> component_id").select(
-        F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+        F.col("id").alias(key)).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col(key), "left_anti")
