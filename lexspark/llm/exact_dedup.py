@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import ascii_lower
+from .common import ascii_lower, unused
 
 COUNTERS = 1024
 BLOCK_ROWS = 1 << 14
@@ -81,5 +81,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (rows with a null id are dropped
     when another row holds the text)."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    key = unused(docs, "kept_id")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias(key)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
