@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing
+from .common import unused
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 10_000
@@ -132,11 +133,12 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced)."""
+    found = unused(docs, "found")
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select(*keep, predict(F.col(text_col).cast("string")).alias("_found")).select(
-        *keep, "_found.lang_pred", "_found.score")
+    return docs.select(*keep, predict(F.col(text_col).cast("string")).alias(found)).select(
+        *keep, f"{found}.lang_pred", f"{found}.score")

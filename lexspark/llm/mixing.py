@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .common import WORD_PATTERN, word_count
+from .common import WORD_PATTERN, unused, word_count
 
 BUCKET_ROWS = 20_000
 WEIGHTS = (5, 2, 1)
@@ -87,12 +87,12 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
 
     Ids are expected to be unique.  Only the document at a source's cut is taken in part: its
     first words, with the white space before them."""
-    take = mixed.select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")) \
-                .where("_taken > 0")
-    epochs = F.sequence(F.lit(0), F.floor((F.col("_taken") - 1) / F.col("_size")).cast("int"))
-    words = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
+    key, size, taken, epoch = (unused(docs, c) for c in ("mix_id", "mix_size", "mix_taken", "mix_epoch"))
+    take = mixed.where("taken > 0").select(F.col("id").alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
+    epochs = F.sequence(F.lit(0), F.floor((F.col(taken) - 1) / F.col(size)).cast("int"))
+    words = F.least(F.col(size), F.col(taken) - F.col(epoch) * F.col(size))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)),
                                F.lit(1), words.cast("int")), "")
-    joined = docs.join(take, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_epoch", F.explode(epochs))
-    text = F.when(words == F.col("_size"), F.col(text_col)).otherwise(cut)
+    joined = docs.join(take, F.col(id_col).eqNullSafe(F.col(key))).withColumn(epoch, F.explode(epochs))
+    text = F.when(words == F.col(size), F.col(text_col)).otherwise(cut)
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

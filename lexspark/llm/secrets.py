@@ -59,6 +59,7 @@ def _matches(rows: DataFrame, kind: str) -> DataFrame:
                      F.regexp_extract_all("text", pattern, F.lit(0)).alias("tokens"))
              .select("row", F.transform("gaps", lambda g: F.char_length(g)).alias("gaps"), "tokens")
              .select("row", F.posexplode(F.arrays_zip("gaps", "tokens"))))
+    found = found.dropDuplicates(["row", "pos"])  # rows that repeat
     token = F.col("col.tokens")
     so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("col.gaps") + F.coalesce(F.char_length(token), F.lit(0))).over(so_far)
@@ -91,8 +92,8 @@ def battery(candidates: DataFrame) -> DataFrame:
          .withColumn("x", F.transform(F.split(body, ""), lambda ch: F.instr(F.col("enc.alphabet"), ch) - 1))
          .withColumn("size", F.length("enc.alphabet")).withColumn("n", F.size("x")))
     add = lambda values, f: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + f(v))
-    # chi-squared over equal cells, wide enough to expect 5 in each
-    c = c.withColumn("cells", F.when(F.col("n") < 60, 4).when(F.col("size") == 36, 12).otherwise(8))
+    # chi-squared over equal cells, wide enough to expect 3 in each
+    c = c.withColumn("cells", F.when(F.col("n") < 27, 4).when(F.col("size") == 36, 9).otherwise(8))
     per_cell = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda k: F.size(F.filter(
         "x", lambda v: F.floor(v * F.col("cells") / F.col("size")) == k)))
     expected, df = F.col("n") / F.col("cells"), F.col("cells") - 1
