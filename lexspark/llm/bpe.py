@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -37,8 +38,8 @@ from . import hashing
 
 WINDOW = 16
 CHUNK_BITS = 9
-CACHE_BYTES = 48 << 20
-BATCH_BYTES = 4 << 20
+CACHE_BYTES = 16 << 20
+BATCH_BYTES = 1 << 20
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -68,10 +69,10 @@ class Codec:
         self.cache: OrderedDict[bytes, tuple] = OrderedDict()
         self.cached_bytes = 0
 
-    def _ids(self, raw: bytes) -> list[int]:
-        return self.parts.encode_ordinary(raw.decode())
+    def _ids(self, raw: bytes) -> array:
+        return array("i", self.parts.encode_ordinary(raw.decode()))
 
-    def _chunk(self, raw: bytes) -> tuple[bytes, list[int] | None, bytes]:
+    def _chunk(self, raw: bytes) -> tuple[bytes, array | None, bytes]:
         """Head, ids of the middle and tail of a chunk; a chunk without a safe place is all head."""
         known = self.cache.get(raw)
         if known is not None:
@@ -90,8 +91,8 @@ class Codec:
             self.cached_bytes -= len(self.cache.popitem(last=False)[0])
         return known
 
-    def _plain(self, raw: bytes, cuts: list[int]) -> list[int]:
-        ids: list[int] = []
+    def _plain(self, raw: bytes, cuts: list[int]) -> array:
+        ids = array("i")
         join = b""  # what waits for the next safe place
         begin = 0
         for end in [*cuts, len(raw)]:
@@ -105,11 +106,11 @@ class Codec:
                 join = tail
         return ids + self._ids(join) if join else ids
 
-    def encode(self, raw: bytes, cuts: list[int]) -> list[int]:
+    def encode(self, raw: bytes, cuts: list[int]) -> array:
         """Ids of a text (UTF-8) that was cut at ``cuts``."""
         if not self.special_split or not any(s.encode() in raw for s in self.special):
             return self._plain(raw, cuts)
-        ids: list[int] = []
+        ids = array("i")
         for part in self.special_split.split(raw.decode()):
             if part in self.special:
                 ids.append(self.special[part])
@@ -117,7 +118,7 @@ class Codec:
                 ids += self._plain(part.encode(), [])
         return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -146,7 +147,7 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[list[int]]]]:
+def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[array]]]:
     own = codec(path)
     for batch in hashing.chunks(batches, "text", BATCH_BYTES):
         data, offsets = hashing.text_buffer(batch.column("text"))
@@ -159,7 +160,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """``id, ids ARRAY<INT>`` per row; ``path`` is a byte-level BPE file all executors have."""
     def run(batches):
         for keys, ids in _encoded(path, batches):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids])
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                                             names=["id", "ids"])
     return _input(docs, id_col, text_col).mapInArrow(run, _schema(docs, id_col, "ids array<int>"))
 
 
