@@ -102,28 +102,3 @@ def explode_rows(df, array_col: str, alias: str = "p", position: str | None = No
         out = df.select(*others, F.explode_outer(array_col).alias(alias))
     return out.where(F.col(alias).isNotNull())
 
-
-def merge_term_runs(df, pairs: str, out: str = "terms"):
-    """Add ``out``: ``pairs`` (ARRAY<STRUCT<term, freq>>, terms may repeat) with
-    equal terms merged and their frequencies summed, sorted by term; inside the
-    row (sort + run sums), like ``term_counts``."""
-    s = f"__{out}_sorted"
-    starts = f"__{out}_starts"
-    df = df.withColumn(s, F.array_sort(F.col(pairs)))
-    n = F.size(F.col(s))
-    df = df.withColumn(
-        starts,
-        F.when(n > 0, F.filter(
-            F.sequence(F.lit(1), n),
-            lambda i: (i == 1) | (F.element_at(F.col(s), i)["term"]
-                                  != F.element_at(F.col(s), F.greatest(i - 1, F.lit(1)))["term"])))
-        .otherwise(F.array().cast("array<int>")))
-    df = df.withColumn(
-        out,
-        F.transform(
-            F.col(starts),
-            lambda p, j: F.struct(
-                F.element_at(F.col(s), p)["term"].alias("term"),
-                F.aggregate(F.slice(F.col(s), p, F.coalesce(F.try_element_at(F.col(starts), j + 2), n + 1) - p),
-                            F.lit(0).cast("bigint"), lambda acc, x: acc + x["freq"]).alias("freq"))))
-    return df.drop(s, starts)

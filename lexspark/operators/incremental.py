@@ -51,26 +51,52 @@ def check_surrogate_ids(ids: DataFrame) -> None:
         raise ValueError(f"surrogate id collision on {bad[0][0]}")
 
 
-def merge_indexes(base: Index, delta: Index) -> Index:
-    """Union of two indexes over disjoint keys (A6): document frequencies add up."""
+POSTING_COLUMNS = ("doc_key", "term", "freq", "term_count")
+
+
+def _union_terms(base: Index, delta: Index) -> DataFrame | None:
+    if base.doc_terms is None or delta.doc_terms is None:
+        return None
+    return base.doc_terms.unionByName(delta.doc_terms)
+
+
+def merge_indexes(base: Index, delta: Index, check: bool = True) -> Index:
+    """Union of two indexes over disjoint keys (A6): document frequencies add up.  ``check``
+    fails on a key that both hold.  The result has no buckets, whatever its parts have."""
+    if check:
+        shared = base.documents.join(delta.documents.select("doc_key"), "doc_key", "left_semi").limit(1).collect()
+        if shared:
+            raise ValueError(f"document key {shared[0][0]!r} is in both indexes")
     documents = base.documents.unionByName(delta.documents)
-    postings = base.postings.unionByName(delta.postings.select(*base.postings.columns))
+    postings = base.postings.select(*POSTING_COLUMNS).unionByName(delta.postings.select(*POSTING_COLUMNS))
     doc_freq = (base.doc_freq.select("term", "df").unionByName(delta.doc_freq.select("term", "df"))
                 .groupBy("term").agg(F.sum("df").alias("df")))
     n = None
     if base._n_docs is not None and delta._n_docs is not None:
         n = base._n_docs + delta._n_docs
-    return Index(documents=documents, postings=postings, doc_freq=doc_freq, stemmed=base.stemmed, _n_docs=n)
+    return Index(documents=documents, postings=postings, doc_freq=doc_freq, stemmed=base.stemmed, _n_docs=n,
+                 doc_terms=_union_terms(base, delta))
 
 
-def add_documents(base: Index, new_docs: DataFrame, policy: str = "error") -> Index:
-    """Insert a batch ``(doc_key, text)`` into ``base`` (A6-A8).
+def without_documents(index: Index, keys: DataFrame) -> Index:
+    """``index`` without the documents of ``keys(doc_key)``; only the document frequencies of
+    their terms change: ``df = base - removed``."""
+    drop = lambda df: df.join(keys, "doc_key", "left_anti")
+    removed = (index.postings.join(keys, "doc_key", "left_semi")
+               .groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
+    doc_freq = (index.doc_freq.select("term", "df").unionByName(removed)
+                .groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") > 0))
+    return Index(documents=drop(index.documents), postings=drop(index.postings.select(*POSTING_COLUMNS)),
+                 doc_freq=doc_freq, stemmed=index.stemmed,
+                 doc_terms=None if index.doc_terms is None else drop(index.doc_terms))
+
+
+def accepted(base: Index, new_docs: DataFrame, policy: str) -> tuple[DataFrame, DataFrame]:
+    """The documents of a batch to index and the stored keys they replace, by the policy:
 
     ``error``: fail if a key exists (in the base or twice in the batch);
     ``ignore``: keep the stored document, drop the new one;
-    ``replace``: the new text wins.  Document frequencies are corrected only for
-    the terms of the removed and added postings: ``df = base - removed + added``.
-    """
+    ``replace``: the new text wins."""
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     assert_unique(new_docs)
@@ -79,20 +105,15 @@ def add_documents(base: Index, new_docs: DataFrame, policy: str = "error") -> In
         clash = existing.limit(1).collect()
         if clash:
             raise ValueError(f"document key {clash[0][0]!r} is already indexed")
-        return merge_indexes(base, build_index(new_docs, stem=base.stemmed))
     if policy == "ignore":
-        fresh = new_docs.join(existing, "doc_key", "left_anti")
-        return merge_indexes(base, build_index(fresh, stem=base.stemmed))
-    delta = build_index(new_docs, stem=base.stemmed)
-    removed = base.postings.join(existing, "doc_key", "left_semi")
-    removed_df = removed.groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
-    doc_freq = (base.doc_freq.select("term", "df")
-                .unionByName(removed_df)
-                .unionByName(delta.doc_freq.select("term", "df"))
-                .groupBy("term").agg(F.sum("df").alias("df"))
-                .where(F.col("df") > 0))
-    documents = (base.documents.join(existing, "doc_key", "left_anti")
-                 .unionByName(delta.documents))
-    postings = (base.postings.join(existing, "doc_key", "left_anti")
-                .unionByName(delta.postings.select(*base.postings.columns)))
-    return Index(documents=documents, postings=postings, doc_freq=doc_freq, stemmed=base.stemmed)
+        new_docs = new_docs.join(existing, "doc_key", "left_anti")
+    return new_docs, existing if policy == "replace" else existing.where(F.lit(False))
+
+
+def add_documents(base: Index, new_docs: DataFrame, policy: str = "error") -> Index:
+    """Insert a batch ``(doc_key, text)`` into ``base`` (A6-A8); see ``accepted`` for the policies.
+    ``base`` may be built, loaded or read from a stream."""
+    fresh, replaced = accepted(base, new_docs, policy)
+    delta = build_index(fresh, stem=base.stemmed)
+    kept = without_documents(base, replaced) if policy == "replace" else base
+    return merge_indexes(kept, delta, check=False)

@@ -14,8 +14,8 @@ Layout (the normalized star of the relational index, as Spark tables):
 Plan of ``build_index``: tokenize each document inside its row (JVM regex), count
 its terms inside the row (sort + run lengths), explode to postings.  No shuffle
 is needed for term frequencies or lengths; ``doc_freq`` is a partial
-(map-side) count per term followed by one small shuffle.  Stemming adds a
-vocabulary job (``operators.stemming``) and one re-aggregation.
+(map-side) count per term followed by one small shuffle.  Stemming
+(``operators.stemming``) maps the terms inside the row, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.analyze import explode_rows, merge_term_runs, term_counts, token_array
+from ..functions.analyze import explode_rows, term_counts, token_array
 from ..session import scratch_path
-from .stemming import apply_stems, changed_only, stem_vocabulary
+from .stemming import changed_only, stem_forward, stem_vocabulary
 
 
 @dataclass
@@ -39,6 +39,7 @@ class Index:
     buckets: int | None = None          # set for a stored index partitioned by term bucket
     doc_terms: DataFrame | None = field(default=None, repr=False)   # forward index, one row per document
     _n_docs: int | None = field(default=None, repr=False)
+    _n_postings: int | None = field(default=None, repr=False)
     _first_keys: list | None = field(default=None, repr=False)   # smallest keys, stored with the index
     _cached: list = field(default_factory=list, repr=False)
 
@@ -49,6 +50,15 @@ class Index:
             self._n_docs = self.documents.count()
         return self._n_docs
 
+    @property
+    def n_postings(self) -> int:
+        """Postings of the corpus (one number to the driver)."""
+        if self._n_postings is None:
+            total = (self.doc_terms.agg(F.sum(F.size("terms"))) if self.doc_terms is not None
+                     else self.postings.agg(F.count(F.lit(1))))
+            self._n_postings = total.first()[0] or 0
+        return self._n_postings
+
     def corpus_stats(self) -> DataFrame:
         """(stat, value) rows: n_docs, n_tokens (documents), n_terms, n_postings (A4)."""
         def long_form(df: DataFrame, pairs: dict) -> DataFrame:
@@ -92,14 +102,6 @@ def term_bucket(term: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
 
 
-def stem_terms(postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Postings with each raw word replaced by its stem; one document may now hold
-    a term twice (``merge_postings`` sums them)."""
-    if vocabulary is None:
-        vocabulary = materialized_vocabulary(postings)
-    return apply_stems(postings, vocabulary, "term")
-
-
 def materialized_vocabulary(postings: DataFrame) -> DataFrame:
     """The stem dictionary written once as Parquet in the shared checkpoint folder
     (computed once, survives executor loss, and its size is known before the join)."""
@@ -109,16 +111,6 @@ def materialized_vocabulary(postings: DataFrame) -> DataFrame:
     return changed_only(spark.read.parquet(path))
 
 
-def merge_postings(postings: DataFrame) -> DataFrame:
-    return (postings.groupBy("doc_key", "term")
-            .agg(F.sum("freq").alias("freq"), F.max("term_count").alias("term_count")))
-
-
-def stem_postings(postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Map raw words to stems and merge terms of one document that share a stem."""
-    return merge_postings(stem_terms(postings, vocabulary))
-
-
 def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index:
     """Index ``docs(doc_key, text)``.  ``stem=False`` keeps raw (case-folded) terms."""
     analyzed = analyze_documents(docs)
@@ -130,7 +122,7 @@ def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index
     postings = explode_postings(analyzed)
     doc_terms = analyzed.select("doc_key", "term_count", F.col("term_counts").alias("terms"))
     if stem:
-        doc_terms = stemmed_forward_index(documents, stem_terms(postings))
+        doc_terms = stem_forward(doc_terms)
         if cache:
             doc_terms = doc_terms.persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(doc_terms)
@@ -139,21 +131,6 @@ def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index
                  stemmed=stem, doc_terms=doc_terms, _cached=cached)
 
 
-def stemmed_forward_index(documents: DataFrame, stemmed: DataFrame) -> DataFrame:
-    """``doc_terms`` from postings whose terms were replaced by stems (a term may
-    now occur twice in a document).  One shuffle: the pairs of a document are
-    collected per key (map-side first, so one row per document moves), then equal
-    terms are merged inside the row.  Documents without tokens have no postings;
-    they come back by a union, not a join."""
-    grouped = stemmed.groupBy("doc_key").agg(
-        F.max("term_count").alias("term_count"),
-        F.collect_list(F.struct("term", "freq")).alias("pairs"))
-    merged = merge_term_runs(grouped, "pairs", "terms").select("doc_key", "term_count", "terms")
-    empty = (documents.where(F.col("term_count") == 0)
-             .select("doc_key", "term_count", F.array().cast("array<struct<term:string,freq:bigint>>").alias("terms")))
-    return merged.unionByName(empty)
-
-
 def forward_index(documents: DataFrame, postings: DataFrame) -> DataFrame:
     """``doc_terms(doc_key, term_count, terms ARRAY<STRUCT<term, freq>>)`` from postings:
     one shuffle on the key; each group is one document's distinct terms."""

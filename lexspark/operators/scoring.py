@@ -10,15 +10,16 @@ documents.  Only those rows are shuffled to the final per-query top-k window,
 so the shuffle is at most about ``k x queries x tasks`` rows, whatever the
 corpus size.
 
-Exactness: ranks are compared after rounding to ``RANK_DECIMALS`` with the
+Exactness: ranks are compared after rounding to ``ORDER_DECIMALS`` with the
 document key as tie-break.  Rounding is monotonic, so every document of the
 task's rounded top-k has an unrounded score of at least the k-th best score of
 any subset of the task's documents minus one rounding step.  Each pruning
 (per chunk, then of the running candidates) keeps everything above that bound,
 a superset; Spark rounds and ranks the survivors.
 
-The query weights reach the tasks as a broadcast of a measured size
-(``MAX_WEIGHTS`` rows); beyond it callers use the join-based path.
+The query weights reach the tasks as a broadcast of about ``MAX_WEIGHTS`` rows;
+callers cut larger batches into blocks of queries, one pass over the forward
+index each.  A chunk of documents is bounded in score cells and in contributions.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ from typing import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import materialize
+
 # Rows of (query, term, weight) shipped to the tasks at most.
-MAX_WEIGHTS = 1_000_000
+MAX_WEIGHTS = 250_000
 # Cells of the dense (queries x documents) score block of one chunk.
 DENSE_CELLS = 4_000_000
+# (query, document, term) contributions of one chunk, unless one document has more.
+CHUNK_CONTRIBUTIONS = 2_000_000
 # Unrounded scores within this distance of the k-th best are kept.
-MARGIN = 2e-6
+MARGIN = 2e-12
 
 
 def pack_weights(rows: list, key_index: dict) -> dict:
@@ -89,6 +94,19 @@ def prune_top_k(q: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return order[ss >= kth[group] - MARGIN]
 
 
+def chunk_bounds(per_doc: np.ndarray, chunk_docs: int) -> list[tuple[int, int]]:
+    """(first document, documents) of consecutive chunks: at most ``chunk_docs`` documents and, where
+    there are several, ``CHUNK_CONTRIBUTIONS`` contributions."""
+    total = np.concatenate([[0.0], np.cumsum(per_doc)])
+    out, first, n = [], 0, len(per_doc)
+    while first < n:
+        fits = int(np.searchsorted(total, total[first] + CHUNK_CONTRIBUTIONS, side="right")) - 1 - first
+        nd = max(1, min(chunk_docs, fits, n - first))
+        out.append((first, nd))
+        first += nd
+    return out
+
+
 def local_top_k(weights_bc, k: int):
     """The ``mapInArrow`` function over ``doc_terms`` batches: one running top-k
     per query for the whole task, emitted once at its end."""
@@ -122,13 +140,11 @@ def local_top_k(weights_bc, k: int):
             rows = parents[valid]
             tf = freq / term_count[rows]
             # rows arrive in document order, so chunks are contiguous slices
-            bounds = np.searchsorted(rows, np.arange(0, n + chunk_docs, chunk_docs))
-            for c in range(len(bounds) - 1):
-                lo, hi = bounds[c], bounds[c + 1]
+            per_doc = np.bincount(rows, weights=w["offsets"][codes + 1] - w["offsets"][codes], minlength=n)
+            for first, nd in chunk_bounds(per_doc, chunk_docs):
+                lo, hi = np.searchsorted(rows, [first, first + nd])
                 if lo == hi:
                     continue
-                first = c * chunk_docs
-                nd = min(chunk_docs, n - first)
                 res = _chunk_top_k(rows[lo:hi] - first, codes[lo:hi], tf[lo:hi], w, k, nd)
                 if res is None:
                     continue
@@ -147,11 +163,11 @@ def local_top_k(weights_bc, k: int):
     return run
 
 
-def score_top_candidates(doc_terms: DataFrame, wq_rows: list, k: int) -> DataFrame:
-    """(query_id, doc_key, rank) holding every query's top k (and near ties).
+def score_top_candidates(doc_terms: DataFrame, wq_rows: list, k: int, id_type: T.DataType) -> DataFrame:
+    """(query_id, doc_key, rank) holding every query's top k (and near ties), written as a
+    table so that the weights leave the executors.
 
-    ``wq_rows``: the (query_id, term, qw) rows, already measured below
-    ``MAX_WEIGHTS`` and collected."""
+    ``wq_rows``: the (query_id, term, qw) rows of a block of queries."""
     spark = doc_terms.sparkSession
     query_ids = sorted({r[0] for r in wq_rows}, key=repr)
     key_index = {qid: i for i, qid in enumerate(query_ids)}
@@ -160,5 +176,9 @@ def score_top_candidates(doc_terms: DataFrame, wq_rows: list, k: int) -> DataFra
     out_schema = T.StructType([T.StructField("query_idx", T.IntegerType()),
                                T.StructField("doc_key", key_type),
                                T.StructField("score", T.DoubleType())])
-    local = doc_terms.select("doc_key", "term_count", "terms").mapInArrow(local_top_k(weights, k), out_schema)
-    return local, query_ids
+    local = materialize(doc_terms.select("doc_key", "term_count", "terms").mapInArrow(local_top_k(weights, k), out_schema),
+                        "query-candidates")
+    weights.unpersist()
+    ids = spark.createDataFrame(list(enumerate(query_ids)), T.StructType(
+        [T.StructField("query_idx", T.IntegerType()), T.StructField("query_id", id_type)]))
+    return local.join(F.broadcast(ids), "query_idx").select("query_id", "doc_key", F.col("score").alias("rank"))

@@ -1,23 +1,23 @@
 """Size checks before a broadcast.
 
-A side is broadcast only when its row count has been measured below a bound;
-beyond the bound the join is left to a shuffle join, where AQE can still split
-skewed partitions.
+Only a side that is already written as a table is measured, in bytes, by one
+aggregate over it; anything else is left to Spark, whose adaptive execution
+knows the size of a finished stage and splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Rows above which a join side is never broadcast (about 100 bytes per row,
-# so the broadcast stays well under Spark's 8 GB limit and executor memory).
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes of values (as JSON, an upper bound) above which a join side is never broadcast.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+def value_bytes(written: DataFrame) -> int:
+    """Bytes of the values of a written table (one number to the driver)."""
+    return written.agg(F.sum(F.octet_length(F.to_json(F.struct(*written.columns))))).first()[0] or 0
 
-    Counting stops early: only ``max_rows + 1`` rows are ever looked at.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def broadcast_if_small(written: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``F.broadcast(written)`` if its values take at most ``max_bytes``, else ``written``."""
+    return F.broadcast(written) if value_bytes(written) <= max_bytes else written

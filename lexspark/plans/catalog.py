@@ -15,7 +15,7 @@ from ..operators import ranking as rk
 from ..session import scratch_path
 from ..sinks import index_json, results
 from ..sinks import index_store as store
-from ..sources.files import indexable, read_folder
+from ..sources.files import indexable, read_folder, reason_class
 from ..sources.files import skip_accounting as files_skip_accounting
 from ..sources.index_json import legacy_index, read_json_index
 from ..sources.markup import pages_as_documents, xml_documents
@@ -124,13 +124,33 @@ def search_many_zero_fill(spark, sf_dir):
 
 def search_conversations(spark, sf_dir):
     """User turns as queries; the query key is the pair (conv_id, turn)."""
+    return _conversations(spark, sf_dir, "auto")
+
+
+def _conversations(spark, sf_dir, plan):
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     queries = conv.select(F.struct("conv_id", "turn").alias("query_id"), "text")
-    out = rk.search_many(documents_index(spark, sf_dir), queries)
+    out = rk.search_many(documents_index(spark, sf_dir), queries, plan=plan)
     return _bigint_rn(out.select(F.col("query_id.conv_id").alias("conv_id"), F.col("query_id.turn").alias("turn"),
                                  "rn", F.col("doc_key").alias("doc_id"), "rank"))
 
 
+def search_many_by_documents(spark, sf_dir):
+    """``search_many_zero_fill`` by the plan that scores the forward index, at any size."""
+    out = rk.search_many(documents_index(spark, sf_dir), _benchmark(spark, sf_dir), plan="documents")
+    return _bigint_rn(_as_doc_id(out))
+
+
+def search_many_by_terms(spark, sf_dir):
+    """``search_many_zero_fill`` by the plan that joins postings, at any size."""
+    out = rk.search_many(documents_index(spark, sf_dir), _benchmark(spark, sf_dir), plan="terms")
+    return _bigint_rn(_as_doc_id(out))
+
+
+def search_conversations_by_documents(spark, sf_dir):
+    return _conversations(spark, sf_dir, "documents")
+
+
 def search_scoped(spark, sf_dir):
     docs = scope(read_table(spark, sf_dir, "documents"), "source", P.SCOPED_SOURCES)
     index = ix.build_index(from_table(docs, "doc_id", "text"), stem=False)
@@ -196,6 +216,24 @@ def index_roundtrip_parquet(spark, sf_dir):
     return _as_doc_id(loaded.postings.select("doc_key", "term", "freq", "term_count"))
 
 
+def _stored(spark, sf_dir):
+    path = scratch_path(spark, "index-stored")
+    index = documents_index(spark, sf_dir)
+    store.save_index(index, path, buckets=P.BUCKETS)
+    index.unpersist()
+    return store.load_index(spark, path)
+
+
+def search_stored(spark, sf_dir):
+    """One literal query on the stored index."""
+    return _single(_stored(spark, sf_dir), P.QUERY_TOP20)
+
+
+def search_many_stored(spark, sf_dir):
+    """The benchmark queries on the stored index."""
+    return _bigint_rn(_as_doc_id(rk.search_many(_stored(spark, sf_dir), _benchmark(spark, sf_dir))))
+
+
 def index_roundtrip_json(spark, sf_dir):
     path = scratch_path(spark, "index-json")
     index_json.write_json_index(documents_index(spark, sf_dir), path)
@@ -206,7 +244,7 @@ def index_roundtrip_json(spark, sf_dir):
 def legacy_import(spark, sf_dir):
     """Postings written in the legacy ``{path: {term: freq}}`` layout, imported back."""
     path = scratch_path(spark, "index-legacy")
-    index_json.write_legacy_index(documents_index(spark, sf_dir).postings, path)
+    index_json.write_legacy_index(documents_index(spark, sf_dir), path)
     imported = legacy_index(spark, path)
     return imported.postings.select(F.col("doc_key").cast("bigint").alias("doc_id"), "term", "freq", "term_count")
 
@@ -247,6 +285,31 @@ def replace_document(spark, sf_dir):
     return inc.add_documents(base, new, policy="replace").doc_freq
 
 
+def _append(spark, sf_dir, base, new, policy):
+    root = scratch_path(spark, "appended")
+    index = ix.build_index(base, stem=False)
+    store.publish_index(index, root, buckets=P.BUCKETS)
+    index.unpersist()
+    store.append_documents(spark, root, new, policy)
+    return store.load_published(spark, root)
+
+
+def add_to_stored_index(spark, sf_dir):
+    """The later sources are appended to a published index of the others: its postings."""
+    docs = read_table(spark, sf_dir, "documents")
+    later = F.col("source") >= P.DELTA_FROM_SOURCE
+    index = _append(spark, sf_dir, from_table(docs.where(~later), "doc_id", "text"),
+                    from_table(docs.where(later), "doc_id", "text"), "error")
+    return _as_doc_id(index.postings.select("doc_key", "term", "freq", "term_count"))
+
+
+def replace_in_stored_index(spark, sf_dir):
+    """Benchmark texts replace documents of a published index: its document frequencies."""
+    index = _append(spark, sf_dir, from_table(read_table(spark, sf_dir, "documents"), "doc_id", "text"),
+                    from_table(read_table(spark, sf_dir, "benchmark"), "item_id", "text"), "replace")
+    return index.doc_freq.select("term", "df")
+
+
 def duplicate_keys(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     batch = docs.unionByName(docs.where(F.col("source") == P.DUPLICATED_SOURCE))
@@ -277,9 +340,9 @@ def stream_doc_freq(spark, sf_dir):
     standins.write_stream_source(read_table(spark, sf_dir, "documents").select("doc_id", "text"), src,
                                  P.STREAM_FILES, "doc_id")
     out = scratch_path(spark, "stream-index")
-    q = index_stream.index_stream(_doc_stream(spark, src), out, scratch_path(spark, "stream-ckpt"))
+    q = index_stream.index_stream(_doc_stream(spark, src), out, scratch_path(spark, "stream-ckpt"), stem=False)
     q.awaitTermination()
-    return index_stream.read_stream_index(spark, out).doc_freq
+    return index_stream.read_stream_index(spark, out, stemmed=False).doc_freq
 
 
 def stream_unique_keys(spark, sf_dir):
@@ -293,7 +356,7 @@ def stream_unique_keys(spark, sf_dir):
     stream = (spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src)
               .select(F.col("doc_id").alias("doc_key"), "text"))
-    q = index_stream.index_stream(stream, out, scratch_path(spark, "stream-ckpt"))
+    q = index_stream.index_stream(stream, out, scratch_path(spark, "stream-ckpt"), stem=False)
     q.awaitTermination()
     return index_stream.read_stream_index(spark, out).documents.select(F.col("doc_key").alias("doc_id"))
 
@@ -334,13 +397,16 @@ def folder_index(spark, sf_dir):
 
 
 def skip_accounting(spark, sf_dir):
-    return files_skip_accounting(_folder(spark, sf_dir))
+    """(status, error, files): parser messages are shown by their class."""
+    files = _folder(spark, sf_dir)
+    return files_skip_accounting(files.withColumn("error", reason_class(F.col("error"))))
 
 
 def query_rejects(spark, sf_dir):
     """User turns arrive as bytes in ISO-8859-1: bodies that are not valid UTF-8 are
     rejected with a message, the others are searched.  (status, queries)."""
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    # (characters outside Latin-1 become "?" in this stand-in)
     bodies = conv.select(F.struct("conv_id", "turn").alias("query_id"),
                          F.encode(F.col("text"), "ISO-8859-1").alias("body"))
     good, rejects = rk.split_query_bodies(bodies)
@@ -366,6 +432,9 @@ CORE_QUERIES = {
     "search_many": search_many,
     "search_many_zero_fill": search_many_zero_fill,
     "search_conversations": search_conversations,
+    "search_many_by_documents": search_many_by_documents,
+    "search_many_by_terms": search_many_by_terms,
+    "search_conversations_by_documents": search_conversations_by_documents,
     "search_scoped": search_scoped,
     "search_result_json": search_result_json,
     "search_result_lines": search_result_lines,
@@ -379,6 +448,10 @@ MORE_QUERIES = {
     "index_roundtrip_json": index_roundtrip_json,
     "legacy_import": legacy_import,
     "published_index": published_index,
+    "search_stored": search_stored,
+    "search_many_stored": search_many_stored,
+    "add_to_stored_index": add_to_stored_index,
+    "replace_in_stored_index": replace_in_stored_index,
     "surrogate_ids": surrogate_ids,
     "merge_doc_freq": merge_doc_freq,
     "replace_document": replace_document,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators.ranking import RANK_DECIMALS, TOP_K  # noqa: F401  (re-exported)
-from ..sources.markup import HTML_ENTITIES, HTML_STRIP_PATTERN  # noqa: F401
 
 # Literal queries (free text, analyzed like documents).
 QUERY_TOP20 = "disgusting Einheit lement, the tioned"
@@ -26,10 +25,3 @@ DUPLICATED_SOURCE = "src7"
 # Foreign-key check: the documents of this source are missing from the documents table.
 ORPHANED_SOURCE = "src2"
 
-
-def html_decode_sql(expr: str) -> str:
-    """Nested ``replace`` calls, ``&amp;`` last (DuckDB and Spark SQL)."""
-    out = expr
-    for entity, char in HTML_ENTITIES:
-        out = "replace(%s, '%s', '%s')" % (out, entity, char.replace("'", "''"))
-    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,6 +55,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or configured).rstrip("/")
 
 
+def package_zip(folder: str) -> str:
+    """A zip of this package in ``folder``, for ``--py-files`` or ``ship``."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(folder, "lexspark.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(path, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    return target
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a running session, whose Python functions import it."""
+    spark.sparkContext.addPyFile(package_zip(tempfile.mkdtemp(prefix="lexspark-zip-")))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -14,22 +14,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.index import Index
+from ..operators.index import Index, forward_index
 
 
-def document_objects(index: Index) -> DataFrame:
-    """(path, count, tf) per document, empty documents with an empty map.
+def _forward(index: Index) -> DataFrame:
+    return index.doc_terms if index.doc_terms is not None else forward_index(index.documents, index.postings)
+
 
-    Postings and document rows meet in one shuffle on the key; each group holds
-    one document's distinct terms (the document was one row to begin with)."""
-    docs = index.documents.select("doc_key", "term_count", F.lit(None).cast("string").alias("term"),
-                                  F.lit(None).cast("bigint").alias("freq"))
-    rows = docs.unionByName(index.postings.select("doc_key", "term_count", "term", "freq"))
-    grouped = rows.groupBy("doc_key").agg(
-        F.max("term_count").alias("count"),
-        F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "freq"))).alias("entries"))
-    return grouped.select(F.col("doc_key").cast("string").alias("path"), "count",
-                          F.map_from_entries("entries").alias("tf"))
+def document_objects(index: Index) -> DataFrame:
+    """(path, count, tf) per document, empty documents with an empty map: a projection of
+    the forward index, which has one row per document."""
+    return _forward(index).select(F.col("doc_key").cast("string").alias("path"), F.col("term_count").alias("count"),
+                                  F.map_from_entries("terms").alias("tf"))
 
 
 def write_json_index(index: Index, path: str, mode: str = "errorifexists") -> None:
@@ -38,13 +34,12 @@ def write_json_index(index: Index, path: str, mode: str = "errorifexists") -> No
     index.doc_freq.select("term", "df").write.mode(mode).json(f"{path}/df")
 
 
-def legacy_objects(postings: DataFrame) -> DataFrame:
-    """One ``{path: {term: freq}}`` object per document (the legacy layout), as
-    JSON text lines in column ``value``."""
-    grouped = postings.groupBy("doc_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "freq"))).alias("tf"))
-    return grouped.select(F.to_json(F.create_map(F.col("doc_key").cast("string"), F.col("tf"))).alias("value"))
+def legacy_objects(index: Index) -> DataFrame:
+    """One ``{path: {term: freq}}`` object per document (the legacy layout; ``{}`` for an empty
+    document), as JSON text lines in column ``value``."""
+    tf = F.map_from_entries("terms")
+    return _forward(index).select(F.to_json(F.create_map(F.col("doc_key").cast("string"), tf)).alias("value"))
 
 
-def write_legacy_index(postings: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    legacy_objects(postings).write.mode(mode).text(path)
+def write_legacy_index(index: Index, path: str, mode: str = "errorifexists") -> None:
+    legacy_objects(index).write.mode(mode).text(path)

@@ -52,19 +52,18 @@ def read_json_object_index(spark: SparkSession, path: str, stemmed: bool = True)
     return _index_from_docs(docs, df, stemmed)
 
 
-def read_legacy_index(spark: SparkSession, path: str) -> DataFrame:
-    """Postings ``(doc_key, term, freq)`` from ``{path: {TERM: freq}}`` objects, one per
-    line (a single-line file holding the whole map works too).  Terms are kept as
-    stored (the legacy files are upper-case and unstemmed)."""
+def read_legacy_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, count, tf)`` from ``{path: {TERM: freq}}`` objects, one per line (a single-line
+    file holding the whole map works too); a document without terms has an empty map.  Terms are
+    kept as stored (the legacy files are upper-case and unstemmed)."""
     raw = spark.read.text(path)
     maps = raw.where(F.length(F.trim("value")) > 0).select(F.from_json("value", LEGACY_SCHEMA).alias("m"))
-    per_doc = maps.select(F.explode("m").alias("doc_key", "tf"))
-    return per_doc.select("doc_key", F.explode("tf").alias("term", "freq"))
+    docs = maps.select(F.explode("m").alias("path", "tf"))
+    count = F.aggregate(F.map_values(F.coalesce("tf", F.create_map().cast("map<string,bigint>"))),
+                        F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return docs.select("path", count.alias("count"), "tf")
 
 
 def legacy_index(spark: SparkSession, path: str) -> Index:
     """A full ``Index`` from a legacy file: lengths are the sums of the counts."""
-    postings = read_legacy_index(spark, path)
-    lengths = postings.groupBy("doc_key").agg(F.sum("freq").alias("term_count"))
-    postings = postings.join(lengths, "doc_key")
-    return Index(documents=lengths, postings=postings, doc_freq=doc_freq_of(postings), stemmed=False)
+    return _index_from_docs(read_legacy_documents(spark, path), None, stemmed=False)

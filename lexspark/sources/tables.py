@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -9,10 +11,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give per-row heavy work (regex over whole texts) at least the cluster's
     parallelism.  A big source already has many splits and is left untouched
     (no shuffle); only a source with fewer splits than cores is spread
-    round-robin.  ``getNumPartitions`` plans the scan but reads no data.
+    round-robin.  A plan that joins or groups is left to adaptive execution:
+    asking for its number of partitions would run it.
     """
     if df.isStreaming:
         return df  # a stream's micro-batches are planned per batch
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"^\W*(Join|Aggregate|Repartition|Sort|Window|Distinct|GlobalLimit|FlatMapGroups)", plan, re.M):
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

@@ -32,7 +32,7 @@ def _earlier_keys(spark: SparkSession, out: str, batch_id: int, batch_keys: Data
     return stored.join(broadcast_if_small(batch_keys), "doc_key", "left_semi")
 
 
-def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = False) -> None:
+def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = True) -> None:
     """Index one micro-batch ``(doc_key, text)`` into ``out`` (idempotent)."""
     spark = batch.sparkSession
     # a key repeated inside the batch keeps one copy, chosen deterministically
@@ -48,7 +48,7 @@ def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = False) -
     delta.unpersist()
 
 
-def index_stream(docs: DataFrame, out: str, checkpoint: str, stem: bool = False,
+def index_stream(docs: DataFrame, out: str, checkpoint: str, stem: bool = True,
                  available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the indexing stream over a streaming DataFrame ``(doc_key, text)``."""
     out = out.rstrip("/")
@@ -62,7 +62,7 @@ def index_stream(docs: DataFrame, out: str, checkpoint: str, stem: bool = False,
     return writer.start()
 
 
-def read_stream_index(spark: SparkSession, out: str, stemmed: bool = False) -> Index:
+def read_stream_index(spark: SparkSession, out: str, stemmed: bool = True) -> Index:
     """The index written by ``index_stream``: union of all batches, df summed."""
     out = out.rstrip("/")
     documents = spark.read.parquet(f"{out}/documents").drop("batch_id")

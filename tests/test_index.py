@@ -137,7 +137,7 @@ def test_surrogate_ids(docs):
     assert ids.select("doc_id").distinct().count() == docs.count()
 
 
-def test_json_and_stream_indexes_search_by_documents(spark, monkeypatch, docs):
+def test_json_and_stream_indexes_search_by_documents(spark, docs):
     """Indexes loaded from JSON or written by a stream carry a forward index, so
     large batches use the document-partitioned plan there too; it returns the
     same rows as the term plan on the same index (JSON keys are strings, so
@@ -148,15 +148,13 @@ def test_json_and_stream_indexes_search_by_documents(spark, monkeypatch, docs):
     index_json.write_json_index(unstemmed, path)
     loaded = json_src.read_json_index(spark, path, stemmed=False)
     out = scratch_path(spark, "t-stream-doc")
-    index_stream.index_batch(docs.select("doc_key", "text"), 0, out)
-    streamed = index_stream.read_stream_index(spark, out)
+    index_stream.index_batch(docs.select("doc_key", "text"), 0, out, stem=False)
+    streamed = index_stream.read_stream_index(spark, out, stemmed=False)
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     for idx in (loaded, streamed):
         assert idx.doc_terms is not None
-        monkeypatch.setattr(rk, "TERM_PATH_MAX_CONTRIBUTIONS", 10**12)
-        by_terms = {tuple(r) for r in rk.search_many(idx, bench).collect()}
-        monkeypatch.setattr(rk, "TERM_PATH_MAX_CONTRIBUTIONS", 0)
-        by_docs = {tuple(r) for r in rk.search_many(idx, bench).collect()}
+        by_terms = {tuple(r) for r in rk.search_many(idx, bench, plan="terms").collect()}
+        by_docs = {tuple(r) for r in rk.search_many(idx, bench, plan="documents").collect()}
         assert by_docs == by_terms and len(by_docs) == 20 * bench.count()
 
 

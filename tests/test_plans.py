@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from lexspark.operators import index as ix
+from lexspark.operators import ranking as rk
 from lexspark.plans import params as P
+from lexspark.session import scratch_path
+from lexspark.sinks import index_json
+from lexspark.sinks import index_store as store
 from lexspark.sources.tables import from_table, read_table, scope, spread
 
 
@@ -28,10 +32,52 @@ def test_unstemmed_postings_need_no_shuffle(spark):
     assert set(kinds) <= {"RoundRobinPartitioning"}  # only the spread of a one-split test table
 
 
-def test_stemmed_forward_index_has_one_hash_shuffle(spark):
+def test_stemmed_postings_need_no_shuffle(spark):
     idx = ix.build_index(docs(spark), stem=True, cache=False)
-    hashed = [args for k, args in exchanges(plan_of(idx.doc_terms)) if k == "hashpartitioning"]
-    assert len(hashed) == 1 and hashed[0].startswith("doc_key")
+    for df in (idx.doc_terms, idx.postings):
+        plan = plan_of(df)
+        assert "hashpartitioning" not in plan and "Join" not in plan
+
+
+def stored(spark):
+    path = scratch_path(spark, "t-stored-plan")
+    store.save_index(ix.build_index(docs(spark), stem=False), path, buckets=4)
+    return store.load_index(spark, path)
+
+
+def test_few_terms_are_pushed_into_the_stored_scans(spark):
+    idx = stored(spark)
+    plan = plan_of(rk.score_literal(idx, "the weather"))
+    assert re.search(r"PushedFilters: \[[^\]]*In\(term, \[the", plan) or "EqualTo(term,the)" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    queries = spark.createDataFrame([(1, "the of"), (2, "and")], "query_id int, text string")
+    many = rk.search_many(idx, queries, fill=False, plan="terms")
+    assert re.search(r"PushedFilters: \[[^\]]*In\(term", plan_of(many))
+
+
+def test_one_word_search_of_a_stored_index_takes_few_jobs(spark):
+    idx = stored(spark)
+    sc = spark.sparkContext
+    sc.setJobGroup("one-word", "search of one word")
+    assert len(rk.search(idx, "the").collect()) == 20
+    jobs = sc.statusTracker().getJobIdsForGroup("one-word")
+    sc.setJobGroup("", "")
+    assert len(jobs) <= 4
+
+
+def test_spread_starts_no_job(spark):
+    sc = spark.sparkContext
+    a, b = read_table(spark, SF001, "documents"), read_table(spark, SF001, "labels")
+    sc.setJobGroup("spread", "spread")
+    spread(a.join(b, "doc_id"))
+    jobs = sc.statusTracker().getJobIdsForGroup("spread")
+    sc.setJobGroup("", "")
+    assert not jobs
+
+
+def test_json_objects_need_no_shuffle(spark):
+    idx = ix.build_index(docs(spark), stem=False, cache=False)
+    assert "hashpartitioning" not in plan_of(index_json.document_objects(idx))
 
 
 def test_spread_leaves_split_inputs_alone(spark):

@@ -4,12 +4,14 @@ check of the stemmed batch search against a pure-Python implementation."""
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, docs_df
 from lexspark.operators import index as ix
 from lexspark.operators import ranking as rk
+from lexspark.operators import scoring
 
 
 @pytest.fixture(scope="module")
@@ -94,9 +96,9 @@ def python_search(docs, queries, stem_words, k=20):
         ranks = []
         for key, c in tfs.items():
             r = sum(c[t] / lengths[key] * math.log10(n / df[t]) for t in q if df.get(t)) if lengths[key] else 0.0
-            ranks.append((round(r, 6), key))
+            ranks.append((round(r, 12), key))
         ranks.sort(key=lambda x: (-x[0], x[1]))
-        result[qid] = ranks[:k]
+        result[qid] = [(round(r, 6), key) for r, key in ranks[:k]]
     return result
 
 
@@ -128,11 +130,11 @@ def test_document_path_equals_term_path(spark, monkeypatch, stem_words):
     documents = spark.read.parquet(f"{SF001}/documents.parquet").select(F.col("doc_id").alias("doc_key"), "text")
     bench = spark.read.parquet(f"{SF001}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     idx = ix.build_index(documents, stem=stem_words)
-    monkeypatch.setattr(rk, "TERM_PATH_MAX_CONTRIBUTIONS", 10**12)
-    by_terms = {tuple(r) for r in rk.search_many(idx, bench).collect()}
-    monkeypatch.setattr(rk, "TERM_PATH_MAX_CONTRIBUTIONS", 0)
-    monkeypatch.setattr(__import__("lexspark.operators.scoring", fromlist=["x"]), "DENSE_CELLS", 500)
-    by_docs = {tuple(r) for r in rk.search_many(idx, bench).collect()}
+    by_terms = {tuple(r) for r in rk.search_many(idx, bench, plan="terms").collect()}
+    by_docs = {tuple(r) for r in rk.search_many(idx, bench, plan="documents").collect()}
+    # several blocks of queries give the rows of one
+    monkeypatch.setattr(scoring, "MAX_WEIGHTS", 50)
+    assert {tuple(r) for r in rk.search_many(idx, bench, plan="documents").collect()} == by_docs
     assert len(by_terms) == 20 * bench.count()
     assert by_docs == by_terms
 
@@ -150,3 +152,40 @@ def test_result_formats_escape_keys(spark):
     assert [k for k, _ in got] == ['a "quoted" path', "back\\slash", "plain"]
     lines = [r.line for r in results.result_lines(top).orderBy("rn").collect()]
     assert lines[0] == 'a "quoted" path 0.238561'
+
+
+def test_tiny_ranks_are_hits(spark):
+    """A document of many tokens has ranks below the shown decimals; it is still a hit."""
+    docs = docs_df(spark, [("long", "needle " + "hay " * 3_000_000), ("other", "straw"), ("third", "hay")])
+    idx = ix.build_index(docs, stem=False)
+    q = spark.createDataFrame([(1, "needle")], "query_id int, text string")
+    for plan in ("terms", "documents"):
+        assert [r.doc_key for r in rk.search_many(idx, q, fill=False, plan=plan).collect()] == ["long"]
+
+
+def test_chunks_are_bounded(monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK_CONTRIBUTIONS", 10)
+    cost = np.array([3, 3, 3, 3, 40, 0, 0, 0, 5, 6])
+    chunks = scoring.chunk_bounds(cost, 3)
+    assert sum(n for _, n in chunks) == len(cost) and [f for f, _ in chunks] == list(np.cumsum([0] + [n for _, n in chunks])[:-1])
+    assert all(n <= 3 and (n == 1 or cost[f:f + n].sum() <= 10) for f, n in chunks)
+
+
+def test_null_and_invalid_bodies_are_rejected(spark):
+    rows = [(1, b"ok"), (2, b"\xff"), (3, None)]
+    good, rejects = rk.split_query_bodies(spark.createDataFrame(rows, "query_id int, body binary"))
+    assert [r.query_id for r in good.collect()] == [1]
+    assert sorted(r.query_id for r in rejects.collect()) == [2, 3]
+
+
+def test_auto_plan_compares_with_the_index(spark, monkeypatch):
+    documents = spark.read.parquet(f"{SF001}/documents.parquet").select(F.col("doc_id").alias("doc_key"), "text")
+    idx = ix.build_index(documents, stem=False)
+    used = []
+    real = scoring.score_top_candidates
+    monkeypatch.setattr(scoring, "score_top_candidates", lambda *a: used.append(1) or real(*a))
+    ask = lambda n: spark.range(n).selectExpr("id as query_id", "'the of and de la' as text")
+    rk.search_many(idx, ask(1)).collect()
+    assert not used
+    rk.search_many(idx, ask(2000)).collect()
+    assert used

@@ -23,9 +23,9 @@ def test_stream_index_equals_batch_and_keys_unique(spark, docs):
               .option("recursiveFileLookup", "true").parquet(src)
               .select(F.col("doc_id").alias("doc_key"), "text"))
     out = scratch_path(spark, "t-stream-out")
-    q = index_stream.index_stream(stream, out, scratch_path(spark, "t-stream-ckpt"))
+    q = index_stream.index_stream(stream, out, scratch_path(spark, "t-stream-ckpt"), stem=False)
     q.awaitTermination()
-    streamed = index_stream.read_stream_index(spark, out)
+    streamed = index_stream.read_stream_index(spark, out, stemmed=False)
     assert streamed.documents.count() == docs.count()
     assert spark.read.parquet(f"{out}/documents").select("batch_id").distinct().count() >= 3
     batch = ix.build_index(docs.select(F.col("doc_id").alias("doc_key"), "text"), stem=False)
