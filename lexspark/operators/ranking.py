@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.analyze import explode_rows, term_counts, token_array
@@ -91,7 +92,7 @@ def tfidf_weights(index: Index) -> DataFrame:
 
 def _one_row(index: Index) -> DataFrame:
     """A one-row table; expressions of constants over it are folded without a job."""
-    return index.documents.sparkSession.sql("SELECT 1 AS one")
+    return index.documents.sparkSession.createDataFrame(pa.table({"one": [1]}))  # an Arrow table stays local
 
 
 def pruned(index: Index, terms: list[str] | None) -> Index:
