@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import materialize
 from .common import WORD_PATTERN, unused, word_count
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
