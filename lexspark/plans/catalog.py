@@ -361,6 +361,22 @@ def stream_unique_keys(spark, sf_dir):
     return index_stream.read_stream_index(spark, out).documents.select(F.col("doc_key").alias("doc_id"))
 
 
+def stream_replace(spark, sf_dir):
+    """Benchmark texts arrive after the documents and replace those of the same key."""
+    src = scratch_path(spark, "stream-replace")
+    standins.write_stream_source(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{src}/a",
+                                 P.STREAM_FILES, "doc_id")
+    read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text") \
+        .coalesce(1).write.parquet(f"{src}/b")
+    out = scratch_path(spark, "stream-index")
+    stream = (spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src)
+              .select(F.col("doc_id").alias("doc_key"), "text"))
+    q = index_stream.index_stream(stream, out, scratch_path(spark, "stream-ckpt"), stem=False, policy="replace")
+    q.awaitTermination()
+    return index_stream.read_stream_index(spark, out, stemmed=False).doc_freq
+
+
 def stream_search(spark, sf_dir):
     """Benchmark queries arrive as a stream against a static index."""
     src = scratch_path(spark, "stream-queries")
@@ -459,6 +475,7 @@ MORE_QUERIES = {
     "orphan_postings": orphan_postings,
     "stream_doc_freq": stream_doc_freq,
     "stream_unique_keys": stream_unique_keys,
+    "stream_replace": stream_replace,
     "stream_search": stream_search,
     "xml_text": xml_text,
     "folder_index": folder_index,

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -72,9 +75,29 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(package_zip(tempfile.mkdtemp(prefix="lexspark-zip-")))
 
 
+_scopes = threading.local()  # a stack of lists of paths per thread
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made inside are deleted at the end: for work that repeats (the batches of
+    a stream) and whose result is written elsewhere by then."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if getattr(_scopes, "stack", None):
+        _scopes.stack[-1].append(path)
+    return path
 
 
 def materialize(df, name: str):

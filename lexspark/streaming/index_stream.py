@@ -1,11 +1,15 @@
 """Index a stream of documents (X1) with unique keys across batches (X2).
 
-Each micro-batch is indexed on its own (a delta index) and written to
-``<out>/documents/batch_id=<n>/`` and ``<out>/postings/batch_id=<n>/`` with
-overwrite, so a batch retried after a failure replaces its own output
-(idempotent).  Keys already written by earlier batches are dropped with a
-left-anti join, and so are repeats inside the batch.  Document frequencies are
-summed at read time (``read_stream_index``), the same as a full build.
+Each micro-batch is indexed on its own (a delta index) and written below ``<out>``
+as ``documents/batch_id=<n>/``, ``postings/batch_id=<n>/`` and, where it replaces stored
+documents, ``replaced/batch_id=<n>/``, each with overwrite, so a batch retried
+after a failure replaces its own output (idempotent).  ``complete/batch_id=<n>/`` is
+written last; readers use complete batches only, so a half-written batch is never seen.
+
+Policies for a key that an earlier batch wrote: ``ignore`` drops the new document,
+``replace`` lets the new text win.  A key repeated inside a batch keeps one copy.
+Document frequencies are summed at read time (``read_stream_index``), the same as
+a full build; publishing that index compacts the batches.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Index, build_index, doc_freq_of, forward_index
 from ..operators.sizing import broadcast_if_small
-from ..session import materialize
+from ..session import materialize, scratch_scope
 from ..sinks.index_store import _exists
 
 
@@ -32,28 +36,37 @@ def _earlier_keys(spark: SparkSession, out: str, batch_id: int, batch_keys: Data
     return stored.join(broadcast_if_small(batch_keys), "doc_key", "left_semi")
 
 
-def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = True) -> None:
+STREAM_POLICIES = ("ignore", "replace")
+
+
+def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = True, policy: str = "ignore") -> None:
     """Index one micro-batch ``(doc_key, text)`` into ``out`` (idempotent)."""
+    if policy not in STREAM_POLICIES:
+        raise ValueError(f"policy must be one of {STREAM_POLICIES}")
     spark = batch.sparkSession
-    # a key repeated inside the batch keeps one copy, chosen deterministically
-    # (smallest text) so that a retried batch writes the same rows
-    docs = batch.groupBy("doc_key").agg(F.min("text").alias("text"))
-    docs = materialize(docs, f"stream-batch-{batch_id}")
-    known = _earlier_keys(spark, out, batch_id, docs.select("doc_key"))
-    if known is not None:
-        docs = docs.join(known, "doc_key", "left_anti")
-    delta = build_index(docs, stem=stem)
-    delta.documents.write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
-    delta.postings.write.mode("overwrite").parquet(f"{out}/postings/batch_id={batch_id}")
-    delta.unpersist()
-
-
-def index_stream(docs: DataFrame, out: str, checkpoint: str, stem: bool = True,
+    with scratch_scope(spark):
+        # a key repeated inside the batch keeps one copy, chosen deterministically
+        # (smallest text) so that a retried batch writes the same rows
+        docs = batch.groupBy("doc_key").agg(F.min("text").alias("text"))
+        docs = materialize(docs, f"stream-batch-{batch_id}")
+        known = _earlier_keys(spark, out, batch_id, docs.select("doc_key"))
+        if known is not None and policy == "ignore":
+            docs = docs.join(known, "doc_key", "left_anti")
+        elif known is not None:
+            known.distinct().write.mode("overwrite").parquet(f"{out}/replaced/batch_id={batch_id}")
+        delta = build_index(docs, stem=stem)
+        delta.documents.write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
+        delta.postings.write.mode("overwrite").parquet(f"{out}/postings/batch_id={batch_id}")
+        delta.unpersist()
+        spark.range(1).write.mode("overwrite").parquet(f"{out}/complete/batch_id={batch_id}")
+
+
+def index_stream(docs: DataFrame, out: str, checkpoint: str, stem: bool = True, policy: str = "ignore",
                  available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the indexing stream over a streaming DataFrame ``(doc_key, text)``."""
     out = out.rstrip("/")
     writer = (docs.writeStream
-              .foreachBatch(lambda df, batch_id: index_batch(df, batch_id, out, stem))
+              .foreachBatch(lambda df, batch_id: index_batch(df, batch_id, out, stem, policy))
               .option("checkpointLocation", checkpoint))
     if processing_time:
         writer = writer.trigger(processingTime=processing_time)
@@ -62,10 +75,28 @@ def index_stream(docs: DataFrame, out: str, checkpoint: str, stem: bool = True,
     return writer.start()
 
 
+def complete_batches(spark: SparkSession, out: str) -> list[int]:
+    """Ids of the batches that were written to their end."""
+    return sorted(r[0] for r in spark.read.parquet(f"{out.rstrip('/')}/complete").select("batch_id").distinct().collect())
+
+
 def read_stream_index(spark: SparkSession, out: str, stemmed: bool = True) -> Index:
-    """The index written by ``index_stream``: union of all batches, df summed."""
+    """The index written by ``index_stream``: union of all complete batches without the documents
+    that later ones replaced, df summed."""
     out = out.rstrip("/")
-    documents = spark.read.parquet(f"{out}/documents").drop("batch_id")
-    postings = spark.read.parquet(f"{out}/postings").drop("batch_id")
+    batches = complete_batches(spark, out)
+    replaced = None
+    if _exists(spark, f"{out}/replaced"):
+        replaced = (spark.read.parquet(f"{out}/replaced").where(F.col("batch_id").isin(batches))
+                    .groupBy("doc_key").agg(F.max("batch_id").alias("since")))
+
+    def current(name: str) -> DataFrame:
+        df = spark.read.parquet(f"{out}/{name}").where(F.col("batch_id").isin(batches))
+        if replaced is not None:
+            df = df.join(replaced, "doc_key", "left").where(F.col("since").isNull() | (F.col("batch_id") >= F.col("since")))
+            df = df.drop("since")
+        return df.drop("batch_id")
+
+    documents, postings = current("documents"), current("postings")
     return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings), stemmed=stemmed,
                  doc_terms=forward_index(documents, postings))

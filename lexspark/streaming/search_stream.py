@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Index
+from ..session import scratch_scope
 from ..operators.ranking import TOP_K, first_keys, search_many
 
 
 def search_batch(index: Index, batch: DataFrame, batch_id: int, out: str, k: int = TOP_K,
                  fill_keys: list | None = None) -> None:
-    result = search_many(index, batch, k=k, fill_keys=fill_keys)
-    result.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    with scratch_scope(batch.sparkSession):
+        result = search_many(index, batch, k=k, fill_keys=fill_keys)
+        result.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
 
 def search_stream(index: Index, queries: DataFrame, out: str, checkpoint: str, k: int = TOP_K,

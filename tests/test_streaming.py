@@ -59,3 +59,32 @@ def test_batch_retry_is_idempotent(spark):
     idx = index_stream.read_stream_index(spark, out)
     assert sorted(r.doc_key for r in idx.documents.collect()) == ["a", "b", "c"]
     assert {tuple(r) for r in idx.doc_freq.collect()} == {("x", 1), ("y", 2), ("z", 2)}
+
+
+def test_half_written_batch_is_not_read_and_scratch_goes(spark):
+    from conftest import docs_df
+    from lexspark.session import checkpoint_dir
+    out = scratch_path(spark, "t-half")
+    index_stream.index_batch(docs_df(spark, [("a", "running x"), ("b", "y")]), 0, out)
+    index_stream.index_batch(docs_df(spark, [("c", "z")]), 1, out)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/complete/batch_id=1")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(p, True)
+    half = index_stream.read_stream_index(spark, out)
+    assert sorted(r.doc_key for r in half.documents.collect()) == ["a", "b"]
+    assert {r.term for r in half.doc_freq.collect()} == {"run", "x", "y"}  # stemmed, as build_index does
+    index_stream.index_batch(docs_df(spark, [("c", "z")]), 1, out)  # the retry
+    assert index_stream.read_stream_index(spark, out).n_docs == 3
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    assert not [s for s in fs.listStatus(root) if s.getPath().getName().startswith("stream-batch-")]
+
+
+def test_stream_of_replacements(spark):
+    from conftest import docs_df
+    out = scratch_path(spark, "t-replace")
+    index_stream.index_batch(docs_df(spark, [("a", "x y"), ("b", "y")]), 0, out, policy="replace")
+    index_stream.index_batch(docs_df(spark, [("a", "z"), ("c", "x")]), 1, out, policy="replace")
+    index_stream.index_batch(docs_df(spark, [("a", "w w")]), 2, out, policy="replace")
+    got = index_stream.read_stream_index(spark, out)
+    assert {(r.doc_key, r.term, r.freq) for r in got.postings.collect()} == {("a", "w", 2), ("b", "y", 1), ("c", "x", 1)}
+    assert got.n_docs == 3
