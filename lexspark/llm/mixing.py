@@ -58,8 +58,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         seed: int = 17) -> DataFrame:
     """``id, size, source_size, target, taken`` per document."""
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))  # "=" sorts before "~": null last
-    # 53 random bits, exact in a double
-    key = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), 11)
+    # 52 random bits, exact in a double
+    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
+    key = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
     rows = materialize(docs.select(F.col(id_col).alias("id"), src.alias("src"), word_count(F.col(text_col)).alias("size"),
                                    key.alias("key")), "mix-sizes")
     per_source = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         targets(per_source.select("src", "source_size"), weights, share, max_epochs)
         .join(per_source.select("src", F.ceil(F.col("n") / BUCKET_ROWS).alias("n_buckets")), "src"), "mix-targets")
 
-    bucket = F.floor(F.col("key") / F.lit(float(1 << 53)) * F.col("n_buckets"))
+    bucket = F.floor(F.col("key") / F.lit(float(1 << 52)) * F.col("n_buckets"))
     placed = rows.join(per_source, "src").withColumn("bucket", bucket)
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (placed.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
