@@ -189,7 +189,7 @@ def pages_search(spark, sf_dir):
     return _bigint_rn(out.withColumnRenamed("doc_key", "page_id"))
 
 
-# --- stemming (rows-only in the oracle check; tests compare with brute force) ---
+# --- stemming ---------------------------------------------------------------
 
 def stem_vocabulary(spark, sf_dir):
     """(raw, stem): every distinct word of the corpus whose stem differs."""
@@ -197,6 +197,11 @@ def stem_vocabulary(spark, sf_dir):
     return ix.materialized_vocabulary(idx.postings)
 
 
+def stem_doc_freq(spark, sf_dir):
+    """Document frequencies of a stemmed index."""
+    return documents_index(spark, sf_dir, stem=True).doc_freq
+
+
 def search_stemmed(spark, sf_dir):
     return _single(documents_index(spark, sf_dir, stem=True), P.QUERY_STEMMED)
 
@@ -482,6 +487,7 @@ MORE_QUERIES = {
     "skip_accounting": skip_accounting,
     "query_rejects": query_rejects,
     "stem_vocabulary": stem_vocabulary,
+    "stem_doc_freq": stem_doc_freq,
     "search_stemmed": search_stemmed,
     "search_many_stemmed": search_many_stemmed,
 }

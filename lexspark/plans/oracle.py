@@ -1,13 +1,13 @@
 """DuckDB SQL for the registered queries: independent, brute-force formulations
 (full query x document products, plain GROUP BYs) over the same Parquet tables.
 
-Stemmed operators have no entry: DuckDB has no stemmer here, and feeding it our
-own stems would check nothing.
+Stems come from SQL of their own (``oracle_stem``).
 """
 
 from __future__ import annotations
 
 from . import params as P
+from .oracle_stem import stem_ctes
 
 # Fixed values, stated here on their own so that an error in the engine's does not pass.
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +53,22 @@ def query_ctes(queries: str, qkey: str, text: str) -> str:
     qids AS (SELECT DISTINCT {qkey} AS query_id FROM {queries})"""
 
 
+def stemmed_ctes(queries: str | None = None, qkey: str = "item_id") -> str:
+    """``corpus_ctes`` (and ``query_ctes``) over stems instead of tokens."""
+    corpus = corpus_ctes().split("tf AS (", 1)[1]  # what follows the tokens
+    raw = f"toks0 AS (SELECT doc_id, unnest({tokens_of('text')}) AS term FROM documents)"
+    terms, query = "SELECT term FROM toks0", ""
+    if queries:
+        raw += f", qt0 AS (SELECT {qkey} AS query_id, unnest({tokens_of('text')}) AS term FROM {queries})"
+        terms += " UNION ALL SELECT term FROM qt0"
+        query = f""", qt AS (SELECT query_id, coalesce(stem, term) AS term FROM qt0 LEFT JOIN stems ON stems.raw = qt0.term),
+            qw AS (SELECT query_id, term, count(*) AS w FROM qt GROUP BY query_id, term),
+            qids AS (SELECT DISTINCT {qkey} AS query_id FROM {queries})"""
+    return f"""{raw}, {stem_ctes(terms)},
+        toks AS (SELECT doc_id, coalesce(stem, term) AS term FROM toks0 LEFT JOIN stems ON stems.raw = toks0.term),
+        tf AS ({corpus}{query}"""
+
+
 SCORES = f"""
     scores AS (
       SELECT qw.query_id, tf.doc_id,
@@ -176,6 +192,12 @@ def oracle_sql() -> dict[str, str]:
                           THEN 'answered' ELSE 'rejected' END AS status FROM turns WHERE text IS NOT NULL
               UNION ALL SELECT 'rejected' FROM turns WHERE text IS NULL)
             SELECT status, count(*) AS queries FROM checked GROUP BY status""",
+        "stem_vocabulary": f"WITH {stemmed_ctes()} SELECT raw, stem FROM stems WHERE raw <> stem",
+        "stem_doc_freq": f"WITH {stemmed_ctes()} SELECT term, df FROM dfreq",
+        "search_stemmed": f"""WITH {stemmed_ctes(one_query(P.QUERY_STEMMED), "query_id")}, {SCORES}, {full_ranking()}
+            SELECT rn, doc_id, rank FROM ranked WHERE rn <= {P.TOP_K}""",
+        "search_many_stemmed": f"""WITH {stemmed_ctes("benchmark")}, {SCORES}, {full_ranking()}
+            SELECT query_id, rn, doc_id, rank FROM ranked WHERE rn <= {P.TOP_K}""",
         "search_scoped": search_sql("benchmark", "item_id", "text", docs=SCOPED_DOCS),
         "search_result_json": f"""WITH {c}, {query_ctes('benchmark', 'item_id', 'text')}, {SCORES}, {full_ranking()}
             SELECT query_id,
