@@ -20,8 +20,8 @@ it stands for.
    compared by 64-bit fingerprint, and each learns the smallest document that holds it.
 4. The removed spans go back to their blocks, which cut the texts.
 
-Blocks meet their results by block id; the scan numbers blocks by partition and place, and
-a block whose documents changed between two scans stops the job.  Texts travel twice,
+Blocks meet their results by an id made of partition, place and documents; the scans are held to one
+division of the files into partitions, and results without their block stop the job.  Texts travel twice,
 zstd-packed; task memory is bounded by the block and bucket sizes plus one text.
 
 Defined results: a null text is empty; a text shorter than LENGTH keeps all; a null
@@ -110,12 +110,15 @@ class _Suffixes:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Block id, ids, bytes and offsets of each block of a partition."""
+    """Block id, ids, bytes and offsets of each block of a partition.  The id holds the partition, the
+    place and the documents: rows of another division of the input never meet a block's text."""
     seq = 0
     for batch in hashing.chunks(batches, "text", BLOCK_BYTES):
         data, offsets = hashing.text_buffer(batch.column("text"))
         ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield (TaskContext.get().partitionId() << 32) + seq, ids, data, offsets
+        place = np.array([TaskContext.get().partitionId(), seq], np.int64)
+        digest = hashlib.blake2b(place.tobytes() + ids.tobytes() + offsets.tobytes(), digest_size=8).digest()
+        yield int.from_bytes(digest, "little", signed=True), ids, data, offsets
         seq += 1
 
 
@@ -336,6 +339,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id, n_bytes, n_removed, n_spans, kept`` per document: the UTF-8 bytes that stay, joined, or
     with ``digest`` their SHA-256.  ``docs`` must give the same rows in the same order on every scan
     (a table does)."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # else the number of executors at hand decides how small files are split, scan by scan
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards, n_buckets = max(1, -(-size // SHARD_BYTES)), max(1, -(-size // BUCKET_BYTES))
