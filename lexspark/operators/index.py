@@ -22,11 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.analyze import explode_rows, term_counts, token_array
-from ..session import scratch_path
+from ..session import delete_path, scratch_path
 from .stemming import changed_only, stem_forward, stem_vocabulary
 
 
@@ -41,7 +40,7 @@ class Index:
     _n_docs: int | None = field(default=None, repr=False)
     _n_postings: int | None = field(default=None, repr=False)
     _first_keys: list | None = field(default=None, repr=False)   # smallest keys, stored with the index
-    _cached: list = field(default_factory=list, repr=False)
+    _scratch: list = field(default_factory=list, repr=False)   # folders that ``release`` deletes
 
     @property
     def n_docs(self) -> int:
@@ -73,10 +72,11 @@ class Index:
                                           "n_postings": F.coalesce(F.sum("df"), F.lit(0))})
         return docs.unionByName(terms)
 
-    def unpersist(self) -> None:
-        for df in self._cached:
-            df.unpersist()
-        self._cached.clear()
+    def release(self) -> None:
+        """Delete the scratch tables of an index built with ``cache``; it is of no use afterwards."""
+        for path in self._scratch:
+            delete_path(self.documents.sparkSession, path)
+        self._scratch.clear()
 
 
 def analyze_documents(docs: DataFrame) -> DataFrame:
@@ -111,24 +111,30 @@ def materialized_vocabulary(postings: DataFrame) -> DataFrame:
     return changed_only(spark.read.parquet(path))
 
 
-def build_index(docs: DataFrame, stem: bool = True, cache: bool = True) -> Index:
-    """Index ``docs(doc_key, text)``.  ``stem=False`` keeps raw (case-folded) terms."""
+def from_forward(doc_terms: DataFrame, stemmed: bool) -> Index:
+    """The index of a forward index: documents and postings are projections of its rows."""
+    postings = explode_postings(doc_terms.withColumnRenamed("terms", "term_counts"))
+    return Index(documents=doc_terms.select("doc_key", "term_count"), postings=postings,
+                 doc_freq=doc_freq_of(postings), stemmed=stemmed, doc_terms=doc_terms)
+
+
+def build_index(docs: DataFrame, stem: bool = True, cache: bool = False) -> Index:
+    """Index ``docs(doc_key, text)``.  ``stem=False`` keeps raw (case-folded) terms.
+
+    Nothing runs yet; ``save_index`` analyzes the documents once.  An index that is used
+    several times without being saved is built with ``cache``: its forward index is
+    written to the shared scratch folder (``release`` deletes it) and read from there."""
     analyzed = analyze_documents(docs)
-    cached = []
-    if cache:
-        analyzed = analyzed.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(analyzed)
-    documents = analyzed.select("doc_key", "term_count")
-    postings = explode_postings(analyzed)
     doc_terms = analyzed.select("doc_key", "term_count", F.col("term_counts").alias("terms"))
     if stem:
         doc_terms = stem_forward(doc_terms)
-        if cache:
-            doc_terms = doc_terms.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(doc_terms)
-        postings = explode_postings(doc_terms.withColumnRenamed("terms", "term_counts"))
-    return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings),
-                 stemmed=stem, doc_terms=doc_terms, _cached=cached)
+    if not cache:
+        return from_forward(doc_terms, stem)
+    path = scratch_path(docs.sparkSession, "forward-index")
+    doc_terms.write.parquet(path)
+    index = from_forward(docs.sparkSession.read.parquet(path), stem)
+    index._scratch.append(path)
+    return index
 
 
 def forward_index(documents: DataFrame, postings: DataFrame) -> DataFrame:

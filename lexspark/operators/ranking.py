@@ -105,7 +105,7 @@ def pruned(index: Index, terms: list[str] | None) -> Index:
         numbers = sorted(set(_one_row(index).select(
             F.transform(literals, lambda t: term_bucket(t, index.buckets))).collect()[0][0]))
         keep = F.col("bucket").isin(numbers) & keep
-    return replace(index, postings=index.postings.where(keep), doc_freq=index.doc_freq.where(keep), _cached=[])
+    return replace(index, postings=index.postings.where(keep), doc_freq=index.doc_freq.where(keep), _scratch=[])
 
 
 def weighted_query_terms(index: Index, qterms: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from . import standins
 
 def documents_index(spark: SparkSession, sf_dir: str, stem: bool = False) -> ix.Index:
     docs = from_table(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return ix.build_index(docs, stem=stem)
+    return ix.build_index(docs, stem=stem, cache=True)
 
 
 def _as_doc_id(df: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def html_text(spark, sf_dir):
 def _pages_index(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     docs = from_table(pages_as_documents(pages), "doc_key", "text")
-    return ix.build_index(docs, stem=False)
+    return ix.build_index(docs, stem=False, cache=True)
 
 
 def pages_doc_freq(spark, sf_dir):
@@ -223,9 +223,9 @@ def index_roundtrip_parquet(spark, sf_dir):
 
 def _stored(spark, sf_dir):
     path = scratch_path(spark, "index-stored")
-    index = documents_index(spark, sf_dir)
+    docs = from_table(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = ix.build_index(docs, stem=False)
     store.save_index(index, path, buckets=P.BUCKETS)
-    index.unpersist()
     return store.load_index(spark, path)
 
 
@@ -294,7 +294,6 @@ def _append(spark, sf_dir, base, new, policy):
     root = scratch_path(spark, "appended")
     index = ix.build_index(base, stem=False)
     store.publish_index(index, root, buckets=P.BUCKETS)
-    index.unpersist()
     store.append_documents(spark, root, new, policy)
     return store.load_published(spark, root)
 

@@ -75,6 +75,11 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(package_zip(tempfile.mkdtemp(prefix="lexspark-zip-")))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _scopes = threading.local()  # a stack of lists of paths per thread
 
 
@@ -88,8 +93,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in stack.pop():
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete_path(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -27,7 +27,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.incremental import accepted, merge_indexes, without_documents
-from ..operators.index import Index, build_index, term_bucket
+from ..operators.index import Index, build_index, from_forward, term_bucket
 from ..operators.ranking import FIRST_KEYS
 
 BUCKET_POSTINGS = 4_000_000
@@ -51,26 +51,28 @@ def clustered_postings(index: Index, buckets: int) -> DataFrame:
     return p.sortWithinPartitions("bucket", "term", "doc_key").select("bucket", "term", "doc_key", "freq", "term_count")
 
 
-def write_index(index: Index, path: str, buckets: int | None = None, mode: str = "errorifexists") -> None:
-    """Write the tables: the forward index first, then postings and document frequencies;
-    the statistics are read back from the tables just written."""
+def write_index(index: Index, path: str, buckets: int | None = None, mode: str = "errorifexists") -> int:
+    """Write the tables: the forward index first, so that documents are analyzed once, and
+    everything else from the table just written.  Returns the number of buckets."""
     path = path.rstrip("/")
     spark = index.documents.sparkSession
-    buckets = buckets or bucket_count(index)
-    index.documents.write.mode(mode).parquet(f"{path}/documents")
     if index.doc_terms is not None:
         index.doc_terms.write.mode(mode).parquet(f"{path}/doc_terms")
+        index = from_forward(spark.read.parquet(f"{path}/doc_terms"), index.stemmed)
+    buckets = buckets or bucket_count(index)
+    index.documents.write.mode(mode).parquet(f"{path}/documents")
     clustered_postings(index, buckets).write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
     (index.doc_freq.select("term", "df")
      .withColumn("bucket", term_bucket("term", buckets))
      .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
      .write.mode(mode).partitionBy("bucket").parquet(f"{path}/doc_freq"))
     written = replace(index, documents=spark.read.parquet(f"{path}/documents"),
-                      doc_freq=spark.read.parquet(f"{path}/doc_freq"), _cached=[])
+                      doc_freq=spark.read.parquet(f"{path}/doc_freq"))
     written.corpus_stats().coalesce(1).write.mode(mode).parquet(f"{path}/corpus_stats")
     # the smallest keys, for zero-filled top-k lists without scanning every key
     (written.documents.select("doc_key").orderBy("doc_key").limit(FIRST_KEYS)
      .coalesce(1).write.mode(mode).parquet(f"{path}/first_keys"))
+    return buckets
 
 
 def load_index(spark: SparkSession, path: str, stemmed: bool = True, n_docs_from_stats: bool = True) -> Index:
@@ -110,8 +112,7 @@ def _read_meta(spark: SparkSession, path: str) -> dict:
 
 def save_index(index: Index, path: str, buckets: int | None = None, mode: str = "errorifexists") -> None:
     """``write_index`` plus the metadata ``load_index`` reads (buckets, stemming)."""
-    buckets = buckets or bucket_count(index)
-    write_index(index, path, buckets, mode)
+    buckets = write_index(index, path, buckets, mode)
     _write_meta(index.documents.sparkSession, path.rstrip("/"),
                 {"buckets": buckets, "stemmed": "true" if index.stemmed else "false"})
 
@@ -158,7 +159,6 @@ def append_documents(spark: SparkSession, root: str, new_docs: DataFrame, policy
     target = _new_version(root)
     delta = build_index(fresh, stem=base.stemmed)
     write_index(delta, target, base.buckets)
-    delta.unpersist()
     replaced.write.parquet(f"{target}/replaced")
     _write_meta(spark, target, {"base": versions[-1], "stemmed": "true" if base.stemmed else "false"})
     return _mark_published(spark, target)

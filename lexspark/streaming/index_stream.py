@@ -54,10 +54,9 @@ def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = True, po
             docs = docs.join(known, "doc_key", "left_anti")
         elif known is not None:
             known.distinct().write.mode("overwrite").parquet(f"{out}/replaced/batch_id={batch_id}")
-        delta = build_index(docs, stem=stem)
+        delta = build_index(docs, stem=stem, cache=True)
         delta.documents.write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
         delta.postings.write.mode("overwrite").parquet(f"{out}/postings/batch_id={batch_id}")
-        delta.unpersist()
         spark.range(1).write.mode("overwrite").parquet(f"{out}/complete/batch_id={batch_id}")
 
 
