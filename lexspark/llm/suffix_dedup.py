@@ -45,7 +45,7 @@ from . import hashing
 LENGTH = 50
 LEAD = 16
 BLOCK_BYTES = 2 << 20     # text of a block
-SCAN_BYTES = 1 << 20      # text hashed at once
+SCAN_BYTES = 1 << 18      # text hashed at once
 SHARD_BYTES = 16 << 20    # text whose leading bytes one shard of step 1 holds
 BUCKET_BYTES = 4 << 20    # text whose repeated suffixes one bucket of step 3 holds
 SLICE_WINDOWS = 1 << 18   # windows of a bucket compared at once
