@@ -13,11 +13,16 @@ runs above and below the alphabet's middle, and lag-one serial correlation.
 Fisher's method combines them.  Keys and tokens have p-values spread evenly,
 words, paths and numbered names pile up near zero.
 
-Length-aware false-discovery control: per stratum (encoding, length class) the
+Length-aware false-discovery control: per stratum (encoding, length class) the distinct
 candidates with p > 1/2 estimate how many are random; the estimated share of the
 others among those with p > t must be at most ``FDR``, and t is the smallest
-cut on a grid that reaches it.  Short strings, which the tests hardly tell apart, so
-get a cut of their own.  The strata are bounded (encodings x length classes x grid).
+cut on a grid that reaches it, whether or not a candidate lies between it and the next.  Short strings,
+which the tests hardly tell apart, so get a cut of their own.  Where fewer than ``SPARSE`` candidates
+have p > 1/2, that estimate is too uncertain: t is at least ``FLOOR`` (more for short
+strings), and the smallest cut from there on at which the upper limit of the estimate (a Poisson count's,
+about 97.5 %) reaches ``FDR``.  So a single key is tested by itself, at every size of the corpus,
+and a sparse stratum full of other strings still raises its cut.  Copies of a string count once.
+The strata are bounded (encodings x length classes x grid).
 
 Defined results: null and empty texts have no spans; rows that repeat (id, text)
 share one result; an empty table gives an empty result; other columns are ignored.
@@ -49,6 +54,9 @@ ENCODINGS = (
 )
 FDR = 0.05
 GRID = 20  # cuts at 0, 1/GRID, 2/GRID, ...
+SPARSE = 200  # random candidates in the upper half that an estimate needs
+# Smallest cut of a sparse stratum, in steps of the grid: of length classes below LONG (32 characters), and of others.
+LONG, FLOOR = 10, (2, 1)
 
 
 def _matches(rows: DataFrame, kind: str) -> DataFrame:
@@ -124,17 +132,21 @@ def battery(candidates: DataFrame) -> DataFrame:
 
 
 def cuts(tested: DataFrame, fdr: float = FDR) -> DataFrame:
-    """``encoding, length_class, cut``: the smallest grid cut per stratum whose estimated share
-    of strings that are not random is at most ``fdr``; strata without one are absent."""
-    bins = (tested.groupBy("encoding", "length_class", F.least(F.floor(F.col("p") * GRID), F.lit(GRID - 1)).alias("bin"))
-            .agg(F.count(F.lit(1)).alias("m")))
-    stratum = Window.partitionBy("encoding", "length_class")
-    upward = stratum.orderBy("bin").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    above = F.sum("m").over(upward)
-    random = F.least(2 * F.sum(F.when(F.col("bin") >= GRID // 2, F.col("m")).otherwise(0)).over(stratum),
-                     F.sum("m").over(stratum))
-    wrong = F.greatest(F.lit(0.0), above - random * (1 - F.col("bin") / GRID))
-    return (bins.withColumn("ok", wrong / above <= fdr).where("ok")
+    """``encoding, length_class, cut`` of ``tested(encoding, length_class, string, p)``: the smallest grid cut
+    per stratum whose estimated share of strings that are not random is at most ``fdr``; strata without one
+    are absent.  Rows of equal ``string`` (a hash) count once."""
+    step = F.least(F.floor(F.col("p") * GRID), F.lit(GRID - 1))
+    strings = tested.select("encoding", "length_class", "string", step.alias("bin")).distinct()
+    above = F.array(*(F.count(F.when(F.col("bin") >= k, 1)) for k in range(GRID)))
+    tried = (strings.groupBy("encoding", "length_class").agg(above.alias("counts"))
+             .withColumn("upper", F.col("counts")[GRID // 2])
+             .select("*", F.posexplode("counts").alias("bin", "above")).where("above > 0"))
+    sparse = F.col("upper") < SPARSE
+    floor = F.when(F.col("length_class") < LONG, FLOOR[0]).otherwise(FLOOR[1])
+    random = F.when(sparse, 2 * F.pow(F.sqrt(F.col("upper") + 1.0) + 1, F.lit(2))).otherwise(
+        F.least(2 * F.col("upper"), F.col("counts")[0]))
+    wrong = F.greatest(F.lit(0.0), F.col("above") - random * (1 - F.col("bin") / GRID))
+    return (tried.where((wrong / F.col("above") <= fdr) & (~sparse | (F.col("bin") >= floor)))
             .groupBy("encoding", "length_class").agg((F.min("bin") / GRID).alias("cut")))
 
 
@@ -150,7 +162,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = found.where(F.col("kind") < KINDS.index("random")).select("row", "kind", "start", "end")
     tested = battery(found.where(F.col("kind") == KINDS.index("random"))) \
         .withColumn("length_class", F.floor(2 * F.log2("n")))
-    tested = materialize(tested.select("row", "kind", "start", "end", "encoding", "length_class", "p"), "secret-battery")
+    tested = materialize(tested.select("row", "kind", "start", "end", "encoding", "length_class",
+                                       F.xxhash64("token").alias("string"), "p"), "secret-battery")
     added = tested.join(F.broadcast(cuts(tested, fdr)), ["encoding", "length_class"]).where("p >= cut") \
                   .select("row", "kind", "start", "end")
     return base.unionByName(added)

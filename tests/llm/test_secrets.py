@@ -59,3 +59,40 @@ def test_repeated_rows_and_empty(spark):
     got = sorted((r.id or 0, r.n_assign, r.n_hex) for r in op.scan(fx.documents(spark, rows)).collect())
     assert got == [(0, 2, 0), (1, 0, 0), (1, 1, 1), (1, 1, 1), (2, 0, 0)]
     assert op.scan(fx.empty(spark)).collect() == []
+
+
+def test_keys_of_sparse_strata_are_kept(spark):
+    rng = random.Random(3)
+    sizes = {1: 300, 2: 200, 10: 100, 1000: 4}  # keys of a stratum: strata
+    rows = [(f"{n}-{k}", 11, rng.randrange(1 << 62), rng.random())
+            for n, strata in sizes.items() for k in range(strata) for _ in range(n)]
+    tested = spark.createDataFrame(rows, "encoding string, length_class long, string long, p double")
+    cut = {r.encoding: r.cut for r in op.cuts(tested).collect()}
+    for n, strata in sizes.items():
+        kept = sum(p >= cut.get(e, 2) for e, _, _, p in rows if e.startswith(f"{n}-"))
+        assert kept / (n * strata) > 0.9, n
+
+
+def test_sparse_strata_of_other_strings_raise_their_cut(spark):
+    rows = [("names", 11, i, i % 10 * 0.045) for i in range(300)]
+    rows += [("one key", 11, i, 0.001) for i in range(500)] + [("one key", 11, 999, 0.12)]
+    tested = spark.createDataFrame(rows, "encoding string, length_class long, string long, p double")
+    cut = {r.encoding: r.cut for r in op.cuts(tested).collect()}
+    assert cut.get("names", 1) >= 0.4 and 0 < cut["one key"] <= 0.12
+
+
+def test_single_keys_and_a_hot_copied_one(spark):
+    # Keys that the battery gives a p between 0.1 and 0.5, alone in their strata, and the same in other company.
+    keys = [f"{hashlib.sha256(bytes([i])).hexdigest()[:40].upper()}" for i in range(40)]
+    p = {r.token: r.p for r in op.battery(spark.createDataFrame([(k,) for k in keys], "token string")).collect()}
+    key = next(k for k in keys if 0.1 < p[k] < 0.5)
+    other = base64.b64encode(hashlib.sha512(b"1").digest()[:45]).decode()
+    names = [f"zzzzzzzzzzyyyyyyyyyyzzzzzzzzzz{i:03}{chr(97 + i % 26) * 7}" for i in range(200)]
+    found = {}
+    for copies in (1, 500):
+        rows = [(i, f"id {key} end", None, None) for i in range(copies)] + [(1000, f"id {other} end", None, None)]
+        rows += [(2000 + i, f"see {w} end", None, None) for i, w in enumerate(names) if copies > 1]
+        found[copies] = {r.id: r.spans for r in op.scan(fx.documents(spark, rows)).collect()}
+    assert found[1][0] == found[500][0] == "random:3:43" and set(found[500][i] for i in range(500)) == {"random:3:43"}
+    assert found[1][1000] == found[500][1000] == "random:3:63"
+    assert not any(s for i, s in found[500].items() if i >= 2000)
