@@ -7,8 +7,9 @@ link shares of its subtree, text per tag, and statistics of its siblings.  Boost
 the odds of being main text.  Decoding picks the likeliest labelling of the whole tree in which
 nothing below a dropped node is kept, by one pass up and one pass down the tree.
 
-The trees are trained on at most ``TRAIN_PAGES`` pages (chosen by hash) that mark their article with
-``article`` or ``main``: each as it is, labelled by those landmarks, and in ``LAYOUTS`` other layouts built from
+The trees are trained on about ``TRAIN_PAGES`` pages that mark their article with ``article`` or ``main``
+(chosen by hash from those alone; all where there are fewer; at least half as many, or all, where
+pages repeat or hold such a tag only in a comment or script): each as it is, labelled by those landmarks, and in ``LAYOUTS`` other layouts built from
 its own texts, in which containers have other tags and names and notices, adverts, forms, side columns
 and reader comments are added.  Pages are scored whatever their markup.
 
@@ -38,6 +39,8 @@ from .html_tree import BLOCK, DROPPED, Tree, attribute, attribute_words
 
 TRAIN_PAGES = 240
 LAYOUTS = 3
+#: Pages without this mark no article; some with it (in a comment, say) do not either.
+LANDMARK = r"(?i)<(article|main)[\s/>]"
 TAG_GROUPS = ({"nav", "menu"}, {"header", "hgroup"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend", "label"},
               {"article"}, {"main"}, {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"},
               {"table", "tbody", "tr", "td", "th"}, {"div", "section"}, {"blockquote", "pre", "figure", "figcaption"}, {"span", "a"})
@@ -302,11 +305,18 @@ def _training_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Boosted | None:
-    """The node classifier of a bounded sample of pages; None where none marks its article."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col, F.lit(11)).alias("key"), F.col(html_col).alias("html"))
-    n = rows.count()
-    picked = rows.where(F.pmod("key", F.lit(1_000_000)) < F.lit(1_000_000) * min(1.0, train_pages / max(n, 1)))
-    found = picked.mapInPandas(_training_rows, "key long, x binary, y binary").toPandas()
+    """The node classifier of a bounded sample of the pages that mark their article; None where none does."""
+    rows = pages.where(F.col(html_col).rlike(LANDMARK)).select(F.xxhash64(html_col, F.lit(11)).alias("key"),
+                                                               F.col(html_col).alias("html"))
+    share = min(1.0, train_pages / max(rows.count(), 1))
+    while True:
+        picked = rows.where(F.pmod("key", F.lit(1_000_000_000)) < F.lit(1_000_000_000) * share).dropDuplicates(["key"])
+        found = picked.mapInPandas(_training_rows, "key long, x binary, y binary").toPandas()
+        n = found["key"].nunique()
+        if share >= 1 or 2 * n >= train_pages:
+            break
+        # copies, or landmarks only in comments and scripts: take more pages
+        share = min(1.0, share * min(64.0, max(2.0, train_pages / max(n, 1))))
     if not len(found):
         return None
     found = found.sort_values(["key", "x"], kind="stable")

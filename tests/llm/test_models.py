@@ -139,6 +139,23 @@ def test_broken_markup_and_references(spark):
     assert html_extract.learn(df) is None
 
 
+def test_few_of_many_pages_mark_their_article(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(html_extract, "Boosted", lambda x, y: taken.append((x, y)) or "model")
+    marked = [(f"<div class=menu>menu {i}</div><{tag}><p>Text {i}.</p></{tag}>",) for i in range(6)
+              for tag in ("article", "MAIN\nid=x")]
+    unmarked = [(f"<div class=menu>menu {i}</div><div><p>Text {i}.</p></div>",) for i in range(6000)]
+    hidden = [(f"<!-- <article> --><div>Text {i}</div>",) for i in range(3000)]
+    sizes = []
+    for rows in (marked, marked + unmarked, marked + unmarked + hidden):
+        assert html_extract.learn(spark.createDataFrame(rows, "html string"), train_pages=20) == "model"
+        sizes.append(len(taken[-1][1]))
+    assert len(set(sizes)) == 1  # the same twelve pages
+    html_extract.learn(spark.createDataFrame(marked * 200 + unmarked, "html string"), train_pages=20)
+    assert 10 / 12 * sizes[0] / 2 < len(taken[-1][1]) <= sizes[0]  # copies count once
+    assert html_extract.learn(spark.createDataFrame(unmarked + hidden, "html string"), train_pages=20) is None
+
+
 def test_deep_and_long_pages():
     page = html_extract.Page("<div>" * 3000 + "x" + "<p>y " * 2000)
     assert page.blocks(page.decode(None))[0] == "x"
