@@ -16,10 +16,14 @@ from lexspark.session import materialize
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those that are null or hold no letter.  The languages are learned
-    from the documents that name theirs."""
+    from the documents that name theirs, and the others get the one predicted; ``lang`` stays null
+    where none could be learned."""
     model = language.learn(docs)
-    marked = language.identify(docs, model)
-    return marked.where("lang_pred <> 'und'").select(*docs.columns)
+    if not model.languages:
+        return language.lettered(docs)
+    marked = language.identify(docs, model).where("score > 0")  # 0 without a letter only
+    lang = F.coalesce("lang", "lang_pred").alias("lang")
+    return marked.select(*(lang if c == "lang" else c for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

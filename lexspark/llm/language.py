@@ -131,6 +131,16 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     return Model(languages, counts)
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds a letter."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([has_letter(t) for t in texts], dtype=bool)
+
+    return docs.where(holds(F.col(text_col).cast("string")))
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced)."""
     found = unused(docs, "found")

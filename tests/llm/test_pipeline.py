@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexspark.llm.catalog import vocabulary_path
@@ -50,3 +51,23 @@ def test_mixture_and_ids(stages):
     library = Tokenizer.from_file(vocabulary_path())
     want = sorted((i, library.encode(t, add_special_tokens=False).ids) for i, t in fx.plain(stages[4]))
     assert sorted((r.doc_id, list(r.ids)) for r in stages[5].collect()) == want
+
+
+def test_language_stage_without_labels(spark):
+    texts = [(1, "the cat sat on the mat"), (2, "12 ..."), (3, None), (4, "der Hund und die Katze")]
+    docs = fx.documents(spark, [(i, t, None, None) for i, t in texts], clash=False)
+    for unlabelled in (docs.withColumn("lang", F.lit(None).cast("string")),
+                       docs.withColumn("lang", F.when(F.col("doc_id") == 2, "en"))):
+        out = corpus_pipeline.identify_language(spark, unlabelled, "")
+        assert out.columns == unlabelled.columns
+        assert {r.doc_id: r.lang for r in out.collect()} == {1: None, 4: None}
+
+
+def test_language_stage_fills_null_languages(spark):
+    given = {1: "en", 2: "de", 3: None, 4: None, 5: "und"}
+    texts = {1: "the cat sat on the mat with the hat", 2: "der Hund und die Katze schlafen nicht", 3: "the cat sat on the mat",
+             4: "der Hund und die Katze", 5: "zzyzx qqq wxwx"}
+    docs = fx.documents(spark, [(i, t, None, None) for i, t in texts.items()], clash=False).drop("lang")
+    langs = spark.createDataFrame(list(given.items()), "doc_id long, lang string")
+    out = corpus_pipeline.identify_language(spark, docs.join(langs, "doc_id"), "")
+    assert {r.doc_id: r.lang for r in out.collect()} == {**given, 3: "en", 4: "de"}
