@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe, exact_dedup, html_extract, jaccard_join, language, mixing, quality, secrets, suffix_dedup,
-               vector_search)
+from . import (bpe, collocations, exact_dedup, html_extract, jaccard_join, language, mixing, quality, resampling, secrets,
+               simhash, suffix_dedup, vector_search)
+from ..session import materialize
 from .common import crc_mod, table
 
 #: Vocabulary of op10, by its name in the package of public tokenizers.
@@ -70,6 +71,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path()).withColumnRenamed("id", "doc_id")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = materialize(simhash.neighbours(table(spark, sf_dir, "documents")), "simhash")
+    found = marked.join(simhash.near(marked), simhash.FINGERPRINT)
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", simhash.as_text().alias("fingerprint"),
+                        simhash.as_text("e_").alias("edited_fingerprint"), simhash.likeness("", "e_").alias("near_edited"),
+                        simhash.likeness("", "n_").alias("near_next"), "copies", "n_near")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_language_id, op3_mix_sources, op4_vector_top_k, op5_jaccard_join, op6_html_text,
-    op7_exact_dedup, op8_quality, op9_secret_scan, op10_bpe)}
+    op7_exact_dedup, op8_quality, op9_secret_scan, op10_bpe, op11_simhash, op12_collocations, op13_resample)}

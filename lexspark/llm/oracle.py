@@ -101,5 +101,73 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM normal WINDOW w AS (PARTITION BY t)
 """
 
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE m = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 50 * c.a),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM kept),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, u.k, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * u.a * u.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1:u.k], ' ')
+  JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[u.k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM lowest JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+# CRC-32 of each distinct feature, byte by byte over a table made by rule.
+OP13 = r"""
+WITH RECURSIVE step(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+texts AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS row, text FROM documents
+          UNION ALL SELECT 'b', NULL, -row_number() OVER (), text FROM benchmark),
+w AS (SELECT kind, row, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS (
+  SELECT kind, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')),
+                                  list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS g FROM w),
+bytes AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM grams)),
+hashed AS (
+  SELECT g, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2),
+      lambda i: (16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT)),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM bytes, crc_table),
+found AS (SELECT kind, row, bucket, count(*) AS n FROM grams JOIN hashed USING (g) GROUP BY ALL),
+sums AS (
+  SELECT bucket, sum(CASE WHEN kind = 'd' THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN kind = 'b' THEN n ELSE 0 END)::DOUBLE AS t
+  FROM found GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln((sums.t + 1) * (totals.s + 10000) / ((sums.s + 1) * (totals.t + 10000))))::BIGINT AS gain
+  FROM sums, totals),
+weights AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM found JOIN gains USING (bucket)
+            WHERE kind = 'd' GROUP BY row),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                      / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (row) WHERE kind = 'd'),
+ordered AS (SELECT *, n_words >= 20 AS may, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+                   5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= drawn THEN place END AS rank FROM ordered
+"""
+
 ORACLE = {"op1_suffix_dedup": OP1, "op3_mix_sources": OP3, "op4_vector_top_k": OP4, "op5_jaccard_join": OP5,
-          "op7_exact_dedup": OP7}
+          "op7_exact_dedup": OP7, "op12_collocations": OP12, "op13_resample": OP13}
