@@ -34,6 +34,7 @@ from ..functions.analyze import explode_rows, term_counts, token_array
 from ..session import materialize
 from . import scoring
 from .index import Index, term_bucket
+from .numbering import in_order
 from .sizing import broadcast_if_small
 from .stemming import stem_column, stem_term
 
@@ -260,14 +261,20 @@ def search(index: Index, query: str, k: int = TOP_K) -> DataFrame:
         (r["doc_key"], r["shown"]) for r in scores.where(F.col("rank") > 0)
         .orderBy(F.round("rank", ORDER_DECIMALS).desc(), "doc_key").limit(k)
         .select("doc_key", F.round("rank", RANK_DECIMALS).alias("shown")).collect()]
+    return listed(index, hits, k)
+
+
+def listed(index: Index, hits: list[tuple], k: int) -> DataFrame:
+    """(rn, doc_key, rank) of the ``(key, rank)`` hits, filled up to k with the smallest keys at rank 0.
+    Numbers and strings become a local table, whose rows need no job."""
     found = {key for key, _ in hits}
     fill = [] if len(hits) >= k else [(key, 0.0) for key in first_keys(index, k) if key not in found]
     rows = [(n + 1, key, rank) for n, (key, rank) in enumerate((hits + fill)[:k])]
-    if rows and len(rows) <= LITERAL_TERMS and all(isinstance(key, (int, str)) for _, key, _ in rows):
+    if rows and (all(isinstance(key, int) for _, key, _ in rows) or all(isinstance(key, str) for _, key, _ in rows)):
         key_type = index.documents.schema["doc_key"].dataType
-        return _one_row(index).select(F.inline(F.array(*[
-            F.struct(F.lit(n).alias("rn"), F.lit(key).cast(key_type).alias("doc_key"), F.lit(rank).alias("rank"))
-            for n, key, rank in rows])))
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.float64())]
+        local = index.documents.sparkSession.createDataFrame(pa.table(columns, names=["rn", "doc_key", "rank"]))
+        return local.select("rn", F.col("doc_key").cast(key_type).alias("doc_key"), "rank")
     return index.documents.sparkSession.createDataFrame(rows, T.StructType(
         [T.StructField("rn", T.IntegerType()), T.StructField("doc_key", index.documents.schema["doc_key"].dataType),
          T.StructField("rank", T.DoubleType())]))
@@ -283,6 +290,17 @@ def rank_all(index: Index, query: str) -> DataFrame:
             .select("doc_key", F.round(F.coalesce(F.col("rank"), F.lit(0.0)), RANK_DECIMALS).alias("rank")))
 
 
+def rank_all_ordered(index: Index, query: str) -> DataFrame:
+    """Every document in order (Q5, Q6 full form): (rn, doc_key, rank), by rank descending, then key.  Positions come
+    from a range sort and prefix sums over its partitions, never from one window over all rows."""
+    scores = score_literal(index, query)
+    rows = index.documents.select("doc_key")
+    rows = rows.withColumn("rank", F.lit(0.0)) if scores is None else rows.join(scores, "doc_key", "left")
+    rows = rows.select("doc_key", F.round(F.coalesce("rank", F.lit(0.0)), ORDER_DECIMALS).alias("order"),
+                       F.round(F.coalesce("rank", F.lit(0.0)), RANK_DECIMALS).alias("rank"))
+    return in_order(rows, "rn", F.col("order").desc(), F.col("doc_key")).select("rn", "doc_key", "rank")
+
+
 # Fixed value: the message for a query body that is not UTF-8.
 REJECT_MESSAGE = "Body must be a valid UTF-8 string"
 

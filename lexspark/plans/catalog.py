@@ -15,6 +15,7 @@ from ..operators import ranking as rk
 from ..session import scratch_path
 from ..sinks import index_json, results
 from ..sinks import index_store as store
+from ..sinks import tiered_store as tiered
 from ..sources.files import indexable, read_folder, reason_class
 from ..sources.files import skip_accounting as files_skip_accounting
 from ..sources.index_json import legacy_index, read_json_index
@@ -275,11 +276,17 @@ def surrogate_ids(spark, sf_dir):
 
 # --- incremental ------------------------------------------------------------------
 
+def _later():
+    """Documents of the later batch; one without a source is in the first."""
+    return F.coalesce(F.col("source") >= P.DELTA_FROM_SOURCE, F.lit(False))
+
+
 def merge_doc_freq(spark, sf_dir):
     """Index the documents in two batches and merge: equals a full build."""
     docs = read_table(spark, sf_dir, "documents")
-    base = ix.build_index(from_table(docs.where(F.col("source") < P.DELTA_FROM_SOURCE), "doc_id", "text"), stem=False)
-    delta = ix.build_index(from_table(docs.where(F.col("source") >= P.DELTA_FROM_SOURCE), "doc_id", "text"), stem=False)
+    later = _later()
+    base = ix.build_index(from_table(docs.where(~later), "doc_id", "text"), stem=False)
+    delta = ix.build_index(from_table(docs.where(later), "doc_id", "text"), stem=False)
     return inc.merge_indexes(base, delta).doc_freq
 
 
@@ -301,7 +308,7 @@ def _append(spark, sf_dir, base, new, policy):
 def add_to_stored_index(spark, sf_dir):
     """The later sources are appended to a published index of the others: its postings."""
     docs = read_table(spark, sf_dir, "documents")
-    later = F.col("source") >= P.DELTA_FROM_SOURCE
+    later = _later()
     index = _append(spark, sf_dir, from_table(docs.where(~later), "doc_id", "text"),
                     from_table(docs.where(later), "doc_id", "text"), "error")
     return _as_doc_id(index.postings.select("doc_key", "term", "freq", "term_count"))
@@ -314,6 +321,58 @@ def replace_in_stored_index(spark, sf_dir):
     return index.doc_freq.select("term", "df")
 
 
+# --- packed postings and the tiered store -----------------------------------------
+
+def _packed(spark, sf_dir):
+    root = scratch_path(spark, "packed")
+    tiered.create(documents_index(spark, sf_dir), root, buckets=P.BUCKETS, span=P.SPAN)
+    return tiered.load(spark, root)
+
+
+def packed_postings(spark, sf_dir):
+    """The postings packed into blocks over dense ids, decoded again."""
+    return _as_doc_id(_packed(spark, sf_dir).postings())
+
+
+def dense_ids(spark, sf_dir):
+    """(doc_id, number): the documents numbered 0, 1, 2... by length, then key."""
+    index = _packed(spark, sf_dir)
+    return _as_doc_id(index.documents.select("doc_key", F.col("doc").alias("number")))
+
+
+def search_block_max(spark, sf_dir):
+    """The top 20 of a query of common and rare words, from the blocks that can reach them."""
+    return _bigint_rn(_as_doc_id(tiered.search(_packed(spark, sf_dir), P.QUERY_TOP20)))
+
+
+def _tiered(spark, sf_dir):
+    """An index of the documents, the later sources added in five batches."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("batch", F.when(_later(), F.pmod(F.xxhash64("doc_id"), F.lit(5))))
+    of_batch = lambda test: from_table(docs.where(test), "doc_id", "text")
+    root = scratch_path(spark, "tiered")
+    tiered.create(ix.build_index(of_batch("batch is null"), stem=False), root, buckets=P.BUCKETS, span=P.SPAN)
+    for n in range(5):
+        tiered.append(spark, root, of_batch(F.col("batch") == n), "error")
+    return root
+
+
+def tiered_index_search(spark, sf_dir):
+    """Top 20 from the index after five additions."""
+    return _bigint_rn(_as_doc_id(tiered.search(tiered.load(spark, _tiered(spark, sf_dir)), P.QUERY_TOP20)))
+
+
+def tiered_replace(spark, sf_dir):
+    """Benchmark texts replace documents of the index after five additions: its document frequencies."""
+    root = _tiered(spark, sf_dir)
+    tiered.append(spark, root, from_table(read_table(spark, sf_dir, "benchmark"), "item_id", "text"), "replace")
+    return tiered.load(spark, root).doc_freq
+
+
+def rank_all_ordered(spark, sf_dir):
+    """Every document in order of rank, with its position."""
+    return _as_doc_id(rk.rank_all_ordered(documents_index(spark, sf_dir), P.QUERY_TOP20))
+
+
 def duplicate_keys(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     batch = docs.unionByName(docs.where(F.col("source") == P.DUPLICATED_SOURCE))
@@ -472,6 +531,12 @@ MORE_QUERIES = {
     "search_many_stored": search_many_stored,
     "add_to_stored_index": add_to_stored_index,
     "replace_in_stored_index": replace_in_stored_index,
+    "packed_postings": packed_postings,
+    "dense_ids": dense_ids,
+    "search_block_max": search_block_max,
+    "tiered_index_search": tiered_index_search,
+    "tiered_replace": tiered_replace,
+    "rank_all_ordered": rank_all_ordered,
     "surrogate_ids": surrogate_ids,
     "merge_doc_freq": merge_doc_freq,
     "replace_document": replace_document,

@@ -109,9 +109,6 @@ HTML_TEXT = f"""
       SELECT page_id, {html_decoded(f"regexp_replace(html, '{HTML_STRIP}', ' ', 'g')")} AS text
       FROM pages)"""
 
-# The base / delta split of the incremental queries (all rows are used).
-BASE_DOCS = f"(SELECT * FROM documents WHERE source < {_q(P.DELTA_FROM_SOURCE)})"
-DELTA_DOCS = f"(SELECT * FROM documents WHERE source >= {_q(P.DELTA_FROM_SOURCE)})"
 REPLACED_DOCS = """(
     SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
     UNION ALL SELECT item_id AS doc_id, text FROM benchmark)"""
@@ -226,8 +223,18 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY doc_id""",
         "legacy_import": f"WITH {c} SELECT doc_id, term, freq, term_count FROM tf JOIN dl USING (doc_id)",
         "published_index": f"WITH {c} SELECT term, df FROM dfreq",
-        "surrogate_ids": """SELECT count(DISTINCT doc_id) AS n_keys, count(DISTINCT doc_id) AS n_ids,
-                                   0::BIGINT AS collisions FROM documents""",
+        "surrogate_ids": """
+            WITH ids AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS id FROM documents)
+            SELECT count(DISTINCT doc_id) AS n_keys, count(DISTINCT id) AS n_ids,
+                   (SELECT count(*) FROM (SELECT id FROM ids GROUP BY id HAVING count(DISTINCT doc_id) > 1)) AS collisions
+            FROM ids""",
+        "packed_postings": f"WITH {c} SELECT doc_id, term, freq, term_count FROM tf JOIN dl USING (doc_id)",
+        "dense_ids": f"WITH {c} SELECT doc_id, row_number() OVER (ORDER BY term_count, doc_id) - 1 AS number FROM dl",
+        "search_block_max": search_sql(one_query(P.QUERY_TOP20), "query_id", "text", select="rn, doc_id, rank"),
+        "tiered_index_search": search_sql(one_query(P.QUERY_TOP20), "query_id", "text", select="rn, doc_id, rank"),
+        "tiered_replace": f"WITH {corpus_ctes(REPLACED_DOCS)} SELECT term, df FROM dfreq",
+        "rank_all_ordered": f"""WITH {c}, {query_ctes(one_query(P.QUERY_TOP20), 'query_id', 'text')}, {SCORES}, {full_ranking()}
+            SELECT rn, doc_id, rank FROM ranked""",
         "xml_text": """
             SELECT doc_id,
                    CASE WHEN trim(t, ' ' || chr(9) || chr(10)) = '' THEN '' ELSE t || ' ' END AS text,

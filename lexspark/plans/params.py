@@ -13,6 +13,8 @@ QUERY_STEMMED = "running shaders, the generated textures"
 
 # Buckets of a stored index in the registered queries (small corpora).
 BUCKETS = 8
+# Document ids of a range of packed postings (small corpora).
+SPAN = 64
 # Files a table is split into when it is replayed as a stream.
 STREAM_FILES = 4
 
