@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import (bpe, collocations, exact_dedup, html_extract, jaccard_join, language, mixing, quality, resampling, secrets,
                simhash, suffix_dedup, vector_search)
 from ..session import materialize
-from .common import crc_mod, table
+from .common import crc_mod, join_groups, table
 
 #: Vocabulary of op10, by its name in the package of public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,12 +28,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     model = language.learn(docs.where(~held_out))
-    found = language.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_set", "lang_shares")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("digest")
 
 
 def op4_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = materialize(simhash.neighbours(table(spark, sf_dir, "documents")), "simhash")
-    found = marked.join(simhash.near(marked), simhash.FINGERPRINT)
+    near = materialize(simhash.near(marked), "simhash-near")
+    found = join_groups(marked, near, simhash.FINGERPRINT, "copies", marked.count())
     return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", simhash.as_text().alias("fingerprint"),
                         simhash.as_text("e_").alias("edited_fingerprint"), simhash.likeness("", "e_").alias("near_edited"),
                         simhash.likeness("", "n_").alias("near_next"), "copies", "n_near")

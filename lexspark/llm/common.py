@@ -32,6 +32,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A group held by more than one of so many rows is joined by broadcast; there are at most HEAVY of them.
+HEAVY = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+    """``rows`` (``n_rows`` of them) joined with ``groups``, a written table of one row per value of ``keys`` whose
+    column ``size`` tells how many rows hold it: those of frequent values do not meet in one task."""
+    heavy = F.broadcast(groups.where(F.col(size) * HEAVY > n_rows))
+    light = groups.where(F.col(size) * HEAVY <= n_rows)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """``crc32(doc_id as text) mod n``, the fold rule of the contracts."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -200,7 +200,7 @@ class Page:
         return [b for b in joined if b]
 
 
-def landmark_labels(page: Page) -> np.ndarray | None:
+def landmark_labels(page: Page, built: bool = False) -> np.ndarray | None:
     """1 for nodes inside an article or main (or holding one), 0 for others; None without such a landmark.
     ``data-part`` of built layouts says it outright."""
     tree = page.tree
@@ -209,7 +209,7 @@ def landmark_labels(page: Page) -> np.ndarray | None:
     found = False
     for i, tag in enumerate(tree.tags):
         p = tree.parents[i]
-        given = attribute(tree.attributes[i], "data-part") if "data-part" in tree.attributes[i] else None
+        given = attribute(tree.attributes[i], "data-part") if built and "data-part" in tree.attributes[i] else None
         if given:
             label[i] = int(given == "main")
         elif tag in ("article", "main"):
@@ -299,7 +299,7 @@ def _training_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rng = random.Random(int(key))
             for _ in range(LAYOUTS if blocks else 0):
                 built = Page(layout(blocks, rest, rng))
-                shown.append((built, landmark_labels(built)))
+                shown.append((built, landmark_labels(built, True)))
             for p, y in shown:
                 yield pd.DataFrame({"key": [key], "x": [p.features.tobytes()], "y": [y.astype(np.float32).tobytes()]})
 

@@ -21,6 +21,7 @@ P_CLOSERS = BLOCK - frozenset("html body dd dt li td th tr tbody thead tfoot cap
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+_UNCLOSED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
@@ -36,10 +37,15 @@ class Tree:
 
     def _read(self, source: str) -> None:
         stack = [0]
+        self._open = {"html": [0]}  # places in the stack of each open tag
         tags = self.tags
         at, n = 0, len(source)
+        last = source.rfind(">") + 1  # beyond it only comments and declarations are left
         while at < n:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at, last) if at < last else None
+            if m and source.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+                m = _UNCLOSED.search(source, m.start())
+            m = m or _UNCLOSED.search(source, max(at, last))
             begin = m.start() if m else n
             if begin > at:
                 text = source[at:begin]
@@ -48,7 +54,7 @@ class Tree:
             if not m:
                 return
             at = m.end()
-            tag = m[2]
+            tag = None if m.re is _UNCLOSED else m[2]
             if tag is None:
                 continue
             tag = tag.lower()
@@ -79,26 +85,29 @@ class Tree:
                 if at == 0:
                     return
                 continue
+            self._open.setdefault(tag, []).append(len(stack))
             stack.append(element)
 
+    def _nearest(self, tags: set | frozenset) -> int:
+        """Place in the stack of the innermost open element with one of the tags, 0 if none is open."""
+        return max((places[-1] for t in tags if (places := self._open.get(t))), default=0)
+
     def _imply(self, stack: list[int], closed: set, stops: set | frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in closed:
-                self._pop(stack, i)
-                return
-            if tag in stops:
-                return
+        i = self._nearest(closed)
+        if i and i >= self._nearest(stops):
+            self._pop(stack, i)
 
     def _close(self, stack: list[int], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] == tag:
-                self._pop(stack, i)
-                return
+        places = self._open.get(tag)
+        if places and places[-1]:
+            self._pop(stack, places[-1])
 
     def _pop(self, stack: list[int], i: int) -> None:
-        if any(self.tags[e] in BLOCK for e in stack[i:]):
+        gone = [self.tags[e] for e in stack[i:]]
+        if any(tag in BLOCK for tag in gone):
             self.texts.append((self.parents[stack[i]], None))
+        for tag in gone:
+            self._open[tag].pop()
         del stack[i:]
 
 

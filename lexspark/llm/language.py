@@ -2,7 +2,7 @@
 
 A language is a distribution over hashed byte trigrams of lower-cased text
 (letters only; everything else is a space).  It is learned from texts with a known
-language, at most ``TRAIN_DOCS`` of each language (chosen by hash), as smoothed counts.
+language, about ``TRAIN_DOCS`` different ones of each language or fewer (chosen by hash), as smoothed counts.
 
 A text is a mixture of languages: expectation-maximisation finds the proportions that
 make its trigrams likeliest.  The language set is selected by penalised likelihood: it starts
@@ -20,12 +20,12 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from . import hashing
 from .common import unused
@@ -35,7 +35,7 @@ TRAIN_DOCS = 10_000
 SMOOTHING = 0.5
 ROUNDS = 8
 PENALTY = 2.0
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -107,12 +107,17 @@ class Model:
             chosen, share, best = tried, tried_share, value
         return chosen, share, everything
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def describe(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
+        """Prediction, score, and the selected languages with their proportions, largest first."""
         if not self.languages or not has_letter(text):
-            return "und", 0.0
+            return "und", 0.0, [], []
         chosen, share, everything = self.mixture(text)
-        first = min(range(len(chosen)), key=lambda i: (-share[i], self.languages[chosen[i]]))
-        return self.languages[chosen[first]], float(min(max(everything[chosen[first]], 0.0), 1.0))
+        order = sorted(range(len(chosen)), key=lambda i: (-share[i], self.languages[chosen[i]]))
+        score = float(min(max(everything[chosen[order[0]]], 0.0), 1.0))
+        return self.languages[chosen[order[0]]], score, [self.languages[chosen[i]] for i in order], [float(share[i]) for i in order]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.describe(text)[:2]
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
@@ -120,8 +125,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), train_docs / F.count(F.lit(1))).alias("share"))
     # a row per language; the hash of the text picks about train_docs of each
-    picked = rows.join(F.broadcast(share), "lang").where(
-        F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(share), "lang").where(
+        F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000).dropDuplicates(["lang", "key"])
     sums = (picked.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(sums["lang"].unique())
@@ -133,22 +138,33 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
 
 def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds a letter."""
-
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        return pd.Series([has_letter(t) for t in texts], dtype=bool)
-
-    return docs.where(holds(F.col(text_col).cast("string")))
-
-
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced)."""
-    found = unused(docs, "found")
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
-
-    return docs.select(*keep, predict(F.col(text_col).cast("string")).alias(found)).select(
-        *keep, f"{found}.lang_pred", f"{found}.score")
+    mark = unused(docs, "lettered")
+    holds = lambda texts: [pa.array([has_letter(t) for t in texts], pa.bool_())]
+    return _beside(docs, text_col, docs.columns, {mark: "boolean"}, holds).where(mark).drop(mark)
+
+
+def _beside(docs: DataFrame, text_col: str, keep: list[str], added: dict[str, str],
+            found: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those of ``found(texts)``; texts come in chunks of bounded bytes."""
+    text, limit = unused(docs, "text_"), BATCH_BYTES
+    given = docs.select(*keep)
+    schema = StructType([*given.schema.fields, *(StructField(n, DataType.fromDDL(t)) for n, t in added.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in hashing.chunks(batches, text, limit):
+            columns = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(columns + found(batch.column(text).to_pylist()), names=[*keep, *added])
+    return docs.select(*keep, F.col(text_col).cast("string").alias(text)).mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all) with ``lang_pred``, ``score``, and the selected language set with its
+    proportions, largest first: ``lang_set ARRAY<STRING>``, ``lang_shares ARRAY<DOUBLE>`` (columns of those names are replaced)."""
+    added = {"lang_pred": "string", "score": "double", "lang_set": "array<string>", "lang_shares": "array<double>"}
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
+
+    def found(texts: list[str | None]) -> list[pa.Array]:
+        rows = [model.describe(t) for t in texts]
+        types = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return _beside(docs, text_col, keep, added, found)

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 from .common import WORD_PATTERN, unused, word_count
@@ -56,13 +56,13 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
         seed: int = 17) -> DataFrame:
-    """``id, size, source_size, target, taken`` per document."""
+    """``id, size, source_size, target, taken, digest`` per document; ``digest`` is a hash of id, source and text."""
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))  # "=" sorts before "~": null last
     # 52 random bits, exact in a double
-    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
-    key = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("?"), F.xxhash64(text_col).cast("string")))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", name, F.lit(str(seed))).cast("binary")), 1, 13), 16, 10).cast("long")
     rows = materialize(docs.select(F.col(id_col).alias("id"), src.alias("src"), word_count(F.col(text_col)).alias("size"),
-                                   key.alias("key")), "mix-sizes")
+                                   key.alias("key"), _digest(id_col, text_col, source_col).alias("digest")), "mix-sizes")
     per_source = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     per_source = materialize(
         targets(per_source.select("src", "source_size"), weights, share, max_epochs)
@@ -73,27 +73,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (placed.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
                .select("src", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset")))
-    inside = (Window.partitionBy("src", "bucket").orderBy("key", "id", "size")
+    inside = (Window.partitionBy("src", "bucket").orderBy("key", "id", "size", "digest")
               .rowsBetween(Window.unboundedPreceding, -1))
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
     rest = F.col("budget") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     return (placed.join(buckets, ["src", "bucket"])
-            .select("id", "size", "source_size", "target", taken.cast("long").alias("taken")))
+            .select("id", "size", "source_size", "target", taken.cast("long").alias("taken"), "digest"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _digest(id_col: str, text_col: str, source_col: str) -> Column:
+    # nulls are skipped by the hash, so they get a name
+    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in (id_col, source_col, text_col)])
+
+
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             source_col: str = "source") -> DataFrame:
     """The mixture itself: each document once per epoch that takes it, with all its columns.
 
-    Ids are expected to be unique.  Only the document at a source's cut is taken in part: its
+    Documents meet their share by the hash of id, source and text; equal rows share theirs out
+    one by one.  Only the document at a source's cut is taken in part: its
     first words, with the white space before them."""
-    key, size, taken, epoch = (unused(docs, c) for c in ("mix_id", "mix_size", "mix_taken", "mix_epoch"))
-    take = mixed.where("taken > 0").select(F.col("id").alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
+    key, size, taken, epoch, place, shares = (unused(docs, c) for c in ("mix_key", "mix_size", "mix_taken", "mix_epoch",
+                                                                        "mix_place", "mix_shares"))
+    take = mixed.groupBy(F.col("digest").alias(key)).agg(F.max("size").alias(size), F.sort_array(F.collect_list("taken")).alias(shares)) \
+                .where(F.element_at(shares, -1) > 0)
+    equal = Window.partitionBy(key).orderBy(F.col(id_col))
     epochs = F.sequence(F.lit(0), F.floor((F.col(taken) - 1) / F.col(size)).cast("int"))
     words = F.least(F.col(size), F.col(taken) - F.col(epoch) * F.col(size))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0)),
                                F.lit(1), words.cast("int")), "")
-    joined = docs.join(take, F.col(id_col).eqNullSafe(F.col(key))).withColumn(epoch, F.explode(epochs))
+    keyed = docs.withColumn(key, _digest(id_col, text_col, source_col)).join(take, key).withColumn(place, F.row_number().over(equal))
+    joined = keyed.withColumn(taken, F.get(shares, F.col(place) - 1)).where(F.col(taken) > 0).withColumn(epoch, F.explode(epochs))
     text = F.when(words == F.col(size), F.col(text_col)).otherwise(cut)
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -112,9 +112,13 @@ class Machine:
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64))))
         return np.concatenate(out or [np.zeros(0)])
 
-    def train(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> None:
+    def train(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray | None = None,
+              seed: int = 7) -> None:
+        """``weights``: how often a row counts (once each unless given)."""
         rng = np.random.default_rng(seed)
-        share = np.clip(labels.mean(), 0.01, 0.99)
+        weights = np.ones(len(rows)) if weights is None else np.asarray(weights, np.float64)
+        share = np.clip(np.average(labels, weights=weights), 0.01, 0.99)
+        weights = (weights / weights.mean()).astype(np.float32)
         self.bias = float(np.log(share / (1 - share)))
         sum_w, sum_v = np.full(N_FEATURES, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32)
         for _ in range(EPOCHS):
@@ -126,7 +130,7 @@ class Machine:
                 sizes = [len(rows[i][0]) for i in pick]
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 z, sums = self.raw_scores(ids, x, bounds)
-                miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]).astype(np.float32)
+                miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]).astype(np.float32) * weights[pick]
                 per = np.repeat(miss, sizes)[:, None]
                 used, place = np.unique(ids, return_inverse=True)
                 grad_w = np.bincount(place, per[:, 0] * x, len(used)).astype(np.float32) + DECAY * self.w[used]
@@ -145,8 +149,8 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, bounds = batch_features(batch.column("text"))
         cut = list(zip(bounds[:-1], bounds[1:]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("label"), pa.array([ids[s:e].tobytes() for s, e in cut], pa.binary()),
-             pa.array([x[s:e].tobytes() for s, e in cut], pa.binary())], names=["key", "label", "ids", "x"])
+            [batch.column("key"), batch.column("label"), batch.column("copies"), pa.array([ids[s:e].tobytes() for s, e in cut], pa.binary()),
+             pa.array([x[s:e].tobytes() for s, e in cut], pa.binary())], names=["key", "label", "copies", "ids", "x"])
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "label", train_rows: int = TRAIN_ROWS) -> Machine | None:
@@ -156,12 +160,15 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
         F.col(text_col).alias("text"))
     n = rows.count()
     picked = rows.where(F.pmod("key", F.lit(1_000_000)) < F.lit(1_000_000) * min(1.0, train_rows / max(n, 1)))
-    sent = picked.mapInArrow(_send, "key long, label int, ids binary, x binary").toPandas().sort_values("key", kind="stable")
+    # copies of a text are one row with their number, so what reaches the driver does not grow with them
+    picked = picked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("copies"), F.max("text").alias("text"))
+    sent = picked.mapInArrow(_send, "key long, label int, copies long, ids binary, x binary").toPandas() \
+                 .sort_values(["key", "label"], kind="stable")
     if not len(sent):
         return None
     machine = Machine()
     machine.train([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for i, x in zip(sent["ids"], sent["x"])],
-                  sent["label"].to_numpy(np.float32))
+                  sent["label"].to_numpy(np.float32), sent["copies"].to_numpy())
     return machine
 
 

@@ -72,3 +72,22 @@ def test_empty(spark):
     assert op.mix(fx.empty(spark)).collect() == []
     docs = fx.documents(spark, [(1, None, None, "s"), (2, "", None, None)])
     assert {(r.id, r.size, r.taken) for r in op.mix(docs).collect()} == {(1, 0, 0), (2, 0, 0)}
+
+
+def test_equal_rows_and_null_ids_share_out_exactly(spark):
+    rows = [(1, "a b c", None, "s")] * 3 + [(2, "d e f g", None, "s")] + [(None, f"w{i} x", None, "t") for i in range(30)] + \
+        [(None, "w1 x", None, "t"), (1, "a b c", None, "t")]
+    docs = fx.documents(spark, rows)
+    mixed = op.mix(docs)
+    taken = sum(r.taken for r in mixed.collect())
+    out = op.repeated(docs, mixed).collect()
+    assert sum(len(r.text.split()) for r in out) == taken
+    keys = {r.key for r in spark.read.parquet(_newest(spark, "mix-sizes")).where("id is null").collect()}
+    assert len(keys) > 20  # null ids do not share one place on their source's axis
+
+
+def _newest(spark, name):
+    import glob
+    import os
+    from lexspark.session import checkpoint_dir
+    return max(glob.glob(checkpoint_dir(spark).replace("file:", "") + f"/{name}-*"), key=os.path.getmtime)

@@ -172,3 +172,70 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(np.float32)
     model = boosting.Boosted(x[:2000], y[:2000])
     assert ((model.log_odds(x[2000:]) > 0) == (y[2000:] == 1)).mean() > 0.95
+
+
+def test_broken_pages_take_linear_time():
+    import time
+    from lexspark.llm.html_tree import Tree
+    for source in ("<a " * 350_000, "<span>" * 60_000 + "</b>" * 60_000, "<p><section>" + "<span>" * 30_000 + "<div>" * 30_000,
+                   "<!-- x > " + "<b " * 300_000, "<a \"" * 100_000 + ">"):
+        start = time.time()
+        Tree(source)
+        assert time.time() - start < 3, source[:20]
+
+
+def test_copies_of_a_labelled_text_are_one_training_row(spark, monkeypatch):
+    from lexspark.llm import quality
+    seen = []
+    train = quality.Machine.train
+    monkeypatch.setattr(quality.Machine, "train", lambda self, rows, labels, weights=None, seed=7: seen.append((len(rows), list(weights)))
+                        or train(self, rows, labels, weights, seed))
+    rows = [(i, "hot text", None, None) for i in range(3000)] + [(9000 + i, f"text number {i}", None, None) for i in range(20)]
+    labelled = fx.documents(spark, rows, clash=False).withColumn("label", F.when(F.col("doc_id") < 9000, 1).otherwise(F.col("doc_id") % 2))
+    quality.learn(labelled)
+    assert seen[0][0] == 21 and sorted(seen[0][1])[-1] == 3000
+
+
+def test_mixture_against_plain_em(spark):
+    """The language set and proportions of an EM and a selection written out one text at a time."""
+    import math
+    import random
+    rng = random.Random(6)
+    own = {"aa": "abcd", "bb": "cdef", "cc": "wxyz"}
+    word = lambda lang: "".join(rng.choice(own[lang]) for _ in range(rng.randint(2, 6)))
+    rows = [(i, " ".join(word(lang) for _ in range(80)), lang, None) for i, lang in enumerate(list(own) * 20)]
+    mixed = [" ".join(word(rng.choice(langs)) for _ in range(60)) for langs in (["aa"], ["aa", "cc"], ["bb", "cc"], ["aa", "bb", "cc"]) for _ in range(4)]
+    model = language.learn(fx.documents(spark, rows, clash=False))
+    docs = fx.documents(spark, [(i, t, None, None) for i, t in enumerate([*mixed, "very long " * 30_000, *mixed])])
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+
+    def em(p, n):
+        share = [1 / len(p[0])] * len(p[0])
+        for _ in range(language.ROUNDS if len(share) > 1 else 0):
+            sums = [0.0] * len(share)
+            for row, k in zip(p, n):
+                total = sum(a * b for a, b in zip(row, share))
+                for j in range(len(share)):
+                    sums[j] += k * share[j] * row[j] / total
+            share = [s / sum(n) for s in sums]
+        return share, sum(k * math.log(sum(a * b for a, b in zip(row, share))) for row, k in zip(p, n))
+
+    for i, text in enumerate(mixed):
+        codes = language._codes(text).tolist()
+        used = sorted(set(codes))
+        n, p = [codes.count(u) for u in used], [[model.p[u][j] for j in range(3)] for u in used]
+        everything, _ = em(p, n)
+        chosen = [max(range(3), key=lambda j: sum(k * math.log(row[j]) for row, k in zip(p, n)))]
+        share, best = em([[row[j] for j in chosen] for row in p], n)
+        for nxt in sorted(range(3), key=lambda j: -everything[j]):
+            if nxt in chosen:
+                continue
+            tried = [*chosen, nxt]
+            tried_share, value = em([[row[j] for j in tried] for row in p], n)
+            if value - best <= language.PENALTY * math.log(max(sum(n), 2)):
+                break
+            chosen, share, best = tried, tried_share, value
+        want = sorted(zip((-s for s in share), (model.languages[j] for j in chosen)))
+        assert got[i].lang_set == [lang for _, lang in want]
+        assert all(abs(a + b) < 1e-9 for a, (b, _) in zip(got[i].lang_shares, want))
+        assert got[i].lang_pred == want[0][1] and got[len(mixed) + 1 + i][1:] == got[i][1:]
