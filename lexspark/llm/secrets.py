@@ -6,7 +6,9 @@ Base spans, leftmost and non-overlapping per kind, positions in code points:
 
 The battery adds ``random`` spans.  A candidate is a run of 20+ characters of
 ``[A-Za-z0-9+/_-]`` (with up to two ``=``) that mixes digits and letters.  Its
-encoding is the narrowest of hex, base32, one-case alphanumeric and base64 that holds it.
+encoding is the narrowest of hex, base32, one-case alphanumeric and base64 that holds it.  A string
+of one case with ``-``, ``_``, ``+`` or ``/`` (a dashed key, a prefixed token) is tested without them, if
+20 characters are left, in strata of their own.
 Against "drawn uniformly from that alphabet" three tests give a p-value each:
 chi-squared over equal cells of the alphabet (Wilson-Hilferty), Wald-Wolfowitz
 runs above and below the alphabet's middle, and lag-one serial correlation.
@@ -52,6 +54,7 @@ ENCODINGS = (
     ("upper36", "^[A-Z0-9]+$", DIGITS + UPPERS),
     ("base64", "^(?=.*[a-z])(?=.*[A-Z]).+$", UPPERS + UPPERS.lower() + DIGITS + "+/"),
 )
+LEAST_CHARACTERS = 20
 FDR = 0.05
 GRID = 20  # cuts at 0, 1/GRID, 2/GRID, ...
 SPARSE = 200  # random candidates in the upper half that an estimate needs
@@ -90,12 +93,21 @@ def _normal_tail(z: Column) -> Column:
 def battery(candidates: DataFrame) -> DataFrame:
     """Adds ``encoding``, ``n`` and ``p`` to ``candidates(token, ...)``; drops tokens of no encoding."""
     mixed = F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")
-    chosen = F.lit(None).cast("struct<name:string,alphabet:string>")
-    for name, pattern, alphabet in reversed(ENCODINGS):
-        chosen = F.when(F.col("token").rlike(pattern), F.struct(F.lit(name).alias("name"),
-                                                                F.lit(alphabet).alias("alphabet"))).otherwise(chosen)
-    body = F.translate(F.rtrim(F.col("token"), F.lit("=")), "-_", "+/")
-    c = (candidates.withColumn("enc", F.when(mixed, chosen)).where("enc is not null")
+
+    def chosen(text: Column, mark: str, body: Column) -> Column:
+        found = F.lit(None).cast("struct<name:string,alphabet:string,body:string>")
+        for name, pattern, alphabet in reversed(ENCODINGS):
+            found = F.when(text.rlike(pattern), F.struct(F.lit(name + mark).alias("name"), F.lit(alphabet).alias("alphabet"),
+                                                         body.alias("body"))).otherwise(found)
+        return found
+
+    trimmed = F.rtrim(F.col("token"), F.lit("="))
+    whole = chosen(F.col("token"), "", F.translate(trimmed, "-_", "+/"))
+    # one-case strings with separators: what is between them, in strata of their own
+    joined = F.translate(trimmed, "-_+/", "")
+    split = F.when(F.char_length(joined) >= LEAST_CHARACTERS, chosen(joined, " in parts", joined))
+    body = F.col("enc.body")
+    c = (candidates.withColumn("enc", F.when(mixed, F.coalesce(whole, split))).where("enc is not null")
          .withColumn("encoding", F.col("enc.name"))
          .withColumn("x", F.transform(F.split(body, ""), lambda ch: F.instr(F.col("enc.alphabet"), ch) - 1))
          .withColumn("size", F.length("enc.alphabet")).withColumn("n", F.size("x")))

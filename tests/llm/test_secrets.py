@@ -96,3 +96,15 @@ def test_single_keys_and_a_hot_copied_one(spark):
     assert found[1][0] == found[500][0] == "random:3:43" and set(found[500][i] for i in range(500)) == {"random:3:43"}
     assert found[1][1000] == found[500][1000] == "random:3:63"
     assert not any(s for i, s in found[500].items() if i >= 2000)
+
+
+def test_one_case_keys_with_separators_are_tested(spark):
+    import random
+    rng = random.Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    dashed = ["-".join(hexes(n) for n in (8, 4, 4, 4, 12)) for _ in range(60)]
+    named = [f"section-title-small-page-number-of-the-chapter-{i}" for i in range(60)]
+    rows = [(i, t, None, None) for i, t in enumerate(dashed + named)]
+    got = {r.id: r.spans for r in op.scan(fx.documents(spark, rows)).collect()}
+    assert sum("random" in got[i] for i in range(60)) >= 45
+    assert not any("random" in got[i] for i in range(60, 120))
