@@ -79,7 +79,7 @@ class Codec:
             self.cache.move_to_end(raw)
             return known
         a = np.frombuffer(raw, np.uint8)
-        safe = np.flatnonzero(((a[1:] == 0x20) | (a[1:] == 0x0A)) & (a[:-1] > 0x20) & (a[:-1] < 0x7F)) + 1
+        safe = safe_places(a)
         if len(safe):
             first, last = int(safe[0]), int(safe[-1])
             known = raw[:first], self._ids(raw[first:last]), raw[last:]
@@ -93,35 +93,56 @@ class Codec:
 
     def _plain(self, raw: bytes, cuts: list[int]) -> array:
         ids = array("i")
-        join = b""  # what waits for the next safe place
+        join = []  # what waits for the next safe place
         begin = 0
         for end in [*cuts, len(raw)]:
             head, middle, tail = self._chunk(raw[begin:end])
             begin = end
-            if middle is None:
-                join += head
-            else:
-                ids += self._ids(join + head)
+            join.append(head)
+            if middle is not None:
+                ids += self._ids(b"".join(join))
                 ids += middle
-                join = tail
-        return ids + self._ids(join) if join else ids
+                join = [tail]
+        return ids + self._ids(b"".join(join))
 
     def encode(self, raw: bytes, cuts: list[int]) -> array:
         """Ids of a text (UTF-8) that was cut at ``cuts``."""
         if not self.special_split or not any(s.encode() in raw for s in self.special):
             return self._plain(raw, cuts)
-        ids = array("i")
+        ids, begin = array("i"), 0
         for part in self.special_split.split(raw.decode()):
             if part in self.special:
                 ids.append(self.special[part])
+                begin += len(part.encode())
             elif part:
-                ids += self._plain(part.encode(), [])
+                own = part.encode()
+                ids += self._plain(own, [c - begin for c in cuts if begin < c < begin + len(own)])
+                begin += len(own)
         return ids
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+# The last bytes of white space beyond ASCII, and full stops and commas of CJK texts, in UTF-8.
+_SPACE_ENDS = np.isin(np.arange(256), [0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F])
+_CJK_MARKS = ("\u3001", "\u3002", "\uff0c", "\uff01", "\uff1f", "\uff1a", "\uff1b")
+
+
+def safe_places(a: np.ndarray) -> np.ndarray:
+    """Places where a pre-token surely ends: before a space or line feed that follows anything but white
+    space, and between a CJK mark and an ideograph."""
+    solid = ((a > 0x20) & (a < 0x7F)) | ((a >= 0x80) & ~_SPACE_ENDS[a])
+    safe = np.zeros(len(a) + 1, bool)
+    safe[1:-1] = ((a[1:] == 0x20) | (a[1:] == 0x0A)) & solid[:-1]
+    if len(a) > 3:
+        ideograph = (a[3:] >= 0xE5) & (a[3:] <= 0xE8)
+        for mark in _CJK_MARKS:
+            x, y, z = mark.encode()
+            safe[3:-1] |= ideograph & (a[:-3] == x) & (a[1:-2] == y) & (a[2:-1] == z)
+    return np.flatnonzero(safe)
+
+
 _CODECS: dict[str, Codec] = {}
 
 
@@ -156,15 +177,20 @@ def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.
                                    zip(offsets[:-1].tolist(), offsets[1:].tolist(), cut_places(data, offsets))]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids ARRAY<INT>`` per row; ``path`` is a byte-level BPE file all executors have."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``id, ids ARRAY<INT>`` per row; ``path`` is a byte-level BPE file all executors have.  With ``decoded``
+    also ``decoded_sha256`` of the text that the ids give back."""
     def run(batches):
+        own = codec(path)
         for keys, ids in _encoded(path, batches):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate([np.frombuffer(x, np.int32) for x in ids])
-            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                                             names=["id", "ids"])
-    return _input(docs, id_col, text_col).mapInArrow(run, _schema(docs, id_col, "ids array<int>"))
+            columns = [keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if decoded:
+                columns.append(pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids]))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded_sha256"][:len(columns)])
+    return _input(docs, id_col, text_col).mapInArrow(
+        run, _schema(docs, id_col, "ids array<int>" + ", decoded_sha256 string" * decoded))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

@@ -73,3 +73,26 @@ def test_chunks_are_encoded_once(monkeypatch):
     first = sum(calls)
     own.encode(raw, cuts)
     assert sum(calls) - first < first / 3  # the second time only joins are encoded
+
+
+def test_chunks_are_reused_in_other_scripts():
+    """A second encoding of a text re-encodes little of it, whatever its script."""
+    import random
+
+    import numpy as np
+
+    from lexspark.llm import bpe, catalog, hashing
+    import pyarrow as pa
+    rng = random.Random(2)
+    cyrillic = " ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in range(rng.randint(2, 9))) for _ in range(8000))
+    chinese = "".join("".join(chr(rng.randint(0x5000, 0x8FFF)) for _ in range(rng.randint(4, 14))) + rng.choice("，。、") for _ in range(4000))
+    spaced = " ".join("é　 x" + chr(rng.randint(0x2000, 0x200A)) + "ó y" for _ in range(3000))
+    for text in (cyrillic, chinese, spaced):
+        own = bpe.Codec(catalog.vocabulary_path())
+        raw = text.encode()
+        cuts = bpe.cut_places(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        first, done = own.encode(raw, cuts), []
+        plain, own._ids = own._ids, lambda part: done.append(len(part)) or plain(part)
+        assert own.encode(raw, cuts) == first == plain(raw)
+        assert sum(done) < len(raw) / 3 or text is spaced
+    assert hashing.text_buffer(pa.array(["x"]))[1].tolist() == [0, 1]
