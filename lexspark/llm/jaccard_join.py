@@ -27,7 +27,8 @@ shard and block sizes (plus one text).
 
 Defined results: null and empty texts have 0 shingles and link with nothing; a
 text of fewer than 5 words is one shingle; a row with a null id links with nothing and has a null
-component; rows that repeat an id are separate texts that count as linked; an
+component; rows that repeat an id are separate texts that count as linked, and classes with the same
+smallest id count their links together; an
 empty table gives an empty result; other columns are ignored.  Ids are integers.
 """
 
@@ -42,11 +43,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import hashing
-from .common import unused
+from .common import join_groups, unused
 from .components import components
 
 THRESHOLD_PERCENT = 75
-BLOCK_BYTES = 1 << 20   # text of a block of documents in step 1
+BLOCK_BYTES = 1 << 19   # text of a block of documents in step 1
 SHARD_BYTES = 8 << 20   # text whose shingles one shard holds
 BLOCK_DOCS = 384        # documents of a block in step 4
 
@@ -245,11 +246,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     shards = packed.groupBy("shard").applyInArrow(_repeated, _PACKED)
     sets = materialize(shards.groupBy("block").applyInArrow(_unpack, _DOCS), "shingle-sets")
 
-    classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id"))
-    classes = materialize(sets.drop("prefix", "hashes").join(classes, ["n", "s1", "s2"], "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id")), "shingle-classes")
-    firsts = classes.where("id = class_id and n_shingles > 0").select("id").distinct()
-    sets = sets.where("hashes is not null").join(firsts, "id", "left_semi").dropDuplicates(["id"])
+    same = ["n", "s1", "s2"]
+    firsts = materialize(sets.where("n > 0").groupBy(*same).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")),
+                         "shingle-firsts")
+    some = sets.where("n > 0").select("id", *same)
+    classes = join_groups(some, firsts, same, "copies", sets.count()).select("id", F.col("n").alias("n_shingles"), "class_id")
+    none = sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"))
+    classes = materialize(classes.unionByName(none), "shingle-classes")
+    # each different set once, under its smallest id; an id with several texts may stand for several sets
+    firsts = firsts.select(F.col("class_id").alias("id"), *same)
+    sets = sets.where("hashes is not null").join(firsts, ["id", *same], "left_semi").dropDuplicates(["id", *same])
     sets = materialize(sets.select("id", "n", "prefix", "hashes"), "shingle-reps")
 
     postings = sets.select("id", "prefix", "hashes").mapInArrow(_postings, "h long, id long")

@@ -80,3 +80,14 @@ def test_components_of_chains_and_stars(spark):
     rows = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert rows == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_an_id_with_several_texts_keeps_all_its_links(spark):
+    import random
+    rng = random.Random(8)
+    a, b = (fx.words(rng, 60) for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join(a + ["x"])), (7, " ".join(b + ["y"])), (3, " ".join(fx.words(rng, 60)))]
+    docs = fx.documents(spark, [(*r, None, None) for r in rows])
+    found = {(r.id, r.component_id) for r in op.jaccard_components(docs).collect()}
+    assert found == {(5, 5), (6, 5), (7, 5), (3, 3)}
+    assert all(r.n_links == 1 for r in op.jaccard_components(docs).where("id in (6, 7)").collect())
