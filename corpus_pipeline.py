@@ -42,9 +42,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` per document of the mixture."""
-    return bpe.encode(docs, vocabulary_path()).select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """``doc_id, n_tokens, ids, decoded_sha256`` per document of the mixture, encoded and decoded; the job stops
+    where the ids do not give the text back."""
+    texts = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    coded = bpe.encode(texts.withColumn("key", F.struct("doc_id", "text_sha256")), vocabulary_path(), "key", decoded=True)
+    exact = F.assert_true(F.col("id.text_sha256") == F.col("decoded_sha256"), F.lit("the ids do not give the text back"))
+    return coded.where(exact.isNull()).select(F.col("id.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                                              "ids", "decoded_sha256")
 
 
 STAGES = [("language", identify_language), ("exact_dedup", drop_exact_copies), ("near_copies", drop_near_copies),
