@@ -440,6 +440,37 @@ def stream_replace(spark, sf_dir):
     return index_stream.read_stream_index(spark, out, stemmed=False).doc_freq
 
 
+def stream_state_doc_freq(spark, sf_dir):
+    """Documents, then benchmark texts that replace some, arrive as a stream; the document frequencies are
+    the state of a second stream, which is stopped and started again from its checkpoint in between."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    src, out, state = (scratch_path(spark, f"stream-state-{n}") for n in ("docs", "index", "df"))
+    ckpt, df_ckpt = scratch_path(spark, "stream-ckpt"), scratch_path(spark, "stream-ckpt")
+    stream = lambda: (spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1)
+                      .option("recursiveFileLookup", "true").parquet(src).select(F.col("doc_id").alias("doc_key"), "text"))
+
+    def run():
+        index_stream.index_stream(stream(), out, ckpt, stem=False, policy="replace", events=True).awaitTermination()
+        index_stream.doc_freq_stream(spark, out, state, df_ckpt).awaitTermination()
+
+    standins.write_stream_source(docs, f"{src}/a", P.STREAM_FILES, "doc_id")
+    run()
+    read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text").coalesce(1).write.parquet(f"{src}/b")
+    run()
+    return index_stream.read_doc_freq(spark, state)
+
+
+def stream_stemmed_doc_freq(spark, sf_dir):
+    """Documents arrive as a stream and are indexed by stems."""
+    src = scratch_path(spark, "stream-docs")
+    standins.write_stream_source(read_table(spark, sf_dir, "documents").select("doc_id", "text"), src,
+                                 P.STREAM_FILES, "doc_id")
+    out = scratch_path(spark, "stream-index")
+    index_stream.index_stream(_doc_stream(spark, src), out, scratch_path(spark, "stream-ckpt")).awaitTermination()
+    index = index_stream.read_stream_index(spark, out)
+    return index.doc_freq.select("term", "df")
+
+
 def stream_search(spark, sf_dir):
     """Benchmark queries arrive as a stream against a static index."""
     src = scratch_path(spark, "stream-queries")
@@ -545,6 +576,8 @@ MORE_QUERIES = {
     "stream_doc_freq": stream_doc_freq,
     "stream_unique_keys": stream_unique_keys,
     "stream_replace": stream_replace,
+    "stream_state_doc_freq": stream_state_doc_freq,
+    "stream_stemmed_doc_freq": stream_stemmed_doc_freq,
     "stream_search": stream_search,
     "xml_text": xml_text,
     "folder_index": folder_index,

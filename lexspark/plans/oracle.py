@@ -244,6 +244,8 @@ def oracle_sql() -> dict[str, str]:
         "folder_index": f"WITH {corpus_ctes(FOLDER_DOCS)} SELECT doc_id, term, freq FROM tf",
         "stream_doc_freq": f"WITH {c} SELECT term, df FROM dfreq",
         "stream_replace": f"WITH {corpus_ctes(REPLACED_DOCS)} SELECT term, df FROM dfreq",
+        "stream_state_doc_freq": f"WITH {corpus_ctes(REPLACED_DOCS)} SELECT term, df FROM dfreq",
+        "stream_stemmed_doc_freq": f"WITH {stemmed_ctes()} SELECT term, df FROM dfreq",
         "stream_unique_keys": "SELECT DISTINCT doc_id FROM documents",
         "stream_search": search_sql("benchmark", "item_id", "text"),
     }

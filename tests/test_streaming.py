@@ -88,3 +88,60 @@ def test_stream_of_replacements(spark):
     got = index_stream.read_stream_index(spark, out)
     assert {(r.doc_key, r.term, r.freq) for r in got.postings.collect()} == {("a", "w", 2), ("b", "y", 1), ("c", "x", 1)}
     assert got.n_docs == 3
+
+
+def _rows(spark, items):
+    from conftest import docs_df
+    return docs_df(spark, items)
+
+
+def test_key_filters_hold_every_key_and_few_others(spark):
+    from lexspark.streaming import key_filters as kf
+    keys = spark.range(0, 20_000, 2).select(F.concat(F.lit("doc/"), "id").alias("doc_key"))
+    filters = kf.build(keys, 8)
+    assert filters.count() == 8
+    others = spark.range(1, 20_000, 2).select(F.concat(F.lit("doc/"), "id").alias("doc_key"))
+    for probe, low, high in ((keys, 10_000, 10_000), (others, 0, 300)):
+        keyed = probe.withColumn("key_bucket", kf.key_bucket("doc_key", 8)).join(filters, "key_bucket")
+        assert low <= keyed.where(kf.may_hold(F.col("words"), F.col("n_bits"), "doc_key")).count() <= high
+    assert kf.build(keys.limit(0)).collect() == []
+
+
+def test_a_batch_reads_only_folders_that_may_hold_its_keys(spark):
+    out = scratch_path(spark, "t-filters")
+    for n in range(4):
+        index_stream.index_batch(_rows(spark, [(f"k{n}-{i}", "x y") for i in range(30)]), n, out)
+    known = index_stream.earlier_rows(spark, out, 4, _rows(spark, [("k2-5", ""), ("new", "")]).select("doc_key"))
+    assert [tuple(r) for r in known.collect()] == [("k2-5", 2)]
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    filters = [line.split("PartitionFilters: [")[1].split("PushedFilters")[0] for line in plan.split("\n") if "FileScan" in line]
+    assert any("batch_id" in f and "key_bucket" in f for f in filters)
+    folders = index_stream.key_filters.candidate_folders(spark.read.parquet(f"{out}/key_filters"), _rows(spark, [("k2-5", "")]))
+    assert len(folders) < 4 < spark.read.parquet(f"{out}/key_filters").count()
+    assert index_stream.earlier_rows(spark, out, 4, _rows(spark, [("certainly new", "")]).select("doc_key")) is None
+
+
+def test_state_counts_replacements_and_retries_once(spark):
+    out, state, ckpt = (scratch_path(spark, f"t-state-{n}") for n in "abc")
+    batches = [[("a", "x y x"), ("b", "y z")], [("b", "z z new"), ("c", "")], [("a", "w"), ("b", "y"), ("d", "x")]]
+    want = {}
+    for n, batch in enumerate(batches):
+        want.update(batch)
+        for _ in range(2):  # the second is a retry
+            index_stream.index_batch(_rows(spark, batch), n, out, stem=False, policy="replace", events=True)
+        index_stream.doc_freq_stream(spark, out, state, ckpt).awaitTermination()  # starts from its checkpoint
+        full = ix.build_index(_rows(spark, list(want.items())), stem=False).doc_freq
+        got = {tuple(r) for r in index_stream.read_doc_freq(spark, state).collect()}
+        assert got == {tuple(r) for r in full.select("term", "df").collect()}
+        streamed = index_stream.read_stream_index(spark, out, stemmed=False)
+        assert {tuple(r) for r in streamed.doc_freq.select("term", "df").collect()} == got
+
+
+def test_stemming_is_stored_with_the_stream(spark):
+    src, out = scratch_path(spark, "t-stem-src"), scratch_path(spark, "t-stem-out")
+    _rows(spark, [("a", "running runs"), ("b", "run")]).write.parquet(src)
+    for stem, term in ((False, "runs"), (True, "run")):
+        stream = spark.readStream.schema("doc_key string, text string").parquet(src)
+        index_stream.index_stream(stream, f"{out}{stem}", scratch_path(spark, "t-ckpt"), stem=stem).awaitTermination()
+        index = index_stream.read_stream_index(spark, f"{out}{stem}")
+        assert index.stemmed == stem and term in {r.term for r in index.doc_freq.collect()}
