@@ -28,6 +28,32 @@ def assert_unique(docs: DataFrame, key: str = "doc_key") -> None:
         raise ValueError(f"duplicate document key {dup[0][0]!r} ({dup[0][1]} copies)")
 
 
+def duplicate_postings(postings: DataFrame) -> DataFrame:
+    """``doc_key, term, copies`` of postings that occur more than once (A7: unique (term, document))."""
+    return postings.groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def wrong_terms(index: Index) -> DataFrame:
+    """``term, copies, df, counted`` of terms that occur more than once in ``doc_freq``, or whose df is not the number of
+    their postings (A7: unique term).  Counts per term on both sides, so hot terms are summed before the shuffle."""
+    stated = index.doc_freq.select("term", "df", F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("counted"))
+    found = index.postings.select("term", F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("copies"),
+                                  F.lit(1).cast("long").alias("counted"))
+    sums = stated.unionByName(found).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("copies", "df", "counted")])
+    return sums.where("copies <> 1 or df <> counted")
+
+
+def assert_consistent(index: Index) -> None:
+    """Fail on an index that is damaged or was added to twice: repeated keys, postings or terms, wrong document
+    frequencies, or postings without their document."""
+    assert_unique(index.documents)
+    for rows, what in ((duplicate_postings(index.postings), "repeated posting"), (wrong_terms(index), "wrong document frequency"),
+                       (orphan_postings(index.postings, index.documents), "posting without a document")):
+        bad = rows.limit(1).collect()
+        if bad:
+            raise ValueError(f"{what}: {bad[0].asDict()}")
+
+
 def orphan_postings(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """Postings whose document is missing (A9): a left-anti join on the key."""
     return postings.join(documents.select("doc_key"), "doc_key", "left_anti")

@@ -6,6 +6,8 @@ Column names equal those of ``plans.oracle``; ranks are rounded to
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.analyze import explode_rows, token_array, token_kind
@@ -379,6 +381,24 @@ def duplicate_keys(spark, sf_dir):
     return inc.duplicate_keys(batch.select("doc_id"), "doc_id")
 
 
+def _doubled(spark, sf_dir):
+    """An index whose postings of one source were written twice."""
+    index = documents_index(spark, sf_dir)
+    again = from_table(scope(read_table(spark, sf_dir, "documents"), "source", [P.DUPLICATED_SOURCE]), "doc_id", "text")
+    twice = index.postings.join(again.select("doc_key"), "doc_key", "left_semi")
+    return dataclasses.replace(index, postings=index.postings.unionByName(twice), _scratch=[])
+
+
+def duplicate_postings(spark, sf_dir):
+    """(doc_id, term, copies) of the postings that are there twice."""
+    return _as_doc_id(inc.duplicate_postings(_doubled(spark, sf_dir).postings))
+
+
+def wrong_terms(spark, sf_dir):
+    """(term, copies, df, counted) of the terms whose df is not the number of their postings."""
+    return inc.wrong_terms(_doubled(spark, sf_dir))
+
+
 def orphan_postings(spark, sf_dir):
     """Postings whose document row is missing: (doc_id, postings, tokens)."""
     docs = read_table(spark, sf_dir, "documents")
@@ -483,6 +503,26 @@ def stream_search(spark, sf_dir):
     return _bigint_rn(_as_doc_id(search_stream.read_results(spark, out)))
 
 
+def stream_search_refresh(spark, sf_dir):
+    """Benchmark queries arrive as a stream, some before and the others after the later sources were added to
+    the index: the stream moves on to the new version at the batch border."""
+    docs, queries = read_table(spark, sf_dir, "documents"), _benchmark(spark, sf_dir)
+    root, src, out, ckpt = (scratch_path(spark, f"refresh-{n}") for n in ("index", "queries", "results", "ckpt"))
+    early = F.coalesce(F.col("text") < "M", F.lit(False))
+    index = ix.build_index(from_table(docs.where(~_later()), "doc_id", "text"), stem=False)
+    tiered.create(index, root, buckets=P.BUCKETS, span=P.SPAN)
+    latest = tiered.Latest(spark, root, "query-stream")
+
+    def answer(some):
+        some.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("query_id bigint, text string").parquet(src)
+        search_stream.search_stream(latest, stream, out, ckpt).awaitTermination()
+    answer(queries.where(early))
+    tiered.append(spark, root, from_table(docs.where(_later()), "doc_id", "text"), "error")
+    answer(queries.where(~early))
+    return _bigint_rn(_as_doc_id(search_stream.read_results(spark, out)))
+
+
 # --- files and XML ------------------------------------------------------------------
 
 def xml_text(spark, sf_dir):
@@ -579,6 +619,9 @@ MORE_QUERIES = {
     "stream_state_doc_freq": stream_state_doc_freq,
     "stream_stemmed_doc_freq": stream_stemmed_doc_freq,
     "stream_search": stream_search,
+    "stream_search_refresh": stream_search_refresh,
+    "duplicate_postings": duplicate_postings,
+    "wrong_terms": wrong_terms,
     "xml_text": xml_text,
     "folder_index": folder_index,
     "skip_accounting": skip_accounting,

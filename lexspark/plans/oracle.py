@@ -6,6 +6,8 @@ Stems come from SQL of their own (``oracle_stem``).
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from . import params as P
 from .oracle_stem import stem_ctes
 
@@ -13,8 +15,8 @@ from .oracle_stem import stem_ctes
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE_SPACE_CLASS = (r"\t\n\x{B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 HTML_STRIP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
-HTML_DECODE = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-               ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+# The 252 names of the older standard, by code point (the engine takes the newer list, by character).
+HTML_NAMES = "MAP {" + ", ".join(f"'{name}': {code}" for name, code in name2codepoint.items()) + ", 'apos': 39}"
 
 # RE2 has no Alphabetic property; \p{L} is the same on these tables.
 RE2_TOKEN = r"\p{N}+|\p{L}[\p{L}\p{N}]*|[^" + WHITE_SPACE_CLASS + r"]"
@@ -25,9 +27,12 @@ def _q(s: str) -> str:
 
 
 def html_decoded(expr: str) -> str:
-    for entity, char in HTML_DECODE:
-        expr = f"replace({expr}, {_q(entity)}, {_q(char)})"
-    return expr
+    name = "regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', 1)"
+    code = f"""CASE WHEN regexp_matches({name}, '^#[0-9]') THEN substr({name}, 2)::INT
+                    WHEN regexp_matches({name}, '^#') THEN ('0x' || substr({name}, 3))::INT ELSE {HTML_NAMES}[{name}] END"""
+    piece = f"""CASE WHEN i = 1 THEN p WHEN ({code}) IS NULL THEN '&' || p
+                     ELSE chr({code}) || substr(p, length({name}) + 2) END"""
+    return f"array_to_string(list_transform(string_split({expr}, '&'), lambda p, i: {piece}), '')"
 
 
 def tokens_of(expr: str) -> str:
@@ -57,7 +62,7 @@ def stemmed_ctes(queries: str | None = None, qkey: str = "item_id") -> str:
     """``corpus_ctes`` (and ``query_ctes``) over stems instead of tokens."""
     corpus = corpus_ctes().split("tf AS (", 1)[1]  # what follows the tokens
     raw = f"toks0 AS (SELECT doc_id, unnest({tokens_of('text')}) AS term FROM documents)"
-    terms, query = "SELECT term FROM toks0", ""
+    terms, query = "SELECT DISTINCT term FROM toks0", ""
     if queries:
         raw += f", qt0 AS (SELECT {qkey} AS query_id, unnest({tokens_of('text')}) AS term FROM {queries})"
         terms += " UNION ALL SELECT term FROM qt0"
@@ -112,6 +117,7 @@ HTML_TEXT = f"""
 REPLACED_DOCS = """(
     SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
     UNION ALL SELECT item_id AS doc_id, text FROM benchmark)"""
+FIRST_DOCS = f"(SELECT * FROM documents WHERE NOT coalesce(source >= {_q(P.DELTA_FROM_SOURCE)}, false))"
 FOLDER_DOCS = "(SELECT * FROM documents WHERE lang IN ('en', 'fr', 'de'))"
 
 
@@ -217,6 +223,13 @@ def oracle_sql() -> dict[str, str]:
               SELECT doc_id FROM documents
               UNION ALL SELECT doc_id FROM documents WHERE source = {_q(P.DUPLICATED_SOURCE)})
             GROUP BY doc_id HAVING count(*) > 1""",
+        "duplicate_postings": f"""WITH {c}
+            SELECT doc_id, term, 2::BIGINT AS copies FROM tf
+            WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = {_q(P.DUPLICATED_SOURCE)})""",
+        "wrong_terms": f"""WITH {c}
+            SELECT term, 1::BIGINT AS copies, df, df + n AS counted FROM dfreq JOIN (
+              SELECT term, count(*) AS n FROM tf
+              WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = {_q(P.DUPLICATED_SOURCE)}) GROUP BY term) USING (term)""",
         "orphan_postings": f"""WITH {c}
             SELECT doc_id, count(*) AS postings, sum(freq)::BIGINT AS tokens FROM tf
             WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = {_q(P.ORPHANED_SOURCE)})
@@ -248,4 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_stemmed_doc_freq": f"WITH {stemmed_ctes()} SELECT term, df FROM dfreq",
         "stream_unique_keys": "SELECT DISTINCT doc_id FROM documents",
         "stream_search": search_sql("benchmark", "item_id", "text"),
+        "stream_search_refresh": f"""
+            SELECT * FROM ({search_sql("(SELECT * FROM benchmark WHERE text < 'M')", "item_id", "text", docs=FIRST_DOCS)})
+            UNION ALL SELECT * FROM ({search_sql("(SELECT * FROM benchmark WHERE NOT coalesce(text < 'M', false))", "item_id", "text")})""",
     }

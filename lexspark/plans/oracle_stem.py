@@ -34,7 +34,7 @@ _SHORT_END = "(regexp_matches(w, '[^aeiouy][aeiouy][^aeiouywxY]$') OR regexp_mat
 def stem_ctes(terms: str) -> str:
     """CTEs ending in ``stems(raw, stem)`` for the words of the query ``terms`` (a column ``term``)."""
     return rf"""
-    st_words AS (SELECT DISTINCT term AS raw FROM ({terms}) WHERE length(term) >= 3 AND regexp_matches(term, '^\p{{L}}')),
+    st_words AS MATERIALIZED (SELECT DISTINCT term AS raw FROM ({terms}) WHERE length(term) >= 3 AND regexp_matches(term, '^\p{{L}}')),
     st_marked AS (SELECT raw, regexp_replace(regexp_replace(raw, '^y', 'Y'), '([aeiouy])y', '\1Y', 'g') AS w FROM st_words),
     st_r1 AS (
       SELECT raw, w, CASE WHEN starts_with(w, 'gener') OR starts_with(w, 'arsen') THEN 5 WHEN starts_with(w, 'commun') THEN 6
@@ -81,7 +81,7 @@ def stem_ctes(terms: str) -> str:
     st_5 AS (
       SELECT raw, CASE WHEN ends_with(w, 'e') AND (length(y) >= r2 OR length(y) >= r1 AND NOT {_SHORT_END.replace("(w,", "(y,")}) THEN y
                        WHEN ends_with(w, 'll') AND length(y) >= r2 THEN y ELSE w END AS w FROM st_5_short),
-    stems AS (
+    stems AS MATERIALIZED (
       SELECT f.raw, CASE WHEN f.raw IN ({_quoted(EXCEPTIONS[::2])}) THEN {_map(EXCEPTIONS)}[f.raw]
                          WHEN a.w IN ({_quoted(STOP_AFTER_1A)}) THEN a.w ELSE replace(f.w, 'Y', 'y') END AS stem
       FROM st_5 f JOIN st_1a a ON a.raw = f.raw)"""

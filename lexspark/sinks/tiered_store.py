@@ -31,10 +31,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import packed, ranking
-from ..operators.incremental import accepted, assert_unique
+from ..operators.incremental import accepted, assert_consistent, assert_unique
 from ..operators.index import Index, build_index, doc_freq_of, term_bucket
 from ..operators.numbering import PLACE, numbered, placed, starts
-from ..session import materialize
+from ..session import delete_path, materialize
 from .index_store import LEAST_BUCKETS, _fs, _mark_published, _new_version, published_versions
 
 FAN_IN = 4
@@ -206,8 +206,8 @@ def _smallest(keys: DataFrame) -> list:
     return [r[0] for r in keys.select("doc_key").orderBy("doc_key").limit(FIRST_KEYS).collect()]
 
 
-def load(spark: SparkSession, root: str, version: str | None = None) -> TieredIndex:
-    """The newest published version below ``root``, or the one named."""
+def load(spark: SparkSession, root: str, version: str | None = None, verify: bool = False) -> TieredIndex:
+    """The newest published version below ``root``, or the one named; ``verify`` checks that it is consistent."""
     root = root.rstrip("/")
     if version is None:
         versions = published_versions(spark, root)
@@ -217,7 +217,10 @@ def load(spark: SparkSession, root: str, version: str | None = None) -> TieredIn
     m = json.loads(spark.read.text(f"{root}/{version}/_manifest").first()[0])
     segments = [Segment(**s) for s in m.pop("segments")]
     first = spark.read.schema(f"doc_key {m['key_type']}").parquet(f"{root}/{version}/first_keys")
-    return TieredIndex(spark, root, version, segments, _first_keys=sorted(r[0] for r in first.collect()), **m)
+    index = TieredIndex(spark, root, version, segments, _first_keys=sorted(r[0] for r in first.collect()), **m)
+    if verify:
+        assert_consistent(index.as_index())
+    return index
 
 
 def _merged_first_keys(old: list, old_all: bool, gone: set, new: list, new_all: bool) -> tuple[list, bool]:
@@ -311,6 +314,56 @@ def compact(spark: SparkSession, root: str, everything: bool = False) -> str:
             return target
 
 
+def _pins(root: str) -> str:
+    return f"{root.rstrip('/')}/pins"
+
+
+def pin(spark: SparkSession, root: str, version: str, reader: str) -> None:
+    """Keep a version (folder name) for a reader, who may hold one pin; ``unpin`` gives it up."""
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{_pins(root)}/{reader}")
+
+
+def unpin(spark: SparkSession, root: str, reader: str) -> None:
+    delete_path(spark, f"{_pins(root)}/{reader}")
+
+
+def pinned(spark: SparkSession, root: str) -> set[str]:
+    fs, path = _fs(spark, _pins(root))
+    if not fs.exists(path):
+        return set()
+    readers = [f.getPath().getName() for f in fs.listStatus(path)]
+    return {spark.read.text(f"{_pins(root)}/{r}").first()[0] for r in readers}
+
+
+def remove_unused(spark: SparkSession, root: str) -> list[str]:
+    """Delete the versions that are neither the newest nor pinned, and then the segments that no version left
+    names.  Returns what was removed."""
+    root = root.rstrip("/")
+    versions = [v.rsplit("/", 1)[-1] for v in published_versions(spark, root)]
+    keep = {versions[-1]} | pinned(spark, root) if versions else set()
+    kept = [v for v in versions if v in keep]
+    gone = [f"{root}/{v}" for v in versions if v not in keep] + [f"{root}/segments/{s}" for s in unused_segments(spark, root, kept)]
+    for path in gone:
+        delete_path(spark, path)
+    return gone
+
+
+class Latest:
+    """The newest version for a reader that asks again and again (a query stream at each batch): the version in use is
+    pinned under the reader's name, and loaded anew only when there is a newer one."""
+
+    def __init__(self, spark: SparkSession, root: str, reader: str):
+        self.spark, self.root, self.reader = spark, root, reader
+        self._version, self._index = None, None
+
+    def __call__(self) -> Index:
+        newest = published_versions(self.spark, self.root)[-1].rsplit("/", 1)[-1]
+        if newest != self._version:
+            pin(self.spark, self.root, newest, self.reader)
+            self._version, self._index = newest, load(self.spark, self.root, newest).as_index()
+        return self._index
+
+
 def unused_segments(spark: SparkSession, root: str, keep: list[str]) -> list[str]:
     """Names of segments that no version of ``keep`` (folder names) uses: they may be deleted once no reader
     holds another version."""

@@ -7,6 +7,8 @@ Every micro-batch of ``(query_id, text)`` runs the batch search
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,12 +24,18 @@ def search_batch(index: Index, batch: DataFrame, batch_id: int, out: str, k: int
         result.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
 
-def search_stream(index: Index, queries: DataFrame, out: str, checkpoint: str, k: int = TOP_K,
+def search_stream(index: Index | Callable[[], Index], queries: DataFrame, out: str, checkpoint: str, k: int = TOP_K,
                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+    """Start answering a stream of queries.  ``index`` may be a function that gives the index to use (for example
+    ``tiered_store.Latest``): it is asked at each batch, so the stream moves on to a newer version at a batch border."""
     out = out.rstrip("/")
-    keys = first_keys(index, k)  # the static index: zero-fill keys once
+    if callable(index):
+        answer = lambda df, batch_id: search_batch(index(), df, batch_id, out, k)
+    else:
+        keys = first_keys(index, k)  # the static index: zero-fill keys once
+        answer = lambda df, batch_id: search_batch(index, df, batch_id, out, k, keys)
     writer = (queries.writeStream
-              .foreachBatch(lambda df, batch_id: search_batch(index, df, batch_id, out, k, keys))
+              .foreachBatch(answer)
               .option("checkpointLocation", checkpoint))
     if processing_time:
         writer = writer.trigger(processingTime=processing_time)
