@@ -43,9 +43,9 @@ TRIGGER = 16            # mean words between two cuts of a long piece
 LEAST = 10              # occurrences of a candidate
 COVER_PERCENT = 50      # share of a phrase within one longer candidate that drops it
 TOP = 2000
-BLOCK_BYTES = 1 << 20   # text parsed at once
+BLOCK_BYTES = 1 << 19   # text parsed at once
 FLUSH_BYTES = 12 << 20  # distinct chunks, or n-grams, that a task holds before it sends them
-SLICES = 64             # slices of the phrases ranked before the whole
+SLICES = 4              # slices of the phrases ranked before the whole
 
 _PIECE_END = segments.byte_class(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
 _WORD = ~(_PIECE_END | segments.byte_class((0x20, 0x20), (0x09, 0x09)))
@@ -102,8 +102,8 @@ def _sent(tables: Iterator[pa.Table], parts: int, flush: int) -> Iterator[pa.Rec
     width, seed = packed_sums.widths(parts)[0], TaskContext.get().partitionId() * 1_000_003
     held, size = [], 0
     for table in tables:
-        held.append(packed_sums.summed([table]))
-        size += held[-1].nbytes
+        held.append(table)
+        size += table.nbytes
         if size > flush:
             yield from packed_sums.send(packed_sums.summed(held), parts, width, seed)
             held, size, seed = [], 0, seed + 1

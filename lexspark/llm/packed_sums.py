@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from . import hashing, segments
 
-PART_BYTES = 24 << 20   # keys of a part
-FAN = 256               # ranges of parts that a sender splits into
+PART_BYTES = 20 << 20   # keys of a part
+FAN = 1024              # ranges of parts that a sender splits into
 
 ROW = "part long, salt long, blob binary"
 _ROW_SCHEMA = pa.schema([("part", pa.int64()), ("salt", pa.int64()), ("blob", pa.binary())])
@@ -55,8 +55,21 @@ def unpack(blob: bytes) -> pa.Table:
 
 def summed(tables: list[pa.Table]) -> pa.Table:
     """One row per key."""
-    whole = pa.concat_tables(tables).group_by(["lang", "text"]).aggregate([("n", "sum")])
-    return whole.rename_columns(["lang", "text", "n"]).cast(TABLE_SCHEMA)
+    whole = pa.concat_tables(tables).combine_chunks()
+    lang, text = (whole.column(c).combine_chunks().dictionary_encode() for c in ("lang", "text"))
+    n_texts = len(text.dictionary)
+    key = lang.indices.to_numpy().astype(np.int64) * n_texts + text.indices.to_numpy()
+    if len(lang.dictionary) > 4:  # else the keys are dense enough to be summed in place
+        used, key = np.unique(key, return_inverse=True)
+        sums = np.zeros(len(used), np.int64)
+        np.add.at(sums, key, whole.column("n").to_numpy())
+    else:
+        sums = np.zeros(len(lang.dictionary) * n_texts, np.int64)
+        np.add.at(sums, key, whole.column("n").to_numpy())
+        used = np.flatnonzero(sums)
+        sums = sums[used]
+    return pa.table([lang.dictionary.take(pa.array(used // max(n_texts, 1))), text.dictionary.take(pa.array(used % max(n_texts, 1))),
+                     pa.array(sums)], schema=TABLE_SCHEMA)
 
 
 def send(table: pa.Table, parts: int, width: int, seed: int) -> Iterator[pa.RecordBatch]:
