@@ -18,7 +18,7 @@ it stands for.
 3. A bucket orders its suffixes by multikey quicksort, 8 bytes a key: a key sorts
    only the ties of the one before.  Within a run of equal leading bytes the windows are
    compared by 64-bit fingerprint, and each learns the smallest document that holds it.
-4. The removed spans go back to their blocks, which cut the texts.
+4. The removed spans go back, packed by groups of blocks and then by block, and the blocks cut the texts.
 
 Blocks meet their results by an id made of partition, place and documents; the scans are held to one
 division of the files into partitions, and results without their block stop the job.  Texts travel twice,
@@ -32,6 +32,7 @@ an empty table gives an empty result; other columns are ignored.  Ids are intege
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +41,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from . import hashing
 
 LENGTH = 50
 LEAD = 16
-BLOCK_BYTES = 2 << 20     # text of a block
+BLOCK_BYTES = 1 << 20     # text of a block
 SCAN_BYTES = 1 << 18      # text hashed at once
-SHARD_BYTES = 16 << 20    # text whose leading bytes one shard of step 1 holds
-BUCKET_BYTES = 4 << 20    # text whose repeated suffixes one bucket of step 3 holds
-SLICE_WINDOWS = 1 << 18   # windows of a bucket compared at once
+SHARD_BYTES = 8 << 20    # text whose leading bytes one shard of step 1 holds
+BUCKET_BYTES = 2 << 20    # text whose repeated suffixes one bucket of step 3 holds
+SLICE_WINDOWS = 1 << 17   # windows of a bucket compared at once
 SAMPLE_BYTES = 16 << 20   # text of the sample that the splitters come from
 NO_ID = np.iinfo(np.int64).max
 
@@ -234,13 +236,39 @@ def multikey_order(n_keys: int, key, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, runs
 
 
-def _bucket(group: pa.Table) -> pa.Table:
-    """Step 3: the spans of a bucket's windows that a smaller document holds."""
-    rows = group.to_pylist()
-    out = [r for r in rows if r["spans"] is not None]
-    sent = [r for r in rows if r["contexts"] is not None]
+def _bucket(n_groups: int):
+    """Step 3: the spans of a bucket's windows that a smaller document holds, a row per group of blocks."""
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        found = [(r["block"], *_unpack(r["spans"], np.uint32, np.uint32)) for r in rows if r["spans"] is not None]
+        found += _bucket_spans([r for r in rows if r["contexts"] is not None])
+        if not found:
+            return _table([])
+        block = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+        a, b = (np.concatenate([f[i] for f in found]).astype(np.uint32) for i in (1, 2))
+        target = block % n_groups
+        order = np.lexsort((block, target))
+        used, first = np.unique(target[order], return_index=True)
+        return _table([{"part": int(k), "block": int(k), "spans": _pack(np.diff(block[p], prepend=0), a[p], b[p])}
+                       for k, p in zip(used, np.split(order, first[1:]))])
+    return run
+
+
+def _to_blocks(group: pa.Table) -> pa.Table:
+    """The spans of a group of blocks, a row per block."""
+    fields = [_unpack(s, np.int64, np.uint32, np.uint32) for s in group.column("spans").to_pylist()]
+    block = np.concatenate([np.cumsum(f[0]) for f in fields])
+    a, b = (np.concatenate([f[i] for f in fields]) for i in (1, 2))
+    order = np.argsort(block, kind="stable")
+    used, first = np.unique(block[order], return_index=True)
+    return _table([{"part": -1, "block": int(k), "spans": _pack(a[p], b[p])} for k, p in zip(used, np.split(order, first[1:]))])
+
+
+def _bucket_spans(sent: list[dict]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Block, begins and ends of the spans that a bucket's contexts give."""
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
     if not sent:
-        return _table(out)
+        return out
     fields = [_unpack(r["contexts"], np.int64, np.int32, np.uint8, np.uint8, np.uint8) for r in sent]
     owner = np.concatenate([np.cumsum(f[0]) for f in fields])
     first = np.concatenate([np.cumsum(f[1].astype(np.int64)) for f in fields])
@@ -263,10 +291,10 @@ def _bucket(group: pa.Table) -> pa.Table:
     for part in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(piece)) + 1):
         p = pick[part]
         a, b, src = _held_spans(_gather(data, start[p], lengths[p]), n_windows[p], run[part], owner[p], first[p], source[p])
-        for k in np.unique(src):
-            out.append({"part": 0, "block": sent[k]["block"],
-                        "spans": _pack(a[src == k].astype(np.uint32), b[src == k].astype(np.uint32))})
-    return _table(out)
+        order_of = np.argsort(src, kind="stable")
+        used, begins = np.unique(src[order_of], return_index=True)
+        out += [(sent[k]["block"], a[at], b[at]) for k, at in zip(used, np.split(order_of, begins[1:]))]
+    return out
 
 
 def _gather(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -339,10 +367,18 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id, n_bytes, n_removed, n_spans, kept`` per document: the UTF-8 bytes that stay, joined, or
     with ``digest`` their SHA-256.  ``docs`` must give the same rows in the same order on every scan
     (a table does)."""
-    spark = docs.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        # else the number of executors at hand decides how small files are split, scan by scan
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    spark, split = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(split, None) is not None:
+        return _dedup_spans(docs, id_col, text_col, digest)
+    # else the number of executors at hand decides how small files are split, scan by scan
+    spark.conf.set(split, str(spark.sparkContext.defaultParallelism))
+    try:
+        return materialize(_dedup_spans(docs, id_col, text_col, digest), "suffix-kept")
+    finally:
+        spark.conf.unset(split)
+
+
+def _dedup_spans(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards, n_buckets = max(1, -(-size // SHARD_BYTES)), max(1, -(-size // BUCKET_BYTES))
@@ -356,5 +392,6 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = lambda: rows.mapInArrow(_texts, _ROW)
     bits = rows.mapInArrow(_send_leads(n_shards), _ROW).groupBy("part").applyInArrow(_repeated, _ROW)
     contexts = texts().unionByName(bits).groupBy("block").applyInArrow(_send_contexts(n_shards, splitters), _ROW)
-    spans = contexts.groupBy("part").applyInArrow(_bucket, _ROW)
+    n_groups = math.isqrt(size // BLOCK_BYTES) + 1  # of blocks: the rows sent are buckets x groups, not buckets x blocks
+    spans = contexts.groupBy("part").applyInArrow(_bucket(n_groups), _ROW).groupBy("part").applyInArrow(_to_blocks, _ROW)
     return texts().unionByName(spans).groupBy("block").applyInArrow(_cut(digest), _RESULT)
