@@ -108,7 +108,7 @@ def test_additions_equal_a_full_build(spark, policy):
     want = dict(rows[:60])
     ts.create(build(spark, rows[:60]), root, buckets=3, span=8)
     rng = random.Random(4)
-    for n in range(5):
+    for n in range(5 if policy == "replace" else 2):
         batch = dict(rows[60 + 12 * n:72 + 12 * n])
         batch.update({k: f"again {n} the w3" for k in rng.sample(sorted(want), 6)})
         ts.append(spark, root, docs_df(spark, list(batch.items()), "long"), policy)
@@ -117,6 +117,8 @@ def test_additions_equal_a_full_build(spark, policy):
     assert len(index.segments) < 6 and (index.removed_docs > 0) == (policy == "replace")
     same_as_full(spark, root, list(want.items()))
     assert index._first_keys == sorted(want)
+    if policy == "ignore":
+        return
     ts.compact(spark, root, everything=True)
     assert len(ts.load(spark, root).segments) == 1 and ts.load(spark, root).removed_docs == 0
     same_as_full(spark, root, list(want.items()))
