@@ -364,8 +364,9 @@ def tiered_index_search(spark, sf_dir):
 
 
 def tiered_replace(spark, sf_dir):
-    """Benchmark texts replace documents of the index after five additions: its document frequencies."""
-    root = _tiered(spark, sf_dir)
+    """Benchmark texts replace documents of the index: its document frequencies without the removed ones."""
+    root = scratch_path(spark, "tiered")
+    tiered.create(documents_index(spark, sf_dir), root, buckets=P.BUCKETS, span=P.SPAN)
     tiered.append(spark, root, from_table(read_table(spark, sf_dir, "benchmark"), "item_id", "text"), "replace")
     return tiered.load(spark, root).doc_freq
 
