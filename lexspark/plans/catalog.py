@@ -20,7 +20,7 @@ from ..sinks import index_store as store
 from ..sinks import tiered_store as tiered
 from ..sources.files import indexable, read_folder, reason_class
 from ..sources.files import skip_accounting as files_skip_accounting
-from ..sources.index_json import legacy_index, read_json_index
+from ..sources.index_json import legacy_index, read_json_index, read_json_object_index
 from ..sources.markup import pages_as_documents, xml_documents
 from ..sources.tables import from_table, read_table, scope, spread
 from ..streaming import index_stream, search_stream
@@ -249,6 +249,14 @@ def index_roundtrip_json(spark, sf_dir):
     return loaded.postings.select(F.col("doc_key").cast("bigint").alias("doc_id"), "term", "freq", "term_count")
 
 
+def index_roundtrip_json_object(spark, sf_dir):
+    """The index written as one JSON object in ordered fragments, read back by byte ranges."""
+    path = scratch_path(spark, "index-json-object")
+    index_json.write_json_object_index(documents_index(spark, sf_dir), path)
+    loaded = read_json_object_index(spark, path, stemmed=False)
+    return loaded.postings.select(F.col("doc_key").cast("bigint").alias("doc_id"), "term", "freq", "term_count")
+
+
 def legacy_import(spark, sf_dir):
     """Postings written in the legacy ``{path: {term: freq}}`` layout, imported back."""
     path = scratch_path(spark, "index-legacy")
@@ -597,6 +605,7 @@ CORE_QUERIES = {
 MORE_QUERIES = {
     "index_roundtrip_parquet": index_roundtrip_parquet,
     "index_roundtrip_json": index_roundtrip_json,
+    "index_roundtrip_json_object": index_roundtrip_json_object,
     "legacy_import": legacy_import,
     "published_index": published_index,
     "search_stored": search_stored,

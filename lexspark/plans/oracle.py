@@ -216,6 +216,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT rn, doc_id AS page_id, rank FROM ranked WHERE rn <= {P.TOP_K}""",
         "index_roundtrip_parquet": f"WITH {c} SELECT doc_id, term, freq, term_count FROM tf JOIN dl USING (doc_id)",
         "index_roundtrip_json": f"WITH {c} SELECT doc_id, term, freq, term_count FROM tf JOIN dl USING (doc_id)",
+        "index_roundtrip_json_object": f"WITH {c} SELECT doc_id, term, freq, term_count FROM tf JOIN dl USING (doc_id)",
         "merge_doc_freq": f"WITH {c} SELECT term, df FROM dfreq",
         "replace_document": f"WITH {corpus_ctes(REPLACED_DOCS)} SELECT term, df FROM dfreq",
         "duplicate_keys": f"""

@@ -6,15 +6,17 @@ is spread over all tasks::
     docs/  {"path": "<key>", "count": <tokens>, "tf": {"<term>": <freq>, ...}}
     df/    {"term": "<term>", "df": <documents>}
 
-``sources.index_json`` reads this form and also the single-object form
-``{"docs": {path: {"tf": {...}, "count": n}}, "df": {...}}``.
+or as one object ``{"docs": {path: {"tf": {...}, "count": n}}, "df": {...}}``, in ordered
+fragments: the files of the folder, joined in the order of their names (``hadoop fs -getmerge``),
+are the object.  ``sources.index_json`` reads both, the object also while it is in fragments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.index import Index, forward_index
+from ..session import materialize
 
 
 def _forward(index: Index) -> DataFrame:
@@ -34,6 +36,33 @@ def write_json_index(index: Index, path: str, mode: str = "errorifexists") -> No
     index.doc_freq.select("term", "df").write.mode(mode).json(f"{path}/df")
 
 
+def _entry(key: Column, value: Column) -> Column:
+    """``"key":value`` as text."""
+    alone = F.to_json(F.create_map(key, value))
+    return F.substring(alone, F.lit(2), F.length(alone) - 2)
+
+
+def object_lines(index: Index) -> DataFrame:
+    """(part, key, value): the lines of the one-object form, which in the order of (part, key) are the object.
+    Only the smallest key of a part has no comma before it."""
+    docs = document_objects(index).select(F.lit(1).alias("part"), F.col("path").alias("key"),
+                                          _entry(F.col("path"), F.struct("tf", "count")).alias("entry"))
+    terms = index.doc_freq.select(F.lit(3).alias("part"), F.col("term").alias("key"),
+                                  _entry(F.col("term"), F.col("df")).alias("entry"))
+    entries = materialize(docs.unionByName(terms), "json-entries")
+    firsts = F.broadcast(entries.groupBy("part").agg(F.min("key").alias("first")))  # two rows
+    lines = entries.join(firsts, "part").select("part", "key", F.when(F.col("key") == F.col("first"), F.col("entry"))
+                                                .otherwise(F.concat(F.lit(","), "entry")).alias("value"))
+    frame = [(0, "", '{"docs":{'), (2, "", '},"df":{'), (4, "", "}}")]
+    return lines.unionByName(index.doc_freq.sparkSession.createDataFrame(frame, "part int, key string, value string"))
+
+
+def write_json_object_index(index: Index, path: str, mode: str = "errorifexists") -> None:
+    """The one-object form as ordered fragments, one per task of a range sort.  Keys are distinct, not null."""
+    (object_lines(index).repartitionByRange("part", "key").sortWithinPartitions("part", "key")
+     .select("value").write.mode(mode).text(path))
+
+
 def legacy_objects(index: Index) -> DataFrame:
     """One ``{path: {term: freq}}`` object per document (the legacy layout; ``{}`` for an empty
     document), as JSON text lines in column ``value``."""

@@ -5,13 +5,14 @@ Schemas are explicit; nothing is inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.index import Index, doc_freq_of
+from ..operators.sizing import broadcast_if_small
+from ..session import materialize
 
 DOC_LINE_SCHEMA = "path string, count bigint, tf map<string,bigint>"
 DF_LINE_SCHEMA = "term string, df bigint"
-OBJECT_SCHEMA = "docs map<string, struct<tf: map<string,bigint>, count: bigint>>, df map<string,bigint>"
 LEGACY_SCHEMA = "map<string, map<string,bigint>>"
 
 
@@ -39,17 +40,111 @@ def read_json_index(spark: SparkSession, path: str, stemmed: bool = True) -> Ind
     return _index_from_docs(docs, df, stemmed)
 
 
+def _balance(bare: Column) -> Column:
+    """Opening less closing braces outside strings, in JSON text without escapes."""
+    outside = F.regexp_replace(bare, r'"[^"]*("|\z)', "")
+    return F.regexp_count(outside, F.lit(r"\{")) - F.regexp_count(outside, F.lit(r"\}"))
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text cut at every comma, by byte ranges of the files (a ``block``: file and start), with what came before
+    it in the block: ``turned`` (1 if a string began or ended there an odd number of times), and for either state s
+    in which the block may begin (1: inside a string) the braces open, ``up_s``, and the pieces that began outside
+    strings, this one included, ``head_s``."""
+    raw = (spark.read.option("lineSep", ",").text(path)
+           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                   F.monotonically_increasing_id().alias("place"), "value"))
+    # an escape never crosses a comma, and there are none outside strings
+    bare = F.regexp_replace("value", r"\\.", "")
+    before = Window.partitionBy("file", "start").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy("file", "start").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = raw.select("*", (F.regexp_count(bare, F.lit('"')) % 2).alias("flips"), _balance(bare).alias("b0"),
+                      _balance(F.concat(F.lit('"'), bare)).alias("b1"))
+    rows = rows.withColumn("turned", F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2)
+    inside = [F.col("turned"), 1 - F.col("turned")]
+    rows = rows.select("*", *[F.when(inside[s] == 1, F.col("b1")).otherwise(F.col("b0")).alias(f"deep_{s}") for s in (0, 1)])
+    return materialize(rows.select(
+        "file", "start", "place", "value", "flips", "turned", "deep_0", "deep_1",
+        *[F.coalesce(F.sum(f"deep_{s}").over(before), F.lit(0)).alias(f"up_{s}") for s in (0, 1)],
+        *[F.sum(1 - inside[s]).over(until).alias(f"head_{s}") for s in (0, 1)]), "json-pieces")
+
+
+def _blocks(pieces: DataFrame) -> DataFrame:
+    """Per block, in the order of the text: its number, whether it begins inside a string, the braces open there
+    and the heads before it.  Prefix sums over one row per block."""
+    sums = pieces.groupBy("file", "start").agg(
+        (F.sum("flips") % 2).alias("flips"), *[F.sum(f"deep_{s}").alias(f"deep_{s}") for s in (0, 1)],
+        *[F.max(f"head_{s}").alias(f"head_{s}") for s in (0, 1)])
+    order = Window.orderBy(F.length("file"), "file", "start")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda name: F.coalesce(F.sum(name).over(before), F.lit(0))
+    sums = sums.select("*", F.row_number().over(order).alias("block"), (so_far("flips") % 2).alias("begins"))
+    picked = sums.select("file", "start", "block", "begins",
+                         *[F.when(F.col("begins") == 1, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0")).alias(c) for c in ("deep", "head")])
+    return materialize(picked.select("file", "start", "block", "begins", so_far("deep").alias("depth"),
+                                     so_far("head").alias("heads")), "json-blocks")
+
+
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    """(block, seg, depth, value): the text between commas that are not inside strings, numbered in its order, with the
+    braces open before it.  Only segments whose strings hold commas are put together again."""
+    pieces = _pieces(spark, path)
+    joined = pieces.join(broadcast_if_small(_blocks(pieces)), ["file", "start"])
+    pick = lambda name: F.when(F.col("begins") == 1, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
+    inside = (F.col("turned") + F.col("begins")) % 2
+    rows = joined.select("block", (F.col("heads") + pick("head")).alias("seg"), (F.col("depth") + pick("up")).alias("depth"),
+                         "value", "place", (inside + F.col("flips")).alias("strings"))
+    whole = rows.where((F.col("strings") == 0)).select("block", "seg", "depth", "value")
+    cut = (rows.where(F.col("strings") > 0).groupBy("seg")
+           .agg(F.array_sort(F.collect_list(F.struct("block", "place", "depth", "value"))).alias("p"))
+           .select(F.col("p")[0]["block"].alias("block"), "seg", F.col("p")[0]["depth"].alias("depth"),
+                   F.array_join("p.value", ",").alias("value")))
+    return whole.unionByName(cut)
+
+
+# A key of an object, and the number that ends a segment.
+_KEY = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"\s*:'
+_NUMBER = r":\s*(\d+)[\s}]*\z"
+
+
+def _marks(segments: DataFrame) -> DataFrame:
+    """(section, doc STRUCT<seg, path>, key2, field, term, level, n): each segment with the keys above it."""
+    keys = F.transform(F.regexp_extract_all("value", F.lit(_KEY), 1), lambda k: F.when(
+        k.contains("\\"), F.from_json(F.concat(F.lit('["'), k, F.lit('"]')), "array<string>")[0]).otherwise(k))
+    rows = segments.select("block", "seg", F.greatest("depth", F.lit(1)).cast("int").alias("top"), keys.alias("keys"),
+                           F.regexp_extract("value", _NUMBER, 1).try_cast("bigint").alias("n"))
+    key = lambda level: F.get("keys", F.lit(level) - F.col("top"))
+    rows = rows.where(F.size("keys") > 0).select(
+        "block", "seg", key(1).alias("section"), key(2).alias("key2"), key(3).alias("field"), key(4).alias("term"),
+        (F.col("top") + F.size("keys") - 1).alias("level"), "n")
+    rows = rows.withColumn("doc", F.when(F.col("key2").isNotNull(), F.struct("seg", F.col("key2").alias("path"))))
+    written = materialize(rows, "json-marks")
+    # the last keys of the blocks before, then those of the block
+    ends = written.groupBy("block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seg"))).alias(c) for c in ("section", "doc")])
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = broadcast_if_small(materialize(ends.select("block", *[
+        F.last(c, ignorenulls=True).over(before).alias(f"{c}_before") for c in ("section", "doc")]), "json-carry"))
+    until = Window.partitionBy("block").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    return written.join(carry, "block").select(
+        *[F.coalesce(F.last(c, ignorenulls=True).over(until), F.col(f"{c}_before")).alias(c) for c in ("section", "doc")],
+        "key2", "field", "term", "level", "n")
+
+
 def read_json_object_index(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
-    """The single-object form ``{"docs": {...}, "df": {...}}``.
-
-    The format holds the corpus in one JSON value, so each file is parsed by one
-    task; write large indexes as JSON lines instead."""
-    raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.from_json("value", OBJECT_SCHEMA).alias("o"))
-    docs = (parsed.select(F.explode("o.docs").alias("path", "d"))
-            .select("path", F.col("d.count").alias("count"), F.col("d.tf").alias("tf")))
-    df = parsed.select(F.explode("o.df").alias("term", "df"))
-    return _index_from_docs(docs, df, stemmed)
+    """The single-object form ``{"docs": {...}, "df": {...}}``: one file, several files of an object each, or the
+    ordered fragments of one object (``sinks.index_json.write_json_object_index``).
+
+    Files are read in byte ranges, however few lines they have.  Text is cut at commas; whether a place is inside a
+    string and how many braces are open there follow from sums within each range and prefix sums over the ranges."""
+    marks = materialize(_marks(_segments(spark, path)), "json-keys")
+    posting = F.when(F.col("level") == 4, F.struct("term", "n"))
+    docs = (marks.where((F.col("section") == "docs") & (F.col("level") >= 2) & F.col("doc").isNotNull()).groupBy("doc")
+            .agg(F.max(F.when((F.col("level") == 3) & (F.col("field") == "count"), F.col("n"))).alias("count"),
+                 F.collect_list(posting).alias("tf"))
+            .select("doc.path", "count", F.map_from_entries("tf").alias("tf")))
+    df = marks.where((F.col("section") == "df") & (F.col("level") == 2) & F.col("n").isNotNull()).select(
+        F.col("key2").alias("term"), F.col("n").alias("df"))
+    return _index_from_docs(materialize(docs, "json-docs"), df, stemmed)
 
 
 def read_legacy_documents(spark: SparkSession, path: str) -> DataFrame:

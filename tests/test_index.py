@@ -1,5 +1,9 @@
 """Index invariants, storage and format round trips, incremental = full build."""
 
+import contextlib
+import glob
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +102,66 @@ def test_json_object_form(spark, tmp_dir):
     assert got == pytest.approx({"./a.txt": 2 / 3 * 0.30103, "./e.txt": 0.0}, abs=1e-6)
 
 
+ODD_KEYS = [("a,b.txt", 'x , " } { \\ : x'), ('q".txt', ""), ("c}{.txt", 'y x " , ,'), ("e:1,\\\".txt", "[ ] , count tf docs df")]
+
+
+@contextlib.contextmanager
+def settings(spark, **values):
+    """Session settings (names with _ for .) inside, as before after."""
+    values = {name.replace("_", "."): value for name, value in values.items()}
+    saved = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in saved.items():
+            spark.conf.set(name, value)
+
+
+def index_rows(index):
+    return [as_set(index.postings, ["doc_key", "term", "freq", "term_count"]),
+            as_set(index.documents, ["doc_key", "term_count"]), as_set(index.doc_freq, ["term", "df"])]
+
+
+@pytest.mark.parametrize("size", [7, 40, 1 << 20])
+def test_json_object_in_fragments_and_ranges(spark, tmp_dir, monkeypatch, size):
+    """Commas, braces, quotes and backslashes in keys; an object in fragments, in one file and in ranges of a few bytes."""
+    index = ix.build_index(docs_df(spark, ODD_KEYS), stem=False, cache=True)
+    path = f"{tmp_dir}/object"
+    with settings(spark, spark_sql_adaptive_coalescePartitions_enabled="false"):
+        index_json.write_json_object_index(index, path)
+    parts = sorted(glob.glob(f"{path}/part-*"))
+    assert len(parts) > 1  # several tasks wrote
+    parsed = json.loads("".join(open(p).read() for p in parts))
+    want = index_rows(index)
+    assert {(k, v["count"]) for k, v in parsed["docs"].items()} == want[1] and set(parsed["df"].items()) == want[2]
+    one = f"{tmp_dir}/one.json"
+    with open(one, "w") as f:
+        f.write(json.dumps(parsed))
+    ranges = []
+    real = json_src._pieces
+
+    def pieces(*args):
+        with settings(spark, spark_sql_files_maxPartitionBytes=size, spark_sql_files_openCostInBytes=size):
+            rows = real(*args)
+        ranges.append(rows.select("file", "start").distinct().count())
+        return rows
+
+    monkeypatch.setattr(json_src, "_pieces", pieces)
+    for source in (path, one):
+        assert index_rows(json_src.read_json_object_index(spark, source, stemmed=False)) == want
+    assert ranges[0] > 1 and (ranges[1] > 1) == (size < 100)  # ranges of one file, too
+
+
+def test_json_object_of_an_empty_index(spark):
+    index = ix.build_index(docs_df(spark, []), stem=False)
+    path = scratch_path(spark, "t-json-object")
+    index_json.write_json_object_index(index, path)
+    got = json_src.read_json_object_index(spark, path, stemmed=False)
+    assert got.documents.count() == 0 and got.postings.count() == 0 and got.doc_freq.count() == 0
+
+
 def test_legacy_import(spark, tmp_dir):
     path = f"{tmp_dir}/index-small.json"
     with open(path, "w") as f:
