@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -108,3 +110,48 @@ def test_one_case_keys_with_separators_are_tested(spark):
     got = {r.id: r.spans for r in op.scan(fx.documents(spark, rows)).collect()}
     assert sum("random" in got[i] for i in range(60)) >= 45
     assert not any("random" in got[i] for i in range(60, 120))
+
+
+def independent_p(token):
+    """(encoding, p) from the definitions of the tests, one string at a time; None if it is not tested."""
+    if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+        return None
+    body, mark = token.rstrip("=").replace("-", "+").replace("_", "/"), ""
+    fits = next((e for e in op.ENCODINGS if re.search(e[1], token)), None)
+    if fits is None:
+        body, mark = re.sub("[-_+/]", "", token.rstrip("=")), " in parts"
+        fits = next((e for e in op.ENCODINGS if re.search(e[1], body)), None) if len(body) >= 20 else None
+    if fits is None:
+        return None
+    size, x = len(fits[2]), [fits[2].index(c) for c in body]
+    n = len(x)
+    cells = 4 if n < 27 else 9 if size == 36 else 8
+    counts = [sum(v * cells // size == k for v in x) for k in range(cells)]
+    chi2 = sum((o - n / cells) ** 2 * cells / n for o in counts)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    v = 2 / (9 * (cells - 1))
+    p_chi = tail(((chi2 / (cells - 1)) ** (1 / 3) - 1 + v) / math.sqrt(v))  # Wilson and Hilferty
+    sides = [2 * a >= size for a in x]
+    runs, n1 = len(list(itertools.groupby(sides))), sum(sides)
+    mean = 1 + 2 * n1 * (n - n1) / n
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0
+    dev = [a - sum(x) / n for a in x]
+    square = sum(d * d for d in dev)
+    lag = sum(a * b for a, b in zip(dev, dev[1:])) / square if square else 0
+    p_serial = 2 * tail(abs(lag + 1 / n) * math.sqrt(n)) if square else 0
+    half = -sum(math.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
+    return fits[0] + mark, sum(math.exp(-half) * half ** k / math.factorial(k) for k in range(3))  # Poisson: at most 2
+
+
+def test_battery_matches_one_string_at_a_time(spark):
+    rng = random.Random(7)
+    alphabets = [e[2] for e in op.ENCODINGS] + ["0123456789abcdef-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", "ab1", "a1"]
+    tokens = {"".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 26, 27, 40, 64, 300) for _ in range(6)}
+    tokens |= {"a" * 20 + "1", "1" + "a" * 30, "abcdefghij0123456789" * 3, "Ab1" * 9 + "==", "A1" * 500, "-" * 19 + "a1",
+               "x-1" * 12, "words-without-any-digit-here"}
+    got = {r.token: (r.encoding, r.p) for r in op.battery(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    want = {t: independent_p(t) for t in tokens}
+    assert set(got) == {t for t, w in want.items() if w}
+    for t, (encoding, p) in got.items():
+        assert encoding == want[t][0] and abs(p - want[t][1]) < 1e-5, (t, want[t], p)
