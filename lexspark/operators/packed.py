@@ -16,6 +16,9 @@ can reach it.  Ids by length make the bounds of common words differ: short docum
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPAN = 1 << 10
@@ -47,6 +50,40 @@ def unpack(blocks: DataFrame, span: int = SPAN, *extra: str) -> DataFrame:
                        F.col("counts").cast("long").alias("count"), *extra)
 
 
+def pack_documents(doc_terms: DataFrame, span: int = SPAN) -> DataFrame:
+    """Blocks of a forward index with ids ``(doc, term_count, terms)``, as ``pack(postings_by_id(doc_terms))``.  The
+    ``span`` documents of a range are brought together and packed in one group, so each term is shuffled once per
+    document list, not as a row, and no row is a posting."""
+    rows = doc_terms.select(F.floor(F.col("doc") / span).alias("range"), (F.col("doc") % span).cast("int").alias("off"),
+                            F.col("term_count").cast("int").alias("count"), "terms")
+    return rows.groupBy("range").applyInArrow(_pack_range, _PACKED)
+
+
+_PACKED = "term string, range long, n int, max_tf double, offs array<int>, freqs array<int>, counts array<int>"
+
+
+def _pack_range(key: tuple, docs: pa.Table) -> pa.Table:
+    """The blocks of one range: its postings sorted by term, then id, and cut where the term changes."""
+    docs = docs.sort_by("off").combine_chunks()
+    lists = docs.column("terms").combine_chunks()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    flat = pc.list_flatten(lists)
+    words = flat.field("term").dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    of_doc = lambda name: np.repeat(np.asarray(docs.column(name)), sizes)[order].astype(np.int32)
+    freqs, counts = np.asarray(flat.field("freq"))[order].astype(np.int32), of_doc("count")
+    ends = pa.array(np.r_[first, len(codes)].astype(np.int32))
+    listed = lambda values: pa.ListArray.from_arrays(ends, pa.array(values))
+    return pa.table({
+        "term": words.dictionary.take(pa.array(codes[first])), "range": pa.array(np.full(len(first), key[0].as_py()), pa.int64()),
+        "n": pa.array(np.diff(np.r_[first, len(codes)]).astype(np.int32)),
+        "max_tf": pa.array(np.maximum.reduceat(freqs / counts, first) if len(first) else np.zeros(0)),
+        "offs": listed(of_doc("off")), "freqs": listed(freqs), "counts": listed(counts)})
+
+
 # --- removed documents --------------------------------------------------------
 
 def removal_bits(docs: DataFrame, span: int, *extra: str) -> DataFrame:

@@ -162,7 +162,7 @@ def _write_segment(spark: SparkSession, root: str, doc_terms: DataFrame, buckets
     starts(forward).coalesce(1).write.parquet(f"{path}/offsets")
     forward = numbered(forward, "doc", spark.read.parquet(f"{path}/offsets"))
     forward.select("doc", "doc_key", "term_count").write.parquet(f"{path}/docs")
-    blocks = packed.pack(packed.postings_by_id(forward), span).withColumn("bucket", term_bucket("term", buckets))
+    blocks = packed.pack_documents(forward, span).withColumn("bucket", term_bucket("term", buckets))
     (blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
     stored = spark.read.schema(_BLOCKS).parquet(f"{path}/postings")
