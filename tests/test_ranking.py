@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,41 @@ def test_chunks_are_bounded(monkeypatch):
     assert all(n <= 3 and (n == 1 or cost[f:f + n].sum() <= 10) for f, n in chunks)
 
 
+def test_common_terms_score_as_the_others(monkeypatch):
+    """Dense rows, postings one by one and mixtures of both give the same scores; a query given twice counts twice."""
+    rng = np.random.default_rng(3)
+    rows = [(q, f"t{t}", 0.1 + t) for q in range(9) for t in range(12) if rng.random() < 0.5] + [(4, "t3", 2.0), (4, "t3", 2.0)]
+    w = scoring.pack_weights(rows, {q: q for q in range(9)})
+    docs, codes = np.nonzero(rng.random((30, len(w["terms"]))) < 0.6)
+    tf = rng.random(len(docs))
+    expected = np.zeros((9, 30))
+    for q, term, weight in rows:
+        of = codes == w["terms"].index(term)
+        expected[q, docs[of]] += weight * tf[of]
+    for share, common, part in ((0, 256, 10), (2, 256, 10), (10 ** 9, 256, 10), (10 ** 9, 3, 7)):
+        monkeypatch.setattr(scoring, "DENSE_SHARE", share)
+        monkeypatch.setattr(scoring, "COMMON_TERMS", common)
+        monkeypatch.setattr(scoring, "CHUNK_CONTRIBUTIONS", part)
+        got = scoring._chunk_scores(docs, codes, tf, w, scoring.common_terms(w), 30)
+        assert np.allclose(got, expected, rtol=0, atol=1e-13)
+
+
+def test_later_chunks_keep_what_reaches_the_best_so_far(monkeypatch):
+    w = scoring.pack_weights([(0, "a", 1.0), (1, "b", 2.0)], {0: 0, 1: 1})
+    monkeypatch.setattr(scoring, "SLICE_DOCS", 7)
+    rng = np.random.default_rng(5)
+    freq = rng.integers(1, 50, (100, 2))
+    terms = [[{"term": "a", "freq": int(a)}, {"term": "b", "freq": int(b)}, {"term": "z", "freq": 1}] for a, b in freq]
+    batch = pa.RecordBatch.from_pydict({"doc_key": list(range(100)), "term_count": [100] * 100, "terms": terms})
+
+    class Sent:
+        value = w
+    found = [r for out in scoring.local_top_k(Sent, 5)(iter([batch])) for r in out.to_pylist()]
+    for q in (0, 1):
+        best = np.sort(freq[:, q])[::-1][4]
+        assert {r["doc_key"] for r in found if r["query_idx"] == q} == set(np.flatnonzero(freq[:, q] >= best))
+
+
 def test_null_and_invalid_bodies_are_rejected(spark):
     rows = [(1, b"ok"), (2, b"\xff"), (3, None)]
     good, rejects = rk.split_query_bodies(spark.createDataFrame(rows, "query_id int, body binary"))

@@ -61,3 +61,18 @@ def test_none_and_short():
     assert stem(None) is None
     assert stem("a") == "a"
     assert stem("") == ""
+
+
+def test_batches_are_stemmed_in_slices(monkeypatch):
+    """A large Arrow batch is taken in slices, whose documents keep their own terms."""
+    import pyarrow as pa
+    from lexspark.operators import stemming
+    monkeypatch.setattr(stemming, "SLICE_DOCS", 3)
+    terms = [[{"term": "running", "freq": n + 1}, {"term": "runs", "freq": 1}, {"term": f"{n}", "freq": 2}] if n % 4 else []
+             for n in range(10)]
+    batch = pa.RecordBatch.from_pydict({"doc_key": list(range(10)), "term_count": [9] * 10, "terms": pa.array(
+        terms, pa.list_(pa.struct([("term", pa.string()), ("freq", pa.int64())])))})
+    out = list(stemming._stem_batches(iter([batch])))
+    assert [b.num_rows for b in out] == [3, 3, 3, 1]
+    got = {r["doc_key"]: {(t["term"], t["freq"]) for t in r["terms"]} for b in out for r in b.to_pylist()}
+    assert got == {n: {("run", n + 2), (f"{n}", 2)} if n % 4 else set() for n in range(10)}

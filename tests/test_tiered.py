@@ -91,6 +91,16 @@ def test_blocks_decode_to_the_postings(spark):
         assert wrong.count() == 0
 
 
+def test_documents_are_packed_like_their_postings(spark):
+    index = build(spark, corpus(150) + [(9001, ""), (9002, None)])
+    ids = numbering.in_order(index.doc_terms, "doc", F.col("doc_key"))
+    as_text = lambda blocks: sorted(str(r) for r in blocks.collect())
+    for span in (1, 8, 1000):
+        blocks, whole = packed.pack(packed.postings_by_id(ids), span), packed.pack_documents(ids, span)
+        assert whole.dtypes == blocks.dtypes and as_text(whole) == as_text(blocks)
+    assert "FlatMapGroupsInArrow" in packed.pack_documents(ids, 8)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bitmaps_of_removed_documents(spark):
     gone = [0, 1, 63, 64, 65, 129, 200, 1023, 1024]
     docs = spark.createDataFrame([(d,) for d in gone], "doc long")
