@@ -43,24 +43,26 @@ def _entry(key: Column, value: Column) -> Column:
 
 
 def object_lines(index: Index) -> DataFrame:
-    """(part, key, value): the lines of the one-object form, which in the order of (part, key) are the object.
-    Only the smallest key of a part has no comma before it."""
-    docs = document_objects(index).select(F.lit(1).alias("part"), F.col("path").alias("key"),
-                                          _entry(F.col("path"), F.struct("tf", "count")).alias("entry"))
-    terms = index.doc_freq.select(F.lit(3).alias("part"), F.col("term").alias("key"),
-                                  _entry(F.col("term"), F.col("df")).alias("entry"))
-    entries = materialize(docs.unionByName(terms), "json-entries")
-    firsts = F.broadcast(entries.groupBy("part").agg(F.min("key").alias("first")))  # two rows
-    lines = entries.join(firsts, "part").select("part", "key", F.when(F.col("key") == F.col("first"), F.col("entry"))
-                                                .otherwise(F.concat(F.lit(","), "entry")).alias("value"))
-    frame = [(0, "", '{"docs":{'), (2, "", '},"df":{'), (4, "", "}}")]
-    return lines.unionByName(index.doc_freq.sparkSession.createDataFrame(frame, "part int, key string, value string"))
+    """The lines of the one-object form, which in the order of the partitions are the object: its sections lie one after
+    the other, and only the first entry of each has no comma before it.  Nothing is sorted or shuffled."""
+    docs = document_objects(index).select(F.col("path").alias("key"), _entry(F.col("path"), F.struct("tf", "count")).alias("entry"))
+    terms = materialize(index.doc_freq.select("term", "df"), "json-terms")
+    terms = terms.select(F.col("term").alias("key"), _entry(F.col("term"), F.col("df")).alias("entry"))
+    spark = index.doc_freq.sparkSession
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    lines = line('{"docs":{')
+    for entries, after in ((docs, '},"df":{'), (terms, "}}")):
+        first = entries.agg(F.min("key")).first()[0]  # one key to the driver
+        others = entries.where(F.col("key") != F.lit(first)).select(F.concat(F.lit(","), "entry").alias("value"))
+        # copies of the first key, if it is not distinct, are one line
+        lead = entries.where(F.col("key") == F.lit(first)).agg(F.array_join(F.collect_list("entry"), ",").alias("value"))
+        lines = lines.union(lead).union(others).union(line(after))
+    return lines
 
 
 def write_json_object_index(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """The one-object form as ordered fragments, one per task of a range sort.  Keys are distinct, not null."""
-    (object_lines(index).repartitionByRange("part", "key").sortWithinPartitions("part", "key")
-     .select("value").write.mode(mode).text(path))
+    """The one-object form as ordered fragments, one per task.  Keys are distinct, not null."""
+    object_lines(index).write.mode(mode).text(path)
 
 
 def legacy_objects(index: Index) -> DataFrame:

@@ -5,7 +5,12 @@ Schemas are explicit; nothing is inferred.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.index import Index, doc_freq_of
 from ..operators.sizing import broadcast_if_small
@@ -40,111 +45,197 @@ def read_json_index(spark: SparkSession, path: str, stemmed: bool = True) -> Ind
     return _index_from_docs(docs, df, stemmed)
 
 
-def _balance(bare: Column) -> Column:
-    """Opening less closing braces outside strings, in JSON text without escapes."""
-    outside = F.regexp_replace(bare, r'"[^"]*("|\z)', "")
-    return F.regexp_count(outside, F.lit(r"\{")) - F.regexp_count(outside, F.lit(r"\}"))
+_CHUNK = "file string, start long, place long, text string, flips int, deep_0 int, deep_1 int"
+
+
+def _sums(text: str) -> tuple[int, int, int]:
+    """Whether the quotes of a text turn inside and outside of strings (1: they do), and the opening less the closing
+    braces outside strings if it begins outside, and inside, of one."""
+    parts = text.replace("\\\\", "").replace('\\"', "").split('"')
+    balance = lambda outside: outside.count("{") - outside.count("}")
+    return (len(parts) - 1) % 2, balance("".join(parts[0::2])), balance("".join(parts[1::2]))
+
+
+def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks: the pieces of a batch that follow each other in one byte range, as one text."""
+    place = 0
+    for batch in batches:
+        files = batch.column("file").dictionary_encode()
+        codes, starts = files.indices.to_numpy(), batch.column("start").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])]) if len(codes) else []
+        rows = []
+        for at, end in zip(cuts, [*cuts[1:], len(codes)]):
+            text = ",".join(batch.column("value").slice(at, end - at).to_pylist())
+            rows.append((files.dictionary[codes[at]].as_py(), int(starts[at]), place, text, *_sums(text)))
+            place += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHUNK_TYPES)] if rows else
+                                         [pa.array([], t) for t in _CHUNK_TYPES], names=_CHUNK_NAMES)
+
+
+_CHUNK_NAMES = [c.split()[0] for c in _CHUNK.split(", ")]
+_CHUNK_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The text cut at every comma, by byte ranges of the files (a ``block``: file and start), with what came before
-    it in the block: ``turned`` (1 if a string began or ended there an odd number of times), and for either state s
-    in which the block may begin (1: inside a string) the braces open, ``up_s``, and the pieces that began outside
-    strings, this one included, ``head_s``."""
-    raw = (spark.read.option("lineSep", ",").text(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                   F.monotonically_increasing_id().alias("place"), "value"))
+    """The text cut at commas, by byte ranges of the files (``file`` and ``start``), in chunks of an Arrow batch of
+    pieces that follow each other, with the sums of ``_sums``: a row per chunk."""
     # an escape never crosses a comma, and there are none outside strings
-    bare = F.regexp_replace("value", r"\\.", "")
-    before = Window.partitionBy("file", "start").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    until = Window.partitionBy("file", "start").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = raw.select("*", (F.regexp_count(bare, F.lit('"')) % 2).alias("flips"), _balance(bare).alias("b0"),
-                      _balance(F.concat(F.lit('"'), bare)).alias("b1"))
-    rows = rows.withColumn("turned", F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2)
-    inside = [F.col("turned"), 1 - F.col("turned")]
-    rows = rows.select("*", *[F.when(inside[s] == 1, F.col("b1")).otherwise(F.col("b0")).alias(f"deep_{s}") for s in (0, 1)])
-    return materialize(rows.select(
-        "file", "start", "place", "value", "flips", "turned", "deep_0", "deep_1",
-        *[F.coalesce(F.sum(f"deep_{s}").over(before), F.lit(0)).alias(f"up_{s}") for s in (0, 1)],
-        *[F.sum(1 - inside[s]).over(until).alias(f"head_{s}") for s in (0, 1)]), "json-pieces")
-
-
-def _blocks(pieces: DataFrame) -> DataFrame:
-    """Per block, in the order of the text: its number, whether it begins inside a string, the braces open there
-    and the heads before it.  Prefix sums over one row per block."""
-    sums = pieces.groupBy("file", "start").agg(
-        (F.sum("flips") % 2).alias("flips"), *[F.sum(f"deep_{s}").alias(f"deep_{s}") for s in (0, 1)],
-        *[F.max(f"head_{s}").alias(f"head_{s}") for s in (0, 1)])
-    order = Window.orderBy(F.length("file"), "file", "start")
+    raw = (spark.read.option("lineSep", ",").text(path)
+           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"))
+    return materialize(raw.mapInArrow(_join_pieces, _CHUNK), "json-pieces")
+
+
+def _states(chunks: DataFrame) -> DataFrame:
+    """Per chunk, in the order of the text: its number, whether it begins inside a string and the braces open there.
+    Prefix sums over one row per chunk, without its text."""
+    order = Window.orderBy(F.length("file"), "file", "start", "place")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = lambda name: F.coalesce(F.sum(name).over(before), F.lit(0))
-    sums = sums.select("*", F.row_number().over(order).alias("block"), (so_far("flips") % 2).alias("begins"))
-    picked = sums.select("file", "start", "block", "begins",
-                         *[F.when(F.col("begins") == 1, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0")).alias(c) for c in ("deep", "head")])
-    return materialize(picked.select("file", "start", "block", "begins", so_far("deep").alias("depth"),
-                                     so_far("head").alias("heads")), "json-blocks")
-
-
-def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """(block, seg, depth, value): the text between commas that are not inside strings, numbered in its order, with the
-    braces open before it.  Only segments whose strings hold commas are put together again."""
-    pieces = _pieces(spark, path)
-    joined = pieces.join(broadcast_if_small(_blocks(pieces)), ["file", "start"])
-    pick = lambda name: F.when(F.col("begins") == 1, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
-    inside = (F.col("turned") + F.col("begins")) % 2
-    rows = joined.select("block", (F.col("heads") + pick("head")).alias("seg"), (F.col("depth") + pick("up")).alias("depth"),
-                         "value", "place", (inside + F.col("flips")).alias("strings"))
-    whole = rows.where((F.col("strings") == 0)).select("block", "seg", "depth", "value")
-    cut = (rows.where(F.col("strings") > 0).groupBy("seg")
-           .agg(F.array_sort(F.collect_list(F.struct("block", "place", "depth", "value"))).alias("p"))
-           .select(F.col("p")[0]["block"].alias("block"), "seg", F.col("p")[0]["depth"].alias("depth"),
-                   F.array_join("p.value", ",").alias("value")))
-    return whole.unionByName(cut)
-
-
-# A key of an object, and the number that ends a segment.
-_KEY = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"\s*:'
-_NUMBER = r":\s*(\d+)[\s}]*\z"
-
-
-def _marks(segments: DataFrame) -> DataFrame:
-    """(section, doc STRUCT<seg, path>, key2, field, term, level, n): each segment with the keys above it."""
-    keys = F.transform(F.regexp_extract_all("value", F.lit(_KEY), 1), lambda k: F.when(
-        k.contains("\\"), F.from_json(F.concat(F.lit('["'), k, F.lit('"]')), "array<string>")[0]).otherwise(k))
-    rows = segments.select("block", "seg", F.greatest("depth", F.lit(1)).cast("int").alias("top"), keys.alias("keys"),
-                           F.regexp_extract("value", _NUMBER, 1).try_cast("bigint").alias("n"))
-    key = lambda level: F.get("keys", F.lit(level) - F.col("top"))
-    rows = rows.where(F.size("keys") > 0).select(
-        "block", "seg", key(1).alias("section"), key(2).alias("key2"), key(3).alias("field"), key(4).alias("term"),
-        (F.col("top") + F.size("keys") - 1).alias("level"), "n")
-    rows = rows.withColumn("doc", F.when(F.col("key2").isNotNull(), F.struct("seg", F.col("key2").alias("path"))))
-    written = materialize(rows, "json-marks")
-    # the last keys of the blocks before, then those of the block
-    ends = written.groupBy("block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seg"))).alias(c) for c in ("section", "doc")])
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = broadcast_if_small(materialize(ends.select("block", *[
-        F.last(c, ignorenulls=True).over(before).alias(f"{c}_before") for c in ("section", "doc")]), "json-carry"))
-    until = Window.partitionBy("block").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
-    return written.join(carry, "block").select(
-        *[F.coalesce(F.last(c, ignorenulls=True).over(until), F.col(f"{c}_before")).alias(c) for c in ("section", "doc")],
-        "key2", "field", "term", "level", "n")
+    so_far = lambda name: F.coalesce(F.sum(name).over(before), F.lit(0))
+    key = ["file", "start", "place"]
+    rows = chunks.select(*key, "flips", "deep_0", "deep_1", F.row_number().over(order).cast("long").alias("chunk"),
+                         (so_far("flips") % 2).cast("int").alias("begins"))
+    rows = rows.withColumn("deep", F.when(F.col("begins") == 1, F.col("deep_1")).otherwise(F.col("deep_0")))
+    return materialize(rows.select(*key, "chunk", "begins", "deep", so_far("deep").cast("int").alias("depth")), "json-states")
+
+
+_PARSED = ("at long, place int, kind string, section string, path string, edge boolean, count long, "
+           "terms array<struct<term:string,n:long>>, text string, depth int")
+
+
+def _number(value) -> int | None:
+    return value if type(value) is int and 0 <= value < 1 << 63 else None
+
+
+def _members(text: str, depth: int, balance: int) -> list[dict]:
+    """The documents and terms of whole segments, text between commas outside strings, that begin where ``depth`` braces
+    are open.  The keys above the first one are not known here (null)."""
+    text = text.strip(", \t\r\n")
+    if not text and not depth:
+        return []
+    # the text made whole: the keys above it are empty, the braces open after it are closed
+    root = json.loads('{"":' * (depth - 1) + "{" * (depth > 0) + text + "}" * (depth + balance), object_pairs_hook=list, strict=False)
+    rows = []
+    for i, (section, entries) in enumerate(root):
+        name = None if depth >= 2 and i == 0 else section
+        flat = []
+        for j, (key, value) in enumerate(entries if isinstance(entries, list) else []):
+            if not isinstance(value, list):
+                flat.append((key, _number(value)))
+                continue
+            opened = not (depth >= 3 and i == 0 and j == 0)
+            terms = [(t, _number(n)) for _, held in value if isinstance(held, list) for t, n in held]
+            count = [_number(n) for field, n in value if field == "count"]
+            rows.append({"kind": "doc", "section": name, "path": key if opened else None, "edge": not opened,
+                         "count": count[-1] if count else None, "terms": terms})
+        rows.append({"kind": "terms", "section": name, "terms": flat})  # also tells where a section begins
+    last = [r for r in rows if r["kind"] == "doc"][-1:]
+    for r in last:
+        r["edge"] = True  # it may go on in the next chunk
+    return rows
+
+
+def _cut(at: int, begins: int, depth: int, flips: int, deep: int, text: str) -> list[dict]:
+    """The rows of a chunk: its members, and what belongs to a segment (``seam``) that a string with commas carries
+    over its begin or end, as text."""
+    ends = (begins + flips) % 2
+    if not begins and not ends:
+        return _members(text, depth, deep)
+    pieces, rows = text.split(","), []
+    low, high, state = 0, len(pieces), begins
+    while state and low < len(pieces):
+        state ^= _sums(pieces[low])[0]
+        low += 1
+    if low:
+        rows.append({"kind": "seam", "place": -1, "text": ",".join(pieces[:low])})
+        depth += _sums(rows[0]["text"])[2]
+    if state:  # all of it is inside one string
+        return rows
+    while ends and high > low:
+        high -= 1
+        ends ^= _sums(pieces[high])[0]
+    body = ",".join(pieces[low:high])
+    balance = _sums(body)[1]
+    rows += _members(body, depth, balance)
+    if high < len(pieces):
+        rows.append({"kind": "seam", "text": ",".join(pieces[high:]), "depth": depth + balance})
+    return rows
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_cut`` for chunks ``(at, begins, depth, flips, deep, text)``."""
+    term = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
+    schema = pa.schema([("at", pa.int64()), ("place", pa.int32()), ("kind", pa.string()), ("section", pa.string()),
+                        ("path", pa.string()), ("edge", pa.bool_()), ("count", pa.int64()), ("terms", term),
+                        ("text", pa.string()), ("depth", pa.int32())])
+    names = [f.name for f in schema]
+    for batch in batches:
+        for i in range(batch.num_rows):  # a row is a chunk
+            chunk = [batch.column(c)[i].as_py() for c in ("at", "begins", "depth", "flips", "deep", "text")]
+            found = [{"place": place, **row, "at": chunk[0]} for place, row in enumerate(_cut(*chunk))]
+            columns = []
+            for field in schema:
+                values = [row.get(field.name) for row in found]
+                if field.name == "terms":
+                    flat = [pair for v in values for pair in v or ()]
+                    entries = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.string()),
+                                                          pa.array([p[1] for p in flat], pa.int64())], names=["term", "n"])
+                    ends = np.cumsum([0] + [len(v or ()) for v in values]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), entries))
+                else:
+                    columns.append(pa.array(values, field.type))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all chunks (at even places ``at``) and of the seams between them (odd)."""
+    chunks = _pieces(spark, path)
+    rows = chunks.join(broadcast_if_small(_states(chunks)), ["file", "start", "place"])
+    rows = rows.select((F.col("chunk") * 2).alias("at"), "begins", "depth", "flips", "deep", "text")
+    rows = materialize(rows.mapInArrow(_parse, _PARSED), "json-parsed")
+    # a seam is the end of a chunk and the begins of those after it, until its string ends: a few pieces of text
+    order = Window.orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0)
+    seams = rows.where("kind = 'seam'").select("at", "place", "text", "depth", F.last(
+        F.when(F.col("depth").isNotNull(), F.col("at")), ignorenulls=True).over(order).alias("of"))
+    seams = seams.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("at", "place", "text"))).alias("p"), F.max("depth").alias("depth"))
+    seams = seams.select((F.col("of") + 1).alias("at"), F.lit(0).alias("begins"), "depth", F.array_join("p.text", ",").alias("text"))
+    seams = seams.mapInArrow(_with_sums, "at long, begins int, depth int, flips int, deep int, text string")
+    return rows.where("kind <> 'seam'").unionByName(materialize(seams.mapInArrow(_parse, _PARSED), "json-seams"))
+
+
+def _with_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [_sums(t)[:2] for t in batch.column("text").to_pylist()]
+        flips, deep = (pa.array([s[i] for s in sums], pa.int32()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("begins"), batch.column("depth"), flips, deep,
+                                          batch.column("text")], names=["at", "begins", "depth", "flips", "deep", "text"])
 
 
 def read_json_object_index(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
     """The single-object form ``{"docs": {...}, "df": {...}}``: one file, several files of an object each, or the
     ordered fragments of one object (``sinks.index_json.write_json_object_index``).
 
-    Files are read in byte ranges, however few lines they have.  Text is cut at commas; whether a place is inside a
-    string and how many braces are open there follow from sums within each range and prefix sums over the ranges."""
-    marks = materialize(_marks(_segments(spark, path)), "json-keys")
-    posting = F.when(F.col("level") == 4, F.struct("term", "n"))
-    docs = (marks.where((F.col("section") == "docs") & (F.col("level") >= 2) & F.col("doc").isNotNull()).groupBy("doc")
-            .agg(F.max(F.when((F.col("level") == 3) & (F.col("field") == "count"), F.col("n"))).alias("count"),
-                 F.collect_list(posting).alias("tf"))
-            .select("doc.path", "count", F.map_from_entries("tf").alias("tf")))
-    df = marks.where((F.col("section") == "df") & (F.col("level") == 2) & F.col("n").isNotNull()).select(
-        F.col("key2").alias("term"), F.col("n").alias("df"))
-    return _index_from_docs(materialize(docs, "json-docs"), df, stemmed)
+    Files are read in byte ranges, however few lines they have.  Text is cut at commas; whether a chunk begins inside a
+    string and how many braces are open there follow from prefix sums over a row per chunk, after which each
+    chunk is parsed alone.  Only the documents at the ends of chunks are put together again; no row is a posting."""
+    rows = _parsed(spark, path)
+    # what each place leaves open, from one row per place: the section and the document that were begun last
+    last = lambda value, test: F.max_by(value, F.when(test, F.col("place")))
+    doc = F.struct("at", "place")
+    ends = rows.groupBy("at").agg(last(F.col("section"), F.col("section").isNotNull()).alias("section"),
+                                  last(doc, F.col("path").isNotNull()).alias("doc"))
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    carry = broadcast_if_small(materialize(ends.select("at", *[
+        F.last(c, ignorenulls=True).over(before).alias(f"{c}_before") for c in ("section", "doc")]), "json-carry"))
+    rows = rows.join(carry, "at").withColumn("section", F.coalesce("section", "section_before"))
+    docs = rows.where("section = 'docs' AND kind = 'doc'")
+    owner = F.coalesce(F.when(F.col("path").isNotNull(), doc), F.col("doc_before"))
+    edges = (docs.where("edge").groupBy(owner.alias("doc"))
+             .agg(F.max("path").alias("path"), F.max("count").alias("count"), F.flatten(F.collect_list("terms")).alias("terms")))
+    whole = docs.where("NOT edge").select("path", "count", "terms")
+    docs = whole.unionByName(materialize(edges.select("path", "count", "terms"), "json-edges"))
+    df = rows.where("section = 'df' AND kind = 'terms'").select(F.inline("terms")).where("n IS NOT NULL").select(
+        "term", F.col("n").alias("df"))
+    return _index_from_docs(docs.select("path", "count", F.map_from_entries("terms").alias("tf")), df, stemmed)
 
 
 def read_legacy_documents(spark: SparkSession, path: str) -> DataFrame:

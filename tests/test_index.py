@@ -231,3 +231,18 @@ def test_stored_first_keys(spark, index):
     assert loaded._first_keys is not None
     assert rk.first_keys(loaded, 20) == rk.first_keys(index, 20)
     assert rk.first_keys(loaded, 5) == sorted(r.doc_key for r in index.documents.collect())[:5]
+
+
+def test_json_object_is_written_and_read_without_a_row_per_posting(spark, tmp_dir):
+    """The write shuffles no documents; the read joins many pieces to a chunk, and documents go on over its end."""
+    rows = [(f"d{n}", " ".join(f"w{n}x{m} ," for m in range(n * 7))) for n in range(40)]
+    index = ix.build_index(docs_df(spark, rows), stem=False, cache=True)
+    plan = index_json.object_lines(index)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Join" not in plan
+    path = f"{tmp_dir}/object"
+    with settings(spark, spark_sql_execution_arrow_maxRecordsPerBatch="50"):
+        index_json.write_json_object_index(index, path)
+        chunks = json_src._pieces(spark, path)
+        commas = sum(open(p).read().count(",") for p in glob.glob(f"{path}/part-*"))
+        assert 0 < chunks.count() < commas / 10
+        assert index_rows(json_src.read_json_object_index(spark, path, stemmed=False)) == index_rows(index)
