@@ -145,3 +145,24 @@ def test_stemming_is_stored_with_the_stream(spark):
         index_stream.index_stream(stream, f"{out}{stem}", scratch_path(spark, "t-ckpt"), stem=stem).awaitTermination()
         index = index_stream.read_stream_index(spark, f"{out}{stem}")
         assert index.stemmed == stem and term in {r.term for r in index.doc_freq.collect()}
+
+
+def test_no_task_reads_the_whole_table_for_the_documents_that_come_twice(spark, tmp_dir):
+    """The file of the source that arrives again is written from a filtered exchange, not by one task over the table."""
+    from lexspark.plans import catalog, params as P
+    rows = [(n, f"word{n} and more", P.DUPLICATED_SOURCE if n % 5 == 0 else "src1", "en") for n in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4).write.parquet(
+        f"{tmp_dir}/documents.parquet")
+    written = []
+    real = type(spark.range(1).write).parquet
+
+    def parquet(self, path, *args, **kwargs):
+        if path.endswith("/b"):
+            written.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return real(self, path, *args, **kwargs)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(1).write), "parquet", parquet)
+        out = catalog.stream_unique_keys(spark, tmp_dir)
+    assert "Repartition 1, true" in written[0]  # with a shuffle
+    assert sorted(r[0] for r in out.collect()) == list(range(40))
