@@ -94,3 +94,20 @@ def test_scope_filter_reaches_parquet(spark):
     assert "PushedFilters: [In(source" in plan
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert "text:string" in read and "lang" not in read and "n_chars" not in read
+
+
+def test_documents_written_twice_are_chosen_before_their_postings_are_exploded(spark, tmp_dir):
+    from lexspark.operators import incremental as inc
+    from lexspark.plans import catalog
+    rows = [(n if n % 7 else None, f"word{n % 3} and and", P.DUPLICATED_SOURCE if n % 5 == 0 else "src1") for n in range(20)]
+    rows += [(5, "again", "src1")]  # the key comes in two sources: both documents are written twice
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more keys than a plan expects to fit
+    try:
+        index = catalog._doubled(spark, tmp_dir)
+        assert "hashpartitioning(doc_key" not in plan_of(index.postings)
+        assert sorted(tuple(r) for r in inc.wrong_terms(index).collect()) == [
+            ("again", 1, 1, 2), ("and", 1, 20, 23), ("word0", 1, 7, 8), ("word1", 1, 7, 8), ("word2", 1, 6, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
