@@ -1,9 +1,10 @@
 """Index a stream of documents (X1) with unique keys across batches (X2).
 
 Each micro-batch is indexed on its own (a delta index) and written below ``<out>``
-as ``documents/batch_id=<n>/``, ``postings/batch_id=<n>/`` and, where it replaces stored
-documents, ``replaced/batch_id=<n>/``, each with overwrite, so a batch retried
-after a failure replaces its own output (idempotent).  ``complete/batch_id=<n>/`` is
+as ``documents/batch_id=<n>/``, ``doc_terms/batch_id=<n>/`` (the forward index, of which postings are
+projections) and, where it replaces stored documents, ``replaced/batch_id=<n>/``, each with overwrite, so a
+batch retried after a failure replaces its own output (idempotent).  Streams begun before there was
+``doc_terms`` hold ``postings/batch_id=<n>/`` for their first batches; they are read as well.  ``complete/batch_id=<n>/`` is
 written last; readers use complete batches only, so a half-written batch is never seen.
 
 Policies for a key that an earlier batch wrote: ``ignore`` drops the new document,
@@ -21,12 +22,13 @@ Whether terms are stemmed is stored next to the batches (``_meta``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import Index, build_index, doc_freq_of, forward_index
+from ..operators.index import Index, build_index, doc_freq_of, forward_index, from_forward
 from ..operators.sizing import broadcast_if_small
 from ..session import delete_path, materialize, scratch_path, scratch_scope
 from ..sinks.index_store import _exists, _fs, _read_meta, _write_meta
@@ -69,24 +71,38 @@ def index_batch(batch: DataFrame, batch_id: int, out: str, stem: bool = True, po
         # a key repeated inside the batch keeps one copy, chosen deterministically
         # (smallest text) so that a retried batch writes the same rows
         docs = batch.groupBy("doc_key").agg(F.min("text").alias("text"))
-        docs = materialize(docs, f"stream-batch-{batch_id}")
-        known = earlier_rows(spark, out, batch_id, docs.select("doc_key"))
+        forward = f"{out}/doc_terms/batch_id={batch_id}"
+        build_index(docs, stem=stem).doc_terms.write.mode("overwrite").parquet(forward)
+        delta = from_forward(spark.read.parquet(forward), stem)
+        if _exists(spark, f"{out}/postings/batch_id={batch_id}"):  # left by a failed batch that kept postings
+            delete_path(spark, f"{out}/postings/batch_id={batch_id}")
+        known = earlier_rows(spark, out, batch_id, delta.documents.select("doc_key"))
         if known is not None:
             known = materialize(known.groupBy("doc_key").agg(F.max("batch_id").alias("batch_id")), f"stream-known-{batch_id}")
-        if known is not None and policy == "ignore":
-            docs = docs.join(known, "doc_key", "left_anti")
-        elif known is not None:
+        if known is not None and policy == "ignore" and not known.isEmpty():
+            fresh = delta.doc_terms.join(broadcast_if_small(known.select("doc_key")), "doc_key", "left_anti")
+            materialize(fresh, f"stream-batch-{batch_id}").write.mode("overwrite").parquet(forward)
+            delta = from_forward(spark.read.parquet(forward), stem)
+        elif known is not None and policy == "replace":
             known.select("doc_key").write.mode("overwrite").parquet(f"{out}/replaced/batch_id={batch_id}")
-        delta = build_index(docs, stem=stem, cache=True)
         keyed = delta.documents.withColumn("key_bucket", key_filters.key_bucket("doc_key"))
-        keyed.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out}/documents/batch_id={batch_id}")
-        delta.postings.write.mode("overwrite").parquet(f"{out}/postings/batch_id={batch_id}")
+        keyed.repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{out}/documents/batch_id={batch_id}")
         key_filters.build(delta.documents.select("doc_key")).write.mode("overwrite").parquet(f"{out}/key_filters/batch_id={batch_id}")
         if events:
             _publish_events(spark, out, batch_id, delta.doc_freq, known if policy == "replace" else None)
         spark.range(1).write.mode("overwrite").parquet(f"{out}/complete/batch_id={batch_id}")
 
 
+def _postings(spark: SparkSession, out: str, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The postings of the rows that ``rows_of`` takes from what the batches stored: documents are chosen first, a row each."""
+    found = []
+    if _exists(spark, f"{out}/doc_terms"):
+        found.append(from_forward(rows_of(spark.read.parquet(f"{out}/doc_terms")), False).postings)
+    if _exists(spark, f"{out}/postings"):
+        found.append(rows_of(spark.read.parquet(f"{out}/postings")).select("doc_key", "term", "freq", "term_count"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _publish_events(spark: SparkSession, out: str, batch_id: int, added: DataFrame, replaced: DataFrame | None) -> None:
     """``term, delta`` of a batch below ``df_events``: what it adds, less the terms of the documents it replaces.  The
     folder appears by one rename and is never written again, so a retried batch does not count twice."""
@@ -96,8 +112,10 @@ def _publish_events(spark: SparkSession, out: str, batch_id: int, added: DataFra
     events = added.select("term", F.col("df").cast("long").alias("delta"))
     if replaced is not None:
         batches = [r[0] for r in replaced.select("batch_id").distinct().collect()]  # at most the batches of the stream
-        old = spark.read.parquet(f"{out}/postings").where(F.col("batch_id").isin(batches))
-        old = old.withColumn("batch_id", F.col("batch_id").cast("long")).join(replaced, ["doc_key", "batch_id"], "left_semi")
+        def rows_of(stored: DataFrame) -> DataFrame:
+            stored = stored.where(F.col("batch_id").isin(batches)).withColumn("batch_id", F.col("batch_id").cast("long"))
+            return stored.join(replaced, ["doc_key", "batch_id"], "left_semi")
+        old = _postings(spark, out, rows_of)
         events = events.unionByName(old.groupBy("term").agg((-F.count(F.lit(1))).alias("delta")))
     events = events.groupBy("term").agg(F.sum("delta").alias("delta")).where("delta <> 0")
     staged = scratch_path(spark, f"df-events-{batch_id}")
@@ -160,13 +178,14 @@ def read_stream_index(spark: SparkSession, out: str, stemmed: bool | None = None
         replaced = (spark.read.parquet(f"{out}/replaced").where(F.col("batch_id").isin(batches))
                     .groupBy("doc_key").agg(F.max("batch_id").alias("since")))
 
-    def current(name: str) -> DataFrame:
-        df = spark.read.parquet(f"{out}/{name}").where(F.col("batch_id").isin(batches))
+    def current(df: DataFrame) -> DataFrame:
+        df = df.where(F.col("batch_id").isin(batches))
         if replaced is not None:
             df = df.join(replaced, "doc_key", "left").where(F.col("since").isNull() | (F.col("batch_id") >= F.col("since")))
             df = df.drop("since")
         return df.drop("batch_id", "key_bucket")
 
-    documents, postings = current("documents"), current("postings")
-    return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings), stemmed=stemmed,
-                 doc_terms=forward_index(documents, postings))
+    documents, postings = current(spark.read.parquet(f"{out}/documents")), _postings(spark, out, current)
+    doc_terms = (forward_index(documents, postings) if _exists(spark, f"{out}/postings")
+                 else current(spark.read.parquet(f"{out}/doc_terms")))
+    return Index(documents=documents, postings=postings, doc_freq=doc_freq_of(postings), stemmed=stemmed, doc_terms=doc_terms)

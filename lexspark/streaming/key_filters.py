@@ -34,10 +34,12 @@ def build(keys: DataFrame, buckets: int = KEY_BUCKETS) -> DataFrame:
     bits = keyed.join(F.broadcast(sizes), "key_bucket") \
                 .select("key_bucket", "n_bits", F.explode(_places("doc_key", F.col("n_bits"))).alias("place"))  # a row per bucket
     one = F.expr("shiftleft(1L, cast(place % 64 as int))")
-    words = bits.groupBy("key_bucket", "n_bits", F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+    set_bits = bits.select("key_bucket", "n_bits", F.floor(F.col("place") / 64).cast("int").alias("word"), one.alias("bits"))
     full = F.sequence(F.lit(0), (F.col("n_bits") / 64 - 1).cast("int"))
-    return words.groupBy("key_bucket", "n_bits").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m")).select(
-        "key_bucket", "n_bits", F.transform(full, lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long"))).alias("words"))
+    none_set = sizes.select("key_bucket", "n_bits", F.explode(full).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = set_bits.unionByName(none_set).groupBy("key_bucket", "n_bits", "word").agg(F.bit_or("bits").alias("bits"))
+    in_order = F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"]  # every word is there once
+    return words.groupBy("key_bucket", "n_bits").agg(in_order.alias("words"))
 
 
 def may_hold(words: Column, n_bits: Column, key: Column | str) -> Column:

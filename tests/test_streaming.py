@@ -166,3 +166,44 @@ def test_no_task_reads_the_whole_table_for_the_documents_that_come_twice(spark,
         out = catalog.stream_unique_keys(spark, tmp_dir)
     assert "Repartition 1, true" in written[0]  # with a shuffle
     assert sorted(r[0] for r in out.collect()) == list(range(40))
+
+
+def test_a_batch_keeps_its_forward_index_and_no_second_copy_of_its_postings(spark):
+    out = scratch_path(spark, "t-forward")
+    index_stream.index_batch(_rows(spark, [("a", "x y x"), ("b", ""), (None, "x")]), 0, out, stem=False)
+    index_stream.index_batch(_rows(spark, [("a", "other"), ("c", "y")]), 1, out, stem=False)
+    assert not index_stream._exists(spark, f"{out}/postings")
+    got = index_stream.read_stream_index(spark, out, stemmed=False)
+    assert "Join" not in got.doc_terms._jdf.queryExecution().executedPlan().toString()  # stored, not grouped again
+    assert {(r.doc_key, r.term_count, tuple(map(tuple, r.terms))) for r in got.doc_terms.collect()} == {
+        ("a", 3, (("x", 2), ("y", 1))), ("b", 0, ()), (None, 1, (("x", 1),)), ("c", 1, (("y", 1),))}
+    assert {tuple(r) for r in got.doc_freq.collect()} == {("x", 2), ("y", 2)}
+
+
+def test_batches_that_kept_postings_are_read_with_later_ones(spark):
+    """A stream begun before there was ``doc_terms``: batch 0 holds postings, batch 1 failed after it had written its own."""
+    out = scratch_path(spark, "t-older")
+    index_stream.index_batch(_rows(spark, [("a", "x y"), ("b", "y")]), 0, out, stem=False, policy="replace")
+    older = ix.from_forward(spark.read.parquet(f"{out}/doc_terms/batch_id=0"), False).postings
+    for n in (0, 1):
+        older.write.parquet(f"{out}/postings/batch_id={n}")
+    index_stream.delete_path(spark, f"{out}/doc_terms")
+    index_stream.index_batch(_rows(spark, [("a", "z"), ("c", "y")]), 1, out, stem=False, policy="replace", events=True)
+    got = index_stream.read_stream_index(spark, out, stemmed=False)
+    assert {tuple(r) for r in got.doc_freq.collect()} == {("y", 2), ("z", 1)}
+    assert {(r.doc_key, tuple(map(tuple, r.terms))) for r in got.doc_terms.collect()} == {
+        ("a", (("z", 1),)), ("b", (("y", 1),)), ("c", (("y", 1),))}
+    events = spark.read.parquet(f"{out}/df_events").select("term", "delta")
+    assert {tuple(r) for r in events.collect()} == {("x", -1), ("z", 1)}
+
+
+def test_filter_words_are_the_bits_of_the_keys_in_order(spark):
+    from lexspark.streaming import key_filters as kf
+    keys = spark.range(500).select(F.col("id").alias("doc_key"))
+    want = {}
+    placed = keys.select(F.explode(kf._places("doc_key", F.lit(5056))).alias("place")).collect()  # ceil(500 * 10 / 64) * 64
+    for r in placed:
+        want[r.place // 64] = want.get(r.place // 64, 0) | 1 << r.place % 64
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    row, = kf.build(keys, 1).collect()
+    assert (row.key_bucket, row.n_bits, row.words) == (0, 5056, [signed(want.get(w, 0)) for w in range(79)])
