@@ -76,3 +76,18 @@ def test_batches_are_stemmed_in_slices(monkeypatch):
     assert [b.num_rows for b in out] == [3, 3, 3, 1]
     got = {r["doc_key"]: {(t["term"], t["freq"]) for t in r["terms"]} for b in out for r in b.to_pylist()}
     assert got == {n: {("run", n + 2), (f"{n}", 2)} if n % 4 else set() for n in range(10)}
+
+
+def test_words_that_no_step_changes_are_not_taken_through_the_steps(monkeypatch):
+    from lexspark.functions import stem as module
+    monkeypatch.setattr(module, "_regions", None)
+    assert [stem(w) for w in ("gamma", "yoyo", "x86", "'tango", "café")] == ["gamma", "yoyo", "x86", "tango", "café"]
+
+
+def test_the_longest_suffix_counts():
+    from lexspark.functions import stem as module
+    for name in ("STEP1A", "STEP1B", "STEP2", "STEP3", "STEP4"):
+        table, by_last = getattr(module, name), getattr(module, f"_{name}")
+        for s in table:
+            assert module._longest_suffix(f"xx{s}", by_last) == max((t for t in table if f"xx{s}".endswith(t)), key=len)
+        assert module._longest_suffix("", by_last) is None
